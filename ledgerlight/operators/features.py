@@ -16,6 +16,7 @@ from ledgerlight.config import HIGH_RISK_COUNTRIES, EngineConfig
 from ledgerlight.functions.timeparts import DAY, HOUR, micros
 from ledgerlight.operators.ordered import (
     HotKeys,
+    Rolling,
     by_heat,
     distinct_steps,
     distinct_steps_sliced,
@@ -23,6 +24,7 @@ from ledgerlight.operators.ordered import (
     occurrence_number,
     occurrence_number_sliced,
     previous_values,
+    rolling_sliced,
     running_sums,
     with_slices,
 )
@@ -187,11 +189,7 @@ def velocity(df: DataFrame) -> DataFrame:
 
 
 def velocity_sliced(df: DataFrame, base: DataFrame, cfg: EngineConfig, small: bool) -> DataFrame:
-    """Trailing windows of hot customers as running sums of arrivals minus expiries.
-
-    Rows at one instant are added up first. Amounts are summed as exact decimals around the customer's
-    middle, so that subtracting expired rows leaves no floating-point residue.
-    """
+    """Trailing windows of hot customers as running sums; amounts are summed as exact decimals."""
     keyed = [CUSTOMER]
 
     def with_gap(rows: DataFrame) -> DataFrame:
@@ -199,39 +197,25 @@ def velocity_sliced(df: DataFrame, base: DataFrame, cfg: EngineConfig, small: bo
         return lagged.withColumn("_gap", F.coalesce(F.col("_us") - F.col("_prev._us"), F.lit(0))).drop("_prev")
 
     money = F.col("amount").cast(MONEY)
-    ticks = with_gap(base).groupBy(CUSTOMER, "_us").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count("amount").alias("n"),
-        F.coalesce(F.sum(money), F.lit(0)).cast("decimal(30,6)").alias("s"),
-        F.coalesce(F.sum(money.cast("decimal(18,6)") * money.cast("decimal(18,6)")), F.lit(0)).cast("decimal(38,12)").alias("q"),
-        F.sum("_gap").alias("g"),
-    )
-
-    def steps(length: int, sign: int, tag: str) -> dict[str, Column]:
-        return {f"{c}_{tag}": F.col(c) * sign for c in ("rows", "n", "s", "q", "g")}
-
-    lengths = {"hour": HOUR, "day": DAY, "week": 7 * DAY}
-    needed = ["n_hour", "n_day", "s_day", "q_day", "n_week", "s_week", "rows_week", "g_week"]
-
-    def event(at: Column, signed: dict[str, Column], real: int) -> Column:
-        columns = [signed.get(n, F.lit(0)).cast(kind(n)).alias(n) for n in needed]
-        return F.struct(at.alias("_us"), *columns, F.lit(real).alias("_real"))
-
-    def kind(name: str) -> str:
-        return {"s": "decimal(30,6)", "q": "decimal(38,12)"}.get(name.split("_")[0], "bigint")
-
-    arrived: dict[str, Column] = {}
-    for tag, length in lengths.items():
-        arrived |= steps(length, 1, tag)
-    moves = [event(F.col("_us"), arrived, 1)]
-    for tag, length in lengths.items():
-        moves.append(event(F.col("_us") + length, steps(length, -1, tag), 0))
-    timeline = ticks.select(CUSTOMER, F.explode(F.array(*moves)).alias("_event")).select(CUSTOMER, "_event.*")
-    timeline = timeline.groupBy(CUSTOMER, "_us").agg(
-        *[F.sum(n).cast(kind(n)).alias(n) for n in needed], F.max("_real").alias("_real")
+    known = F.col("amount").isNotNull().cast("int")
+    small_money = F.col("amount").cast("decimal(18,6)")
+    cents, squares = "decimal(30,6)", "decimal(38,12)"
+    totals = rolling_sliced(
+        with_gap(base),
+        CUSTOMER,
+        {
+            "t_n_hour": Rolling(known, HOUR),
+            "t_n_day": Rolling(known, DAY),
+            "t_s_day": Rolling(money, DAY, cents),
+            "t_q_day": Rolling(small_money * small_money, DAY, squares),
+            "t_n_week": Rolling(known, 7 * DAY),
+            "t_s_week": Rolling(money, 7 * DAY, cents),
+            "t_rows_week": Rolling(F.lit(1), 7 * DAY),
+            "t_g_week": Rolling(F.col("_gap"), 7 * DAY),
+        },
+        cfg,
+        small,
     )
-    timeline = materialise(with_slices(timeline, keyed, "_us", cfg, small))
-    totals = running_sums(timeline, keyed, ["_us"], {f"t_{n}": F.col(n) for n in needed}).where(F.col("_real") == 1)
     n, s, q = F.col("t_n_day"), F.col("t_s_day").cast("double"), F.col("t_q_day").cast("double")
     variance = (q - s * s / n) / (n - 1)
     noise = q * 1e-13

@@ -66,6 +66,16 @@ def severe_names(column: str) -> Column:
     return F.transform(severe, lambda f: f["name"])
 
 
+def only_flagged(df: DataFrame) -> DataFrame:
+    """Rows with a finding.
+
+    A plain filter would be pushed below the projections and take a copy of every detector with it,
+    so that all of them run twice; a column that depends on the partition stays where it is.
+    """
+    marked = df.withColumn("_flagged", F.when(F.col("active_engines") > 0, F.spark_partition_id()))
+    return marked.where(F.col("_flagged").isNotNull()).drop("_flagged")
+
+
 def fuse(df: DataFrame, cfg: EngineConfig = EngineConfig(), keep_all: bool = False) -> DataFrame:
     """Risk assessment columns; only rows with at least one finding unless ``keep_all``."""
     rows = with_families(df)
@@ -83,7 +93,7 @@ def fuse(df: DataFrame, cfg: EngineConfig = EngineConfig(), keep_all: bool = Fal
         }
     )
     if not keep_all:
-        rows = rows.where(F.col("active_engines") > 0)
+        rows = only_flagged(rows)
     weight = {
         f: F.when(active[f] & (F.col("_share") > 0), w / F.col("_share")).otherwise(0.0) for f, w in weights.items()
     }
