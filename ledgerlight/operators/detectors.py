@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.config import EngineConfig
+from ledgerlight.operators.ordered import exact_quantiles
 
 FAMILIES = ("rule", "behaviour", "statistical", "ml", "pattern")
 
@@ -310,12 +311,10 @@ def round_amount_scenario(df: DataFrame) -> DataFrame:
     )
 
 
-def iqr_outliers(df: DataFrame, value: str, fences: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Rows outside Tukey's fence; ``fences`` is one row (q1, q3) as from ``exact_quantiles``.
-
-    The fence row is a single row, so its broadcast has a proven bound.
-    """
-    reach = cfg.iqr_multiple * (F.col("q3") - F.col("q1"))
-    bounds = fences.select((F.col("q1") - reach).alias("fence_low"), (F.col("q3") + reach).alias("fence_high"))
-    outside = (F.col(value) < F.col("fence_low")) | (F.col(value) > F.col("fence_high"))
-    return df.join(F.broadcast(bounds.limit(1)), outside, "inner")
+def iqr_outliers(df: DataFrame, value: str, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """Rows outside Tukey's fence over the whole table; the two quartiles are the only driver values."""
+    row = exact_quantiles(df, [], value, {"q1": 0.25, "q3": 0.75}, cfg).first()
+    if row is None:
+        return df.where(F.lit(False))
+    reach = cfg.iqr_multiple * (row.q3 - row.q1)
+    return df.where((F.col(value) < row.q1 - reach) | (F.col(value) > row.q3 + reach))
