@@ -51,6 +51,11 @@ def family_scores() -> dict[str, Column]:
     return out
 
 
+def half_up(c: Column, digits: int) -> Column:
+    """Round half up; the small shift keeps binary noise from turning a half down."""
+    return F.round(c + 1e-9, digits)
+
+
 def risk_level(score: Column) -> Column:
     return (
         F.when(score <= 20.0, "LOW")
@@ -116,7 +121,7 @@ def fuse(df: DataFrame, cfg: EngineConfig = EngineConfig(), keep_all: bool = Fal
     return rows.withColumns(
         {
             "_overall": overall,
-            "confidence_score": F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), confidence)), 2),
+            "confidence_score": half_up(F.least(F.lit(100.0), F.greatest(F.lit(0.0), confidence)), 2),
             "engine_scores": named({f: F.round(f"_score_{f}", 2) for f in COLUMNS}),
             "engine_weights": named({f: F.round(w, 4) for f, w in weight.items()}),
             "risk_breakdown": named({f: F.format_string("%.1f%%", w * 100.0) for f, w in weight.items()}),
@@ -124,7 +129,7 @@ def fuse(df: DataFrame, cfg: EngineConfig = EngineConfig(), keep_all: bool = Fal
             "triggered_patterns": F.transform("pattern_findings", lambda f: f["name"]),
             "top_reasons": F.slice(F.array_distinct(reasons), 1, 5),
         }
-    ).withColumns({"overall_risk_score": F.round("_overall", 2), "risk_level": risk_level(F.col("_overall"))}).drop(
+    ).withColumns({"overall_risk_score": half_up(F.col("_overall"), 2), "risk_level": risk_level(F.round("_overall", 9))}).drop(
         "_overall", "_share", "_trusted", "_trusted_n", *[f"_score_{f}" for f in COLUMNS]
     )
 
