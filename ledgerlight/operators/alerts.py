@@ -99,6 +99,18 @@ def alert_order() -> list[Column]:
     ]
 
 
+def top_rows(assessed: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """The assessed rows that become the ``max_alerts`` most urgent alerts."""
+    score = F.col("overall_risk_score")
+    return (
+        one_per_transaction(assessed)
+        .withColumn("_priority", priority_from_score(score, cfg))
+        .orderBy("_priority", score.desc(), F.col("confidence_score").desc(), "transaction_id")
+        .limit(cfg.max_alerts)
+        .drop("_priority")
+    )
+
+
 def prioritise(assessed: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """The ``max_alerts`` most urgent alerts: a top-k, not a full sort."""
     return build_alerts(assessed, cfg).orderBy(*alert_order()).limit(cfg.max_alerts)

@@ -7,53 +7,71 @@ from pyspark.sql import functions as F
 
 from ledgerlight.config import EngineConfig
 from ledgerlight.operators.actions import recommend
-from ledgerlight.operators.alerts import prioritise
+from ledgerlight.operators.alerts import prioritise, top_rows
+from ledgerlight.operators.anomaly import AnomalyModel
 from ledgerlight.operators.detectors import all_findings
 from ledgerlight.operators.explain import explain
 from ledgerlight.operators.features import build_features
 from ledgerlight.operators.fusion import fuse
 from ledgerlight.operators.profiles import build_profiles
+from ledgerlight.session import materialise
 
 
 def assess(
-    transactions: DataFrame, profiles: DataFrame | None = None, cfg: EngineConfig = EngineConfig(), model=None
+    transactions: DataFrame, profiles: DataFrame | None = None, cfg: EngineConfig = EngineConfig(),
+    model: AnomalyModel | None = None, only: DataFrame | None = None,
 ) -> DataFrame:
-    """Assessed transactions; ``model`` is an optional anomaly model with a ``transform``."""
+    """Assessed transactions with at least one finding.
+
+    ``only`` (transaction_id) narrows the answer after the features, which need whole histories, and
+    before the detectors.
+    """
     profiles = build_profiles(transactions, cfg=cfg) if profiles is None else profiles
     featured = build_features(transactions, profiles, cfg)
+    if only is not None:
+        featured = featured.join(only, "transaction_id", "left_semi")
     if model is not None:
         featured = model.transform(featured, cfg)
     return fuse(all_findings(featured, cfg), cfg)
 
 
+RANKED = ("transaction_id", "customer_id", "overall_risk_score", "confidence_score", "risk_level")
+
+
 def detect_alerts(
-    transactions: DataFrame, profiles: DataFrame | None = None, cfg: EngineConfig = EngineConfig(), model=None
+    transactions: DataFrame, profiles: DataFrame | None = None, cfg: EngineConfig = EngineConfig(),
+    model: AnomalyModel | None = None,
 ) -> DataFrame:
-    """Top alerts of a run."""
-    return prioritise(recommend(explain(assess(transactions, profiles, cfg, model))), cfg)
+    """Top alerts of a run, in two passes.
+
+    The first ranks all transactions on five narrow columns; only those are shuffled for removing
+    copies, and at most ``max_alerts`` rows remain. The second works out findings, texts and actions
+    for the customers of these rows alone.
+    """
+    scores = assess(transactions, profiles, cfg, model).select(*RANKED)
+    winners = materialise(top_rows(scores, cfg))
+    ids, owners = (F.broadcast(winners.select(c).distinct()) for c in ("transaction_id", "customer_id"))
+    rows = transactions.join(owners, "customer_id", "left_semi")
+    history = None if profiles is None else profiles.join(owners, "customer_id", "left_semi")
+    return prioritise(recommend(explain(assess(rows, history, cfg, model, ids))), cfg)
 
 
 def investigate(
-    transactions: DataFrame,
-    customers: DataFrame | None = None,
-    transaction_ids: DataFrame | None = None,
+    transactions: DataFrame, customers: DataFrame | None = None, transaction_ids: DataFrame | None = None,
     cfg: EngineConfig = EngineConfig(),
 ) -> DataFrame:
     """The same run for chosen customers or transactions, given as one-column frames.
 
     The customers' whole histories are read, since features look back; only the answer is narrowed.
     """
-    rows = transactions
+    rows, ids = transactions, None
     if transaction_ids is not None:
-        wanted = transactions.join(transaction_ids.distinct(), "transaction_id", "left_semi")
-        owners = wanted.select("customer_id").distinct()
+        ids = transaction_ids.select("transaction_id").distinct()
+        owners = transactions.join(ids, "transaction_id", "left_semi").select("customer_id").distinct()
         customers = owners if customers is None else customers.join(owners, "customer_id", "left_semi")
     if customers is not None:
         rows = transactions.join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
-    found = recommend(explain(assess(rows, cfg=cfg)))
-    if transaction_ids is not None:
-        found = found.join(transaction_ids.distinct(), "transaction_id", "left_semi")
-    return prioritise(found, cfg)
+    return prioritise(recommend(explain(assess(rows, cfg=cfg, only=ids))), cfg)
 
 
 def filter_by_date(df: DataFrame, start: str | None = None, end: str | None = None, ts: str = "timestamp") -> DataFrame:

@@ -412,7 +412,10 @@ def alert_topk(spark, d):
 
 def all_alerts(spark, d) -> DataFrame:
     rows = actions.recommend(explain.explain(detection.assess(views.txn_events(spark, d))))
-    return alerts.build_alerts(rows)
+    # rows without copies of a transaction need no second look at their texts
+    return alerts.build_alerts(rows).select(
+        "alert_id", "transaction_id", "customer_id", "priority", "risk_level", "fused_risk_score", "confidence_score", "status"
+    )
 
 
 @register("alert_priority_counts", f"""WITH {O.events_fused()}
@@ -632,12 +635,13 @@ SPARSE = "FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300
 @register("impute_median_mode", f"""WITH j AS (SELECT c_custkey, o_orderkey, o_totalprice, o_orderpriority {SPARSE}),
 m AS (SELECT quantile_cont(o_totalprice, 0.5) AS med FROM j),
 t AS (SELECT o_orderpriority AS top FROM j WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
-SELECT c_custkey, o_orderkey, {rd('coalesce(o_totalprice, med)', 4, 'o_totalprice')}, coalesce(o_orderpriority, top) AS o_orderpriority FROM j, m, t""")
+SELECT c_custkey, coalesce(o_orderkey, -1) AS o_orderkey, {rd('coalesce(o_totalprice, med)', 4, 'o_totalprice')}, coalesce(o_orderpriority, top) AS o_orderpriority FROM j, m, t""")
 def impute_median_mode(spark, d):
     orders = views.table(spark, d, "orders").where("o_totalprice > 300000")
     joined = views.table(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
     rows = joined.select("c_custkey", "o_orderkey", "o_totalprice", "o_orderpriority")
-    return rounded(cleaning.impute(rows, ["o_totalprice", "o_orderpriority"]), 4, "o_totalprice")
+    filled = cleaning.impute(rows, ["o_totalprice", "o_orderpriority"])
+    return rounded(filled.withColumn("o_orderkey", F.coalesce("o_orderkey", F.lit(-1))), 4, "o_totalprice")
 
 
 @register("coerced_types", """SELECT doc_id, TRY_CAST(split_part(text, ' ', 1) AS DOUBLE) IS NULL AS not_a_number,
@@ -926,11 +930,14 @@ def row_counts(spark, d):
     return reports.row_counts({t: views.table(spark, d, t) for t in ("orders", "customer", "lineitem")})
 
 
-@register("label_distribution", "SELECT quality, toxic, count(*) AS rows FROM documents LEFT JOIN labels USING (doc_id) GROUP BY quality, toxic")
+@register("label_distribution", "SELECT coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic, count(*) AS rows FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2")
 def label_distribution(spark, d):
     labelled = views.table(spark, d, "documents").join(views.table(spark, d, "labels"), "doc_id", "left")
     both = reports.distribution(labelled.withColumn("_pair", F.struct("quality", "toxic")), "_pair")
-    return both.select("_pair.quality", "_pair.toxic", "rows")
+    unknown = F.lit(-1)
+    return both.select(
+        F.coalesce("_pair.quality", unknown).alias("quality"), F.coalesce("_pair.toxic", unknown).alias("toxic"), "rows"
+    )
 
 
 @register("amount_summary", f"""WITH {O.EV} SELECT count(amount) AS count, {rd('avg(amount)', 4, 'mean')}, {rd('stddev_samp(amount)', 4, 'std')}, min(amount) AS min,
@@ -1057,11 +1064,12 @@ SELECT question_id, array_to_string(regexp_extract_all(text, '{triage.RE_CUSTOME
   CASE WHEN contains(text, 'Hong Kong') THEN 'Hong Kong,UAE' WHEN contains(text, 'India') THEN 'India' ELSE '' END AS countries,
   CASE WHEN contains(text, 'last 30 days') THEN 'last_30_days' WHEN contains(text, 'from 2024') THEN 'custom_range' WHEN contains(text, 'last month') THEN 'last_month'
        WHEN contains(text, 'yesterday') THEN 'yesterday' END AS date_label,
-  TRY_CAST(regexp_extract(text, '{triage.RE_LIMIT}', 1) AS INT) AS "limit" FROM q""")
+  coalesce(TRY_CAST(regexp_extract(text, '{triage.RE_LIMIT}', 1) AS INT), -1) AS "limit" FROM q""")
 def entity_extract(spark, d):
     rows = triage.entities(derived_questions(spark, d))
     lists = ("customer_ids", "transaction_ids", "account_ids", "aml_patterns", "countries")
-    return rows.select("question_id", *[F.array_join(c, ",").alias(c) for c in lists], "risk_level", "date_label", "limit")
+    return rows.select("question_id", *[F.array_join(c, ",").alias(c) for c in lists], "risk_level", "date_label",
+                       F.coalesce("limit", F.lit(-1)).alias("limit"))
 
 
 @register("amount_filters", f"""WITH {QUESTIONS}, x AS (SELECT question_id, text, TRY_CAST(regexp_extract(text, '(?:above|over|below|more than|and) ([0-9]+)', 1) AS DOUBLE) AS n FROM q)
