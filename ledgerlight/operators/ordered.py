@@ -125,14 +125,14 @@ def previous_values(
     row = F.struct(*values)
     last = (sliced if base is None else base).groupBy(*keys, "_slice").agg(F.max_by(row, F.struct(*order)).alias("_last"))
     carry = last.select(
-        *keys, "_slice", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_before")
+        *keys, "_slice", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_slice_before")
     )
     within = Window.partitionBy(*keys, "_slice").orderBy(*order)
     return (
         sliced.withColumn("_lagged", F.lag(row).over(within))
         .join(carry, [*keys, "_slice"], "left")
-        .withColumn(name, F.coalesce("_lagged", "_before"))
-        .drop("_lagged", "_before")
+        .withColumn(name, F.coalesce("_lagged", "_slice_before"))
+        .drop("_lagged", "_slice_before")
     )
 
 
