@@ -170,7 +170,9 @@ def with_findings(scored: DataFrame, cut: float) -> DataFrame:
 
 def fit(df: DataFrame, cfg: EngineConfig = EngineConfig(), features: tuple[str, ...] = FEATURES) -> AnomalyModel:
     """Fit on a frame of features. The nodes that reach the driver are bounded by the tree settings."""
-    rows = df.count()
+    # the rows are counted, sampled and scored, so their features are worked out and saved once
+    saved = materialise(df.select("transaction_id", *features))
+    rows = saved.count()
     if rows == 0:
         raise ValueError("no rows to fit the anomaly model on")
     seed = cfg.seed
@@ -178,13 +180,11 @@ def fit(df: DataFrame, cfg: EngineConfig = EngineConfig(), features: tuple[str,
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return grow(int(key[0]), np.vstack(pdf["x"].to_numpy()), seed)
 
-    samples = tree_samples(df, rows, cfg, features)
+    samples = tree_samples(saved, rows, cfg, features)
     nodes = samples.groupBy("tree").applyInPandas(build, NODES).toPandas()
     sample = min(cfg.tree_sample, rows)
     draft = AnomalyModel(nodes, sample, 0.0, features)
-    scores = draft.score(df).select("isolation_score")
-    # scored once and saved: the quantile reads the scores more than once
-    scores = materialise(scores)
+    scores = materialise(draft.score(saved).select("isolation_score"))
     row = exact_quantiles(scores, [], "isolation_score", {"cut": 1.0 - cfg.contamination}, cfg).first()
     return AnomalyModel(nodes, sample, float(row.cut), features)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.config import EngineConfig
 from ledgerlight.functions.timeparts import with_time_parts
-from ledgerlight.operators.features import CUSTOMER, has, modal_value
+from ledgerlight.operators.features import CUSTOMER, has
 from ledgerlight.operators.ordered import by_heat, exact_quantiles
 
 # Metadata column -> default for customers that never show a value.
@@ -25,77 +25,94 @@ def type_ratio(types: tuple[str, ...]) -> Column:
     return F.count_if(F.col("transaction_type").isin(*types)) / F.nullif(F.count("transaction_type"), F.lit(0))
 
 
+# column -> (name of its mode, name of its distinct count); None where a profile does not need one
+COUNTED = {
+    "hour_of_day": ("preferred_hour", None),
+    "day_of_week": ("most_active_weekday", None),
+    "transaction_month": ("most_active_month", None),
+    "transaction_type": ("most_common_txn_type", None),
+    "channel": ("most_common_channel", "unique_channels"),
+    "counterparty_account_id": ("most_common_beneficiary", "unique_beneficiaries"),
+    "account_id": (None, "unique_accounts"),
+    "counterparty_country": (None, "unique_countries"),
+    "device_id": (None, "unique_devices"),
+    "transaction_date": (None, "active_days"),
+}
+
+
+def value_statistics(df: DataFrame) -> DataFrame:
+    """Modes (smallest on ties) and distinct counts of all counted columns per customer.
+
+    Values are counted first, (customer, column, value) at a time, so no task holds the values of one
+    customer; several distinct counts next to modes in one aggregate would be far slower.
+    """
+    kinds = dict(df.dtypes)
+    present = [c for c in COUNTED if c in kinds]
+
+    def entry(c: str) -> Column:
+        numeric = kinds[c] in ("int", "bigint", "smallint", "tinyint", "double", "float")
+        order = F.col(c).cast("double") if numeric else F.lit(None).cast("double")
+        return F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value"), order.alias("place"))
+
+    counts = (
+        df.select(CUSTOMER, F.inline(F.array(*[entry(c) for c in present])))
+        .where(F.col("value").isNotNull())
+        .groupBy(CUSTOMER, "kind", "value", "place")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    out = []
+    for c, (mode, distinct) in COUNTED.items():
+        mine = F.col("kind") == c
+        if mode:
+            top = F.min(F.when(mine, F.struct(-F.col("n"), "place", "value")))["value"]
+            if kinds.get(c) == "int":
+                top = top.cast("int")
+            elif c in ("transaction_type", "channel", "counterparty_account_id"):
+                top = F.coalesce(top, F.lit("UNKNOWN"))
+            out.append(top.alias(mode))
+        if distinct:
+            out.append(F.count_if(mine).alias(distinct))
+    return counts.groupBy(CUSTOMER).agg(*out)
+
+
 def _aggregates(df: DataFrame, cfg: EngineConfig) -> list[Column]:
-    """All statistics that keep a bounded state per customer."""
-    text_mode = {"channel": "most_common_channel", "transaction_type": "most_common_txn_type"}
-    distinct = {
-        "counterparty_account_id": "unique_beneficiaries",
-        "account_id": "unique_accounts",
-        "counterparty_country": "unique_countries",
-        "device_id": "unique_devices",
-        "channel": "unique_channels",
-    }
-    zero, unknown = F.lit(0).cast("long"), F.lit("UNKNOWN")
+    """Statistics that keep a few numbers per customer."""
     out = [
         F.avg("amount").alias("avg_amount"),
         F.max("amount").alias("max_amount"),
         F.min("amount").alias("min_amount"),
         F.coalesce(F.stddev_samp("amount"), F.lit(0.0)).alias("std_amount"),
         F.count("amount").alias("total_txns"),
-        F.mode("hour_of_day", True).alias("preferred_hour"),
-        F.mode("day_of_week", True).alias("most_active_weekday"),
-        F.mode("transaction_month", True).alias("most_active_month"),
         F.avg(F.col("is_business_hours").cast("int")).alias("business_hours_ratio"),
         F.avg(F.col("is_weekend").cast("int")).alias("weekend_ratio"),
-        F.countDistinct("transaction_date").alias("active_days"),
         F.min("transaction_date").alias("first_date"),
         F.max("transaction_date").alias("last_date"),
     ]
-    for column, name in text_mode.items():
-        out.append((F.coalesce(F.mode(column, True), unknown) if has(df, column) else F.first(unknown)).alias(name))
-    for column, name in distinct.items():
-        out.append((F.countDistinct(column) if has(df, column) else F.first(zero)).alias(name))
     for types, name in (
         (cfg.cash_types, "cash_withdrawal_ratio"),
         (cfg.deposit_types, "deposit_ratio"),
         (cfg.transfer_types, "transfer_ratio"),
     ):
-        ratio = F.coalesce(type_ratio(types), F.lit(0.0)) if has(df, "transaction_type") else F.first(F.lit(0.0))
+        ratio = F.coalesce(type_ratio(types), F.lit(0.0)) if has(df, "transaction_type") else F.max(F.lit(0.0))
         out.append(ratio.alias(name))
     for column, default in METADATA.items():
-        value = F.coalesce(F.min(column), F.lit(default)) if has(df, column) else F.first(F.lit(default))
+        value = F.coalesce(F.min(column), F.lit(default)) if has(df, column) else F.max(F.lit(default))
         out.append(value.alias(column))
     return out
 
 
 def profile_statistics(df: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Flat statistics per customer.
-
-    Median and modal counterparty need one entry per distinct value, so hot customers get them from
-    counts of values instead of an aggregate that holds them all.
-    """
+    """Flat statistics per customer; hot customers get their median from counts of amounts."""
     rows = df if has(df, "is_business_hours") else with_time_parts(df)
-    party = "counterparty_account_id"
 
     def regular(cold: DataFrame) -> DataFrame:
-        modal = F.mode(party, True).cast("string") if has(cold, party) else F.first(F.lit(None).cast("string"))
-        return cold.groupBy(CUSTOMER).agg(
-            *_aggregates(cold, cfg),
-            F.median("amount").alias("median_amount"),
-            F.coalesce(modal, F.lit("UNKNOWN")).alias("most_common_beneficiary"),
-        )
+        return cold.groupBy(CUSTOMER).agg(*_aggregates(cold, cfg), F.median("amount").alias("median_amount"))
 
     def skewed(hot: DataFrame, _keys) -> DataFrame:
         stats = hot.groupBy(CUSTOMER).agg(*_aggregates(hot, cfg))
-        stats = stats.join(exact_quantiles(hot, [CUSTOMER], "amount", {"median_amount": 0.5}, cfg), CUSTOMER, "left")
-        if has(hot, party):
-            stats = stats.join(modal_value(hot, party, "_party"), CUSTOMER, "left")
-        else:
-            stats = stats.withColumn("_party", F.lit(None))
-        beneficiary = F.coalesce(F.col("_party").cast("string"), F.lit("UNKNOWN"))
-        return stats.withColumn("most_common_beneficiary", beneficiary).drop("_party")
-
-    stats = by_heat(rows, CUSTOMER, cfg, regular, skewed)
+        return stats.join(exact_quantiles(hot, [CUSTOMER], "amount", {"median_amount": 0.5}, cfg), CUSTOMER, "left")
+
+    stats = by_heat(rows, CUSTOMER, cfg, regular, skewed).join(value_statistics(rows), CUSTOMER, "left")
     days = F.greatest(F.col("active_days"), F.lit(1))
     total = F.col("total_txns")
     gap = F.datediff("last_date", "first_date") / F.greatest(total - 1, F.lit(1))
