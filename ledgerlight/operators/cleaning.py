@@ -119,7 +119,7 @@ def clean_table(df: DataFrame, table: str) -> DataFrame:
 def quality_report(before: DataFrame, after: DataFrame, table: str) -> DataFrame:
     """(table, rows_in, rows_out, rows_removed, duplicates_removed, nulls_in, nulls_out) from one pass each.
 
-    Copies are counted as rows minus distinct rows by a hash of the whole row.
+    Copies are counted as rows minus distinct rows.
     """
 
     def nulls(df: DataFrame) -> Column:
