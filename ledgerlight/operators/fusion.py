@@ -137,22 +137,29 @@ def fuse(df: DataFrame, cfg: EngineConfig = EngineConfig(), keep_all: bool = Fal
 def gather_findings(long: dict[str, DataFrame]) -> DataFrame:
     """Group long finding tables by transaction: the way in for findings stored as rows.
 
-    One transaction has at most a few dozen findings, so the collected arrays are small.
+    A transaction has one finding per detector. Copies are combined by an aggregate first, so what is
+    collected per transaction is never longer than the list of detectors.
     """
     parts = None
     for family, rows in long.items():
         finding = F.struct("id", "name", "severity", "score", "confidence", "deviation", "reason", "evidence")
-        tagged = rows.select("transaction_id", "customer_id", F.lit(family).alias("family"), finding.alias("finding"))
+        tagged = rows.select("transaction_id", "customer_id", F.lit(family).alias("family"), "id", finding.alias("finding"))
         parts = tagged if parts is None else parts.unionByName(tagged)
-    grouped = parts.groupBy("transaction_id").agg(
+    rank = F.struct("finding.score", "finding.confidence", "finding.deviation")
+    single = parts.groupBy("transaction_id", "family", "id").agg(
+        F.max("customer_id").alias("customer_id"), F.max_by("finding", rank).alias("finding")
+    )
+
+    def by_id(a: Column, b: Column) -> Column:
+        return F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
+
+    return single.groupBy("transaction_id").agg(
         F.max("customer_id").alias("customer_id"),
         *[
-            F.array_sort(F.collect_list(F.when(F.col("family") == f, F.col("finding"))),
-                         lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias(c)
+            F.array_sort(F.collect_list(F.when(F.col("family") == f, F.col("finding"))), by_id).alias(c)
             for f, c in COLUMNS.items()
         ],
     )
-    return grouped
 
 
 def fixed_weight_fusion(scores: DataFrame, weights: dict[str, float], thresholds=(90.0, 75.0, 50.0)) -> DataFrame:

@@ -135,6 +135,8 @@ def test_findings_regrouped_from_rows(spark):
     long = {f: detectors.findings_long(found, c) for f, c in fusion.COLUMNS.items() if f != "ml"}
     back, direct = fusion.fuse(fusion.gather_findings(long)).first(), fusion.fuse(found).first()
     assert back.overall_risk_score == direct.overall_risk_score and back.top_reasons == direct.top_reasons
+    copies = {f: df.unionByName(df) for f, df in long.items()}
+    assert fusion.fuse(fusion.gather_findings(copies)).first().top_reasons == direct.top_reasons
 
 
 def test_explanation(spark):
