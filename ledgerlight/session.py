@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "ledgerlight", master: str | None = None, **conf: str) -> SparkSession:
@@ -13,6 +10,7 @@ def build_session(app: str = "ledgerlight", master: str | None = None, **conf: s
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -26,22 +24,14 @@ def build_session(app: str = "ledgerlight", master: str | None = None, **conf: s
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; survives lost executors.
+    """Reliable checkpoint in the folder that spark.checkpoint.dir names; survives lost executors.
 
-    Only a local session may fall back to a folder of its own.
+    Only where that is unset (as in a local session of one's own) a folder beside the warehouse is taken, which all
+    executors share as well. Set spark.cleaner.referenceTracking.cleanCheckpoints to have files go with their frames.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="ledgerlight-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after counting at most ``max_rows + 1`` rows of ``df``."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
