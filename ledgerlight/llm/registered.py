@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import simhash
+from ledgerlight.llm import exact_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,3 +31,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_simhash(spark, d):
     found = simhash.near_duplicates(table(spark, d, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+
+
+@register("op5_exact_dedup", """WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS raw, translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS body FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+  row_number() OVER best = 1 AS kept, sha256(body) AS text_sha256
+FROM d WINDOW best AS (PARTITION BY body ORDER BY length(raw) DESC, doc_id)""")
+def op5_exact_dedup(spark, d):
+    found = exact_dedup.exact_duplicates(table(spark, d, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
