@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import exact_dedup, simhash
+from ledgerlight.llm import bpe, exact_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +34,17 @@ def op1_simhash(spark, d):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
+@register("op2_byte_bpe")
+def op2_byte_bpe(spark, d):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    tokens = bpe.encode(table(spark, d, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return bpe.decode(tokens, path, public_tokenizers.PATTERN).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @register("op5_exact_dedup", """WITH d AS (
   SELECT doc_id, coalesce(text, '') AS raw, translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS body FROM documents)
 SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
