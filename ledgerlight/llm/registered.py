@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe, chat, exact_dedup, simhash
+from ledgerlight.llm import bpe, chat, exact_dedup, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,9 @@ FROM d WINDOW best AS (PARTITION BY body ORDER BY length(raw) DESC, doc_id)""")
 def op5_exact_dedup(spark, d):
     found = exact_dedup.exact_duplicates(table(spark, d, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+@register("op10_cube_mixing")
+def op10_cube_mixing(spark, d):
+    mix = mixing.mix(table(spark, d, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
