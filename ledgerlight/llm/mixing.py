@@ -7,7 +7,7 @@ whole times its ratio target/size allows, and once more with the ratio's fractio
 The cube method settles those fractions: probabilities move along the null space of the constraints (document total and
 word total of the source) until one of them is 0 or 1, so both totals stay as they are. The flight runs in blocks of a
 source in parallel, each of which leaves two documents unsettled; those of many blocks fly on together, and the last two of
-a source are landed at random. A hot source is many blocks; blocks come from hashes of the rows, so reruns agree.
+a source are landed with ten others: of their few samples, one of those that come closest to both totals. A hot source is many blocks; blocks come from hashes of the rows, so reruns agree.
 
 Null texts have size 0; rows keep their null ids and sources (a null source is one of its own). Repeated rows are sampled
 one by one, in one block. Other columns are ignored; an empty table gives an empty result.
@@ -26,6 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents of one flight.
 BLOCK = 4096
+#: Units that wait for the landing of a source.
+LANDING = 10
 SEED = 20_240
 
 
@@ -57,36 +59,46 @@ def targets(sized: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
 def flight(size: np.ndarray, chance: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
     """Move probabilities to 0 or 1 with their sum and their size-weighted sum unchanged; at most two stay fractional.
 
-    ``land``: settle those too, first with their sum unchanged, the last by its own probability.
+    ``land``: settle all. Some units of all sizes stay out of the flight; they and the last two are landed together.
     """
-    chance = chance.copy()
-    draws = iter(rng.random(2 * len(chance) + 8).tolist())
+    chance = chance.astype(float)
+    draws = iter(rng.random(len(chance) + 8).tolist())
+    open_ = np.flatnonzero((chance > 0) & (chance < 1))
+    last = open_[np.unique(np.linspace(0, len(open_) - 1, min(LANDING, len(open_))).astype(int))] if land else open_[:0]
+    words = float((size[open_] * chance[open_]).sum())
+    total = float(chance[open_].sum())
     held: list[int] = []
-
-    def move(units: list[int], along: list[float]) -> None:
-        forth = min(((1 - chance[i]) if u > 0 else chance[i]) / abs(u) for i, u in zip(units, along) if u)
-        back = min((chance[i] if u > 0 else (1 - chance[i])) / abs(u) for i, u in zip(units, along) if u)
-        step = forth if next(draws) * (forth + back) < back else -back
-        for i, u in zip(units, along):
-            p = chance[i] + step * u
-            chance[i] = 0.0 if p < 1e-9 else 1.0 if p > 1 - 1e-9 else p
-
-    for i in np.flatnonzero((chance > 0) & (chance < 1)).tolist():
+    for i in np.setdiff1d(open_, last, assume_unique=True).tolist():
         held.append(i)
-        if len(held) == 3:
-            a, b, c = (float(size[k]) for k in held)
-            along = [c - b, a - c, b - a]
-            top = max(map(abs, along))
-            move(held, [u / top for u in along] if top else [1.0, -1.0, 0.0])
-            held = [k for k in held if 0 < chance[k] < 1]
-    while len(held) > 1 and (land or size[held[0]] == size[held[1]]):
-        move(held, [1.0, -1.0])
+        if len(held) < 3:
+            continue
+        a, b, c = (float(size[k]) for k in held)
+        along = [c - b, a - c, b - a] if not a == b == c else [1.0, -1.0, 0.0]
+        forth = min(((1 - chance[k]) if u > 0 else chance[k]) / abs(u) for k, u in zip(held, along) if u)
+        back = min((chance[k] if u > 0 else (1 - chance[k])) / abs(u) for k, u in zip(held, along) if u)
+        step = forth if next(draws) * (forth + back) < back else -back
+        for k, u in zip(held, along):
+            q = chance[k] + step * u
+            chance[k] = 0.0 if q < 1e-9 else 1.0 if q > 1 - 1e-9 else q
         held = [k for k in held if 0 < chance[k] < 1]
-    if land and held:
-        chance[held[0]] = float(next(draws) < chance[held[0]])
+    last = np.concatenate([last, np.array(held, int)]) if land else last
+    if len(last):
+        settled = np.setdiff1d(open_, last, assume_unique=True)
+        chance[last] = _landed(
+            size[last].astype(float), chance[last], words - float((size[settled] * chance[settled]).sum()), total - float(chance[settled].sum()), rng
+        )
     return chance
 
 
+def _landed(size: np.ndarray, chance: np.ndarray, words: float, total: float, rng: np.random.Generator) -> np.ndarray:
+    """A sample of a few units close to both totals, drawn by the units' own probabilities among the samples as close."""
+    samples = (np.arange(1 << len(size))[:, None] >> np.arange(len(size)) & 1).astype(float)
+    gap = np.abs(samples @ size - words) / max(1.0, float(size.mean())) + 0.1 * np.maximum(0.0, np.abs(samples.sum(1) - total) - 1)
+    good = np.flatnonzero(gap <= gap.min() + 0.01)
+    weight = np.where(samples[good] > 0, chance, 1 - chance).prod(1)
+    return samples[rng.choice(good, p=weight / weight.sum() if weight.sum() > 0 else None)]
+
+
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
     """(doc_id, text_key, source, size, source_size, target, times): how often the mix takes every document."""
     sized = materialise(sizes(docs))
@@ -99,7 +111,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[fl
 
     def fly(land: bool):
         def run(key, own: pd.DataFrame) -> pd.DataFrame:
-            # long documents first: those that stay unsettled, and so are landed, are short
+            # by size: units of all sizes wait for the landing
             own = own.sort_values(["size", *order], ascending=[False, True, True, True], kind="stable", na_position="first", ignore_index=True)
             low = int(own["spot"].iloc[0]) & 0xFFFFFFFF
             own["chance"] = flight(own["size"].to_numpy(), own["chance"].to_numpy(), np.random.default_rng([SEED, low, len(own)]), land)
