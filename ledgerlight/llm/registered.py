@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe, chat, exact_dedup, mixing, simhash
+from ledgerlight.llm import bpe, chat, exact_dedup, lz, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,6 +85,11 @@ def op5_exact_dedup(spark, d):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+@register("op6_lz_fingerprint")
+def op6_lz_fingerprint(spark, d):
+    return lz.neighbour_fingerprints(table(spark, d, "documents"))
+
+
 @register("op10_cube_mixing")
 def op10_cube_mixing(spark, d):
     mix = mixing.mix(table(spark, d, "documents"))
