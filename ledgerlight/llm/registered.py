@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe, chat, exact_dedup, lz, mixing, simhash
+from ledgerlight.llm import bpe, chat, exact_dedup, lz, mixing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,6 +90,20 @@ def op6_lz_fingerprint(spark, d):
     return lz.neighbour_fingerprints(table(spark, d, "documents"))
 
 
+@register("op9_secret_ownership")
+def op9_secret_ownership(spark, d):
+    found = secrets.find_secrets(table(spark, d, "documents"))
+    names = F.array(*map(F.lit, secrets.KINDS))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+    live = F.filter("spans", lambda s: s["live"])
+    return found.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)],
+        F.sha2(line(of(0, 1, 2)), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"),
+        F.size(live).cast("long").alias("n_live"), F.size(F.filter("spans", lambda s: s["n_owners"] >= secrets.COPIED_OWNERS)).cast("long").alias("n_copied"),
+    )
+
+
 @register("op10_cube_mixing")
 def op10_cube_mixing(spark, d):
     mix = mixing.mix(table(spark, d, "documents"))
