@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe, chat, exact_dedup, lz, mixing, secrets, simhash
+from ledgerlight.llm import bpe, chat, exact_dedup, langid, lz, mixing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,6 +90,11 @@ def op6_lz_fingerprint(spark, d):
     return lz.neighbour_fingerprints(table(spark, d, "documents"))
 
 
+@register("op8_language_id")
+def op8_language_id(spark, d):
+    return langid.identify(table(spark, d, "documents")).drop("text_key")
+
+
 @register("op9_secret_ownership")
 def op9_secret_ownership(spark, d):
     found = secrets.find_secrets(table(spark, d, "documents"))
