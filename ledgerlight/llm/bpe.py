@@ -28,7 +28,7 @@ from ledgerlight.llm.common import map_texts, text_runs
 #: Pieces of more bytes than this are merged one by one with a heap.
 LONG_PIECE = 256
 #: Pieces a worker remembers before it starts afresh.
-MEMORY = 1_000_000
+MEMORY = 400_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -61,7 +61,7 @@ class Codec:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self._index_pairs()
+        self.keys = None
         self.forget()
 
     def forget(self) -> None:
@@ -175,6 +175,8 @@ class Codec:
         pieces, self.memory.waiting = self.memory.waiting, []
         if not pieces:
             return
+        if self.keys is None:
+            self._index_pairs()
         out: list = [None] * len(pieces)
         buckets: dict[int, list[int]] = {}
         data = [p.encode("utf-8", "surrogatepass") for p in pieces]

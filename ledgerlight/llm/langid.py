@@ -213,7 +213,7 @@ def identify(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) ->
 
 
 #: Documents whose best language is less likely than this are rejected by ``known_language``.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def known_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
