@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe, chat, exact_dedup, langid, lz, mixing, secrets, simhash, toxicity
+from ledgerlight.llm import bpe, chat, exact_dedup, langid, lz, mixing, secrets, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,6 +95,12 @@ def op6_lz_fingerprint(spark, d):
     return lz.neighbour_fingerprints(table(spark, d, "documents"))
 
 
+@register("op7_sparse_suffix")
+def op7_sparse_suffix(spark, d):
+    found = suffixes.passages(table(spark, d, "documents"))
+    return found.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.array_sort("other_docs").alias("other_docs"))
+
+
 @register("op8_language_id")
 def op8_language_id(spark, d):
     return langid.identify(table(spark, d, "documents")).drop("text_key")
