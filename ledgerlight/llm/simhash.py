@@ -130,12 +130,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", "text_key", "fp", "component_id", "component_size")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``docs`` without near copies: of each component the document with the smallest id stays.
 
     Rows without an id go only where a document with an id stands for them.
     """
-    found = near_duplicates(docs).where("component_size > 1 AND NOT doc_id <=> component_id")
+    found = near_duplicates(docs, shingle=shingle).where("component_size > 1 AND NOT doc_id <=> component_id")
     lost = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     same = F.expr("doc_id <=> _id AND xxhash64(coalesce(text, '')) = _key")
     return docs.join(lost, same, "left_anti")
