@@ -135,7 +135,7 @@ def neighbour_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFra
     before, lows, null_first = [0] * parts, [f.low for f in firsts if not f.no_id], any(f.no_id for f in firsts)
     for k, f in enumerate(firsts):
         before[f.bucket] = firsts[k - 1].bucket
-    is_first = F.coalesce(F.col("doc_id").isin(lows) if lows else F.lit(False), F.lit(null_first))
+    is_first = F.when(F.col("doc_id").isNull(), null_first).otherwise(F.col("doc_id").isin(lows) if lows else F.lit(False))
     own = F.struct(F.col("bucket"), F.lit(False).alias("guest"))
     again = F.struct(F.element_at(F.array(*map(F.lit, before)), F.col("bucket") + 1).alias("bucket"), F.lit(True).alias("guest"))
     places = F.when(is_first, F.array(own, again)).otherwise(F.array(own))

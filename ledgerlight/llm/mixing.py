@@ -110,7 +110,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[fl
     order = ["spot", "doc_id", "text_key"]
 
     def fly(land: bool):
-        def run(key, own: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
             # by size: units of all sizes wait for the landing
             own = own.sort_values(["size", *order], ascending=[False, True, True, True], kind="stable", na_position="first", ignore_index=True)
             low = int(own["spot"].iloc[0]) & 0xFFFFFFFF

@@ -225,9 +225,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     toxic = materialise(totals(known.where("toxic = 1")))
     n_toxic = toxic.where("key = -1").first()
+    if n_toxic is None:
+        return model
     often = toxic.where((F.col("key") >= 0) & (F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * n_toxic["n"])))
     often = {r["key"]: r for r in often.orderBy(F.desc("n"), "key").limit(MAX_FEATURES).collect()}
     clean = {r["key"]: r for r in totals(known.where("toxic = 0"), context.broadcast(set(often))).collect()}
+    if -1 not in clean:
+        return model
     n_clean = clean.pop(-1)
 
     def weights(part: str) -> dict[int, float]:
