@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ SAMPLE_ROWS = 40_000
 LEAST_DOCS, LEAST_SHARE = 3, 0.002
 MAX_FEATURES = 400_000
 THRESHOLD = 0.3
-MEMORY = 300_000
+MEMORY = 800_000
 SINGLE_RUN = re.compile(b"[\x01\x02]{4,}")
 
 
@@ -53,15 +54,18 @@ def letter(c: str) -> int:
     return k if 1 <= k <= 26 else 27 + ord(c) % (ALPHABET - 27)
 
 
-def trigram_counts(words: Counter) -> np.ndarray:
-    total = np.zeros(ALPHABET**3, np.int64)
-    for word, n in words.items():
-        a = b = 0
-        for c in map(letter, word):
-            total[(a * ALPHABET + b) * ALPHABET + c] += n
-            a, b = b, c
-        total[(a * ALPHABET + b) * ALPHABET] += n
-    return total
+def trigram_counts(texts: list[str]) -> np.ndarray:
+    """How often each letter class follows two others; a word is a stretch of letters, its edges count as class 0."""
+    codes = np.frombuffer(" ".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    k = np.concatenate([[0], _classes()[codes], [0]])
+    before = np.where(k[:-1] == 0, 0, np.concatenate([[0], k[:-2]]))
+    return np.bincount(((before * ALPHABET + k[:-1]) * ALPHABET + k[1:])[(k[:-1] > 0) | (k[1:] > 0)], minlength=ALPHABET**3)
+
+
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """The class of each code point, 0 for all that are no letters."""
+    return np.fromiter((letter(c) if (c := chr(i)).isalpha() else 0 for i in range(0x110000)), np.int64, 0x110000)
 
 
 def language_model(docs: DataFrame) -> np.ndarray:
@@ -74,10 +78,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
         total = np.zeros(ALPHABET**3, np.int64)
         for batch in batches:
             for _, texts in text_runs(batch):
-                words: Counter = Counter()
-                for t in texts:
-                    words.update(t.lower().split())
-                total += trigram_counts(Counter({w: n for w, n in words.items() if w.isalpha() and len(w) <= LONGEST}))
+                total += trigram_counts(texts)
         index = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(total[index])], names=["gram", "n"])
 
@@ -115,48 +116,56 @@ def restored(token: str, model: list[float]) -> str:
 
 
 EDGES = ".,;:!?\"'()[]{}<>*#%&$|~`«»¡¿…-_/\\=+"
+REPEATED = re.compile(r"(.)\1\1")
+#: A sign that is part of the word although it stands at its edge.
+EDGE_SIGN = re.compile(r"[$|+€](?=[^\W\d_])|(?<=[^\W\d_])[$|+€]$")
+
 
+def forms(token: str, model: list[float]) -> tuple[str, ...]:
+    """The plain words that a lower-case token may stand for; most are their own only form."""
+    core = token.strip(EDGES)
+    plain = core.isalpha()
+    if len(token) > LONGEST or plain and not REPEATED.search(core) and not EDGE_SIGN.search(token):
+        return (core,) if plain and len(core) > 1 else ()
+    if not any(map(str.isalpha, token)):
+        return ()
+    return tuple(dict.fromkeys(x for x in ([core] if plain else []) + [restored(t, model) for t in dict.fromkeys((core, token))] if len(x) > 1))
 
-class Reader:
-    """Turns texts into restored words; what a token restores to is remembered."""
 
-    def __init__(self, model: np.ndarray):
-        self.model = model.tolist()
-        self.memory: dict[str, tuple[str, ...]] = {}
+class Reader(dict):
+    """What each token is worth: ``make`` of its forms, worked out once and remembered."""
 
-    def forms(self, token: str) -> tuple[str, ...]:
-        """The plain words a lower-case token may stand for."""
-        core = token.strip(EDGES)
-        out = [core] if core.isalpha() else []
-        if len(token) <= LONGEST and any(map(str.isalpha, token)) and (not core.isalpha() or _repeats(core) or token[:1] in SIGNS or token[-1:] in SIGNS):
-            out += [restored(x, self.model) for x in {core, token}]
-        return tuple(dict.fromkeys(x for x in out if len(x) > 1))
+    def __init__(self, model: np.ndarray, make):
+        self.model, self.make = model.tolist(), make
 
-    def words(self, text: str) -> list[tuple[str, ...]]:
-        """The forms of each token, and of runs of single letters joined together."""
+    def __missing__(self, token: str):
+        found = self[token] = self.make(forms(token, self.model))
+        return found
+
+    def read(self, text: str) -> list:
+        """The worth of every token, and of runs of single letters joined to one token."""
         tokens = text.lower().split()
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        out, know = [], self.memory
-        for t in tokens:
-            if (found := know.get(t)) is None:
-                found = know[t] = self.forms(t)
-            out.append(found)
-        sizes = bytes(min(len(t), 255) for t in tokens)
+        if len(self) > MEMORY:
+            self.clear()
+        out = list(map(self.__getitem__, tokens))
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)).clip(0, 3).astype(np.uint8).tobytes()
         for m in SINGLE_RUN.finditer(sizes):
-            run = "".join(t.strip(EDGES) or t for t in tokens[m.start() : m.end()])
-            out += [self.forms(run[k : k + LONGEST]) for k in range(0, len(run), LONGEST // 2)]
+            run = ""
+            for t in [*tokens[m.start() : m.end()], "  "]:
+                one = t.strip(EDGES) or t
+                if len(one) == 1:
+                    run += one
+                    continue
+                if len(run) > 3:
+                    out += [self[run[k : k + LONGEST]] for k in range(0, len(run), LONGEST // 2)]
+                run = ""
         return out
 
 
-def _repeats(word: str) -> bool:
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
-
-
-def keys(word: str) -> list[int]:
-    """Hashes of a word and of its beginnings of three to six letters."""
+def keys(words: tuple[str, ...]) -> tuple[int, ...]:
+    """Hashes of words and of their beginnings of three to six letters."""
     of = xxhash.xxh3_64_intdigest
-    return [of("=" + word) >> 1, *[of(word[:n]) >> 1 for n in range(3, min(6, len(word)) + 1)]]
+    return tuple({k for w in words for k in (of("=" + w) >> 1, *[of(w[:n]) >> 1 for n in range(3, min(6, len(w)) + 1)])})
 
 
 @dataclass
@@ -168,19 +177,16 @@ class Model:
     scale: np.ndarray | None = None
 
 
-def evidence(reader: Reader, weights: dict[int, float], memory: dict, text: str) -> list[float]:
+def weigher(weights: dict[int, float]):
+    """The largest weight among the keys of a token's forms."""
+    return lambda words: max((weights.get(k, 0.0) for k in keys(words)), default=0.0)
+
+
+def evidence(reader: Reader, text: str) -> list[float]:
     """A document's strongest weight, sum of its three strongest, number and share of marked tokens."""
-    marks = []
-    forms = reader.words(text)
-    for f in forms:
-        if not f:
-            continue
-        if (w := memory.get(f)) is None:
-            w = memory[f] = max((weights.get(k, 0.0) for x in f for k in keys(x)), default=0.0)
-        if w > 0:
-            marks.append(w)
-    marks.sort(reverse=True)
-    return [marks[0] if marks else 0.0, sum(marks[:3]), float(np.log1p(len(marks))), len(marks) / max(1, len(forms))]
+    found = reader.read(text)
+    marks = sorted(filter(None, found), reverse=True)
+    return [marks[0] if marks else 0.0, sum(marks[:3]), float(np.log1p(len(marks))), len(marks) / max(1, len(found))]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -201,13 +207,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     def counted(wanted):
         def count(batches):
-            reader, only = Reader(grams.value), wanted.value if wanted else None
+            only = wanted.value if wanted else None
+            reader = Reader(grams.value, keys if only is None else lambda words: tuple(k for k in keys(words) if k in only))
             found, n = (Counter(), Counter()), [0, 0]
             for batch in batches:
                 for part, texts in text_runs(batch):
                     for t, half in zip(texts, part.column("half").to_pylist()):
-                        own = {k for f in reader.words(t) for x in f for k in keys(x)}
-                        found[half].update(own if only is None else own & only)
+                        found[half].update({k for own in set(reader.read(t)) for k in own})
                         n[half] += 1
                     if len(found[0]) + len(found[1]) > 500_000:
                         yield from map(_counts, (0, 1), found)
@@ -248,12 +254,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     shared = context.broadcast(model)
 
     def vectors(part, texts, state):
-        reader, weights, memory = state
-        return [part.column("doc_id"), part.column("toxic").cast(pa.int64()), [evidence(reader, weights, memory, t) for t in texts]]
+        return [part.column("doc_id"), part.column("toxic").cast(pa.int64()), [evidence(state, t) for t in texts]]
 
     def setup():
-        m = shared.value
-        return Reader(m.grams), m.weights, {}
+        return Reader(shared.value.grams, weigher(shared.value.weights))
 
     second = known.where("half = 1").select("doc_id", "toxic", "text")
     data = map_texts(second, vectors, "doc_id long, toxic long, x array<double>", setup).toPandas().sort_values(["doc_id", "toxic"])
@@ -295,16 +299,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def setup():
         m = shared.value
-        return m, Reader(m.grams), {}
+        return m, Reader(m.grams, weigher(m.weights))
 
     def work(part, texts, state):
-        m, reader, memory = state
+        m, reader = state
         if m.logistic is None:
             out = [0.0] * len(texts)
         else:
-            if len(memory) > MEMORY:
-                memory.clear()
-            x = np.array([evidence(reader, m.weights, memory, t) for t in texts]).reshape(-1, 4)
+            x = np.array([evidence(reader, t) for t in texts]).reshape(-1, 4)
             out = 1 / (1 + np.exp(-np.clip(np.c_[(x - m.centre) / m.scale, np.ones(len(x))] @ m.logistic, -30, 30)))
         return [*[part.column(i) for i in range(len(rest))], out]
 

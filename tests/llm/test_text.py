@@ -124,13 +124,15 @@ def test_language_id(spark):
 
 
 def test_deobfuscation():
-    total = toxicity.trigram_counts(toxicity.Counter({"stinker": 50, "rotten": 40, "the": 500, "and": 400, "house": 80, "letter": 60}))
+    total = toxicity.trigram_counts(["stinker " * 50, "rotten, " * 40, "the " * 500 + "AND " * 400, "house " * 80 + "letter 1 " * 60])
     table = (total + 0.05).reshape(-1, toxicity.ALPHABET)
     model = np.log(table / table.sum(1, keepdims=True)).ravel().tolist()
     for hidden, plain in (("st1nker", "stinker"), ("$t!nk3r", "stinker"), ("s.t.i.n.k.e.r", "stinker"), ("stiiiinkerrr", "stinker"), ("r0tt3n", "rotten"), ("hou5e", "house")):
         assert toxicity.restored(hidden, model) == plain
-    reader = toxicity.Reader(np.array(model))
-    assert ("stinker",) in reader.words("a s t i n k e r !") or any("stinker" in f[0] for f in reader.words("x s t i n k e r !") if f)
+    assert toxicity.forms("$tinker,", model) == ("tinker", "stinker") and toxicity.forms("letter!!", model) == ("letter",)
+    reader = toxicity.Reader(np.array(model), lambda words: words)
+    assert reader.read("The s t. i n k e r house")[-1] == ("stinker",)
+    assert reader.read("x y") == [(), ()] and reader.read("") == []
 
 
 def test_toxicity(spark):
