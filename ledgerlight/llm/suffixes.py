@@ -4,7 +4,7 @@ Of all suffixes of a text (at word starts) those at minimiser positions are kept
 words the run with the smallest hash. Any MIN_WORDS words that two documents share hold the same minimiser in both. The
 kept suffixes of the corpus are sorted, neighbours of different documents are compared, and each match is extended left and
 right; where both sides together reach MIN_WORDS words, the passage is reported. Long passages hold many minimisers, whose
-spans are joined, so the context that a suffix carries (MIN_WORDS words each way) is enough for a passage of any length.
+spans are joined, so the context that a suffix carries (REACH words each way) is enough for a passage of any length.
 
 Only suffixes whose first GRAM words occur in two documents can match. A bit array of fixed size (FILTER_BITS) tells which
 those may be; it is built by Spark and broadcast, and when a corpus fills it, it lets more suffixes pass but loses none.
@@ -33,8 +33,11 @@ from ledgerlight.session import materialise
 MIN_WORDS = 50
 GRAM = 8
 WINDOW = MIN_WORDS - GRAM + 1
+#: Words of context before a kept suffix and after its first GRAM words: every window of MIN_WORDS has a minimiser that near.
+REACH = MIN_WORDS - GRAM
 STRIDE = 32
 FILTER_BITS = 26
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -49,7 +52,7 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(h) - GRAM + 1
     g = np.zeros(n, np.uint64)
     for j in range(GRAM):
-        g = g * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+        g = g * MIX + h[j : j + n]
     g ^= g >> np.uint64(31)
     g *= np.uint64(0xBF58476D1CE4E5B9)
     g ^= g >> np.uint64(29)
@@ -97,11 +100,11 @@ def _repeated(rows: DataFrame) -> np.ndarray:
 
 
 def _codes(h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the MIN_WORDS words from each place on, and of those before it (nearest first); 0 beyond the text."""
+    """Codes of the REACH words after each place's first run, and of those before it (nearest first); 0 beyond the text."""
     code = np.zeros(len(h) + 2 * MIN_WORDS, np.uint16)
     code[MIN_WORDS : MIN_WORDS + len(h)] = 1 + (h >> np.uint64(20)) % np.uint64(65_535)
-    reach = np.arange(MIN_WORDS)
-    return code[MIN_WORDS + place[:, None] + reach], code[MIN_WORDS - 1 + place[:, None] - reach]
+    reach = np.arange(REACH)
+    return code[MIN_WORDS + GRAM + place[:, None] + reach], code[MIN_WORDS - 1 + place[:, None] - reach]
 
 
 def _contexts(rows: DataFrame, bits, with_codes: bool) -> DataFrame:
@@ -121,7 +124,7 @@ def _contexts(rows: DataFrame, bits, with_codes: bool) -> DataFrame:
                 kept.append((data, place))
                 spread += [k] * len(place)
         take = pa.array(spread, pa.int64())
-        data = np.concatenate([d for d, _ in kept]) if kept else np.zeros((0, 8 + 4 * MIN_WORDS), np.uint8)
+        data = np.concatenate([d for d, _ in kept]) if kept else np.zeros((0, 8 + 4 * REACH), np.uint8)
         raw = [x.tobytes() for x in data]
         hashes = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in raw]
         ids = [part.column("doc_id").take(take), part.column("row").take(take)]
@@ -143,7 +146,7 @@ def _matches(codes: np.ndarray, single: np.ndarray, low: np.ndarray, high: np.nd
     """For each sorted row how far left and right it matches a neighbour of another document, and an id of one."""
     n = len(codes)
     whole = codes.view(">u2").reshape(n, -1)
-    gram, right, left = whole[:, :4], whole[:, 4 : 4 + MIN_WORDS], whole[:, 4 + MIN_WORDS :]
+    gram, right, left = whole[:, :4], whole[:, 4 : 4 + REACH], whole[:, 4 + REACH :]
     back, ahead, other = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1)
     # rows of one and the same document form runs; a run is compared with the rows beside it
     edge = np.ones(n, bool)
@@ -155,20 +158,58 @@ def _matches(codes: np.ndarray, single: np.ndarray, low: np.ndarray, high: np.nd
         j = partner[i]
         near = (gram[i] == gram[j]).all(1)
         i, j = i[near], j[near]
-        r, b = _same(right[i], right[j]), _same(left[i], left[j])
+        r, b = GRAM + _same(right[i], right[j]), _same(left[i], left[j])
         good = r + b >= min_words
         i, j, r, b = i[good], j[good], r[good], b[good]
         ahead[i], back[i] = np.maximum(ahead[i], r), np.maximum(back[i], b)
         other[i] = j
     # a context that several documents share matches as far as it goes
     many = single == 0
-    full_r, full_l = (right[many] != 0).sum(1), (left[many] != 0).sum(1)
+    full_r, full_l = GRAM + (right[many] != 0).sum(1), (left[many] != 0).sum(1)
     good = full_r + full_l >= min_words
     at = np.flatnonzero(many)[good]
     ahead[at], back[at] = np.maximum(ahead[at], full_r[good]), np.maximum(back[at], full_l[good])
+    # of three or more suffixes of one first run, the nearest on the right may not be the one that goes far to the left
+    if min_words == MIN_WORDS:
+        new = np.r_[True, (gram[1:] != gram[:-1]).any(1)]
+        group = np.cumsum(new) - 1
+        rows = np.flatnonzero(np.bincount(group)[group] > 2)
+        _all_windows(rows, group[rows], right[rows], left[rows], single[rows], back, ahead, other)
     return back, ahead, other
 
 
+def _all_windows(rows, group, right, left, single, back, ahead, other) -> None:
+    """Every window of MIN_WORDS words around these suffixes: those that rows of different documents share count."""
+    if not len(rows):
+        return
+    after = [np.zeros(len(rows), np.uint64)]
+    for k in range(REACH):
+        after.append((after[-1] + right[:, k] + np.uint64(1)) * MIX)
+    n_right, n_left = (right != 0).sum(1), (left != 0).sum(1)
+    before = group.astype(np.uint64) * MIX
+    for o in range(REACH + 1):
+        if o:
+            before = (before ^ (before >> np.uint64(29))) * MIX + left[:, o - 1]
+        own = np.flatnonzero((n_left >= o) & (n_right >= REACH - o))
+        key = before[own] ^ (after[REACH - o][own] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(o))
+        order = own[np.argsort(key, kind="stable")]
+        if not len(order):
+            continue
+        key = np.sort(key, kind="stable")
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(order)])
+        docs = single[order]
+        low, high = np.minimum.reduceat(docs, start), np.maximum.reduceat(docs, start)
+        shared = np.repeat((low != high) | (low == 0) & (size > 1), size)
+        # a row of another document: the first or the last of the sorted ones
+        by_doc = order[np.lexsort((docs, np.repeat(np.arange(len(start)), size)))]
+        first, last = np.repeat(by_doc[start], size), np.repeat(by_doc[start + size - 1], size)
+        partner = np.where(single[first] != docs, first, last)
+        hit, near = rows[order[shared]], rows[partner[shared]]
+        back[hit], ahead[hit] = np.maximum(back[hit], o), np.maximum(ahead[hit], MIN_WORDS - o)
+        other[hit] = np.where(other[hit] < 0, near, other[hit])
+
+
 def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, row, start, end, other_docs): every passage of ``min_words`` or more words that other documents hold too.
 
