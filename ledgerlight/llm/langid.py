@@ -25,7 +25,7 @@ from ledgerlight.llm.common import map_texts, text_runs
 DIMS = 1 << 16
 UNKNOWN = "und"
 #: Training rows of a language that weights are fitted on.
-SAMPLE_PER_LANGUAGE = 1_500
+SAMPLE_PER_LANGUAGE = 600
 MAX_LANGUAGES = 1_000
 
 
@@ -165,7 +165,7 @@ def train(rows: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Mo
     taken = map_texts(sample, vectors, "doc_id long, lang string, index array<int>, counts array<float>")
     kept = taken.limit(2 * sample_per_language * len(languages)).toPandas().sort_values(["doc_id", "lang"], na_position="first")
     model = Model(languages, idf, np.zeros((DIMS, len(languages))), 1.0)
-    data = [(languages.index(lang), i := np.asarray(index, np.int64), model.vector(i, np.asarray(c, float))) for lang, index, c in zip(kept["lang"], kept["index"], kept["counts"]) if len(index)]
+    data = [(languages.index(lang), i := np.asarray(index, np.int32), model.vector(i, np.asarray(c, float)).astype(np.float32)) for lang, index, c in zip(kept["lang"], kept["index"], kept["counts"]) if len(index)]
     order = np.random.default_rng(5).permutation(len(data))
     fifth = len(data) // 5
     held, used = [data[k] for k in order[:fifth]], [data[k] for k in order[fifth:]]
