@@ -28,12 +28,13 @@ from ledgerlight.operators.ordered import (
     running_sums,
     with_slices,
 )
-from ledgerlight.session import materialise
 
 EPSILON = 1e-5
 CUSTOMER = "customer_id"
 ORDER = ["_us", "transaction_id"]
-MONEY = "decimal(24,6)"
+# amounts of hot customers from here on (and what is no number) are kept apart from the exact sums
+BIG = 1e12
+EXACT = "decimal(38,6)"
 
 # profile field -> type, as attached to transactions under the prefix ``profile_``
 PROFILE_FIELDS = {
@@ -122,7 +123,7 @@ def amount_scale_sliced(df: DataFrame, base: DataFrame, hot: HotKeys, cfg: Engin
     stats = stats.join(medians, CUSTOMER, "left")
     counts = base.where(F.col("amount").isNotNull()).groupBy(CUSTOMER, "amount").agg(F.count(F.lit(1)).alias("_same"))
     ranks = running_sums(
-        with_slices(counts, [CUSTOMER], "amount", cfg, hot.small), [CUSTOMER], ["amount"], {"_upto": F.col("_same")}
+        with_slices(counts, [CUSTOMER], "amount", cfg), [CUSTOMER], ["amount"], {"_upto": F.col("_same")}
     ).select(CUSTOMER, "amount", (F.col("_upto") - (F.col("_same") - 1) / 2).alias("_rank"))
     return (
         df.join(F.broadcast(stats) if hot.small else stats, CUSTOMER, "left")
@@ -189,48 +190,79 @@ def velocity(df: DataFrame) -> DataFrame:
 
 
 def velocity_sliced(df: DataFrame, base: DataFrame, cfg: EngineConfig, small: bool) -> DataFrame:
-    """Trailing windows of hot customers as running sums; amounts are summed as exact decimals."""
+    """Trailing windows of hot customers as running sums of exact decimals; see ``parts`` for what does not fit them."""
     keyed = [CUSTOMER]
 
     def with_gap(rows: DataFrame) -> DataFrame:
         lagged = previous_values(rows, keyed, ORDER, ["_us"], "_prev", base)
         return lagged.withColumn("_gap", F.coalesce(F.col("_us") - F.col("_prev._us"), F.lit(0))).drop("_prev")
 
-    money = F.col("amount").cast(MONEY)
-    known = F.col("amount").isNotNull().cast("int")
-    small_money = F.col("amount").cast("decimal(18,6)")
-    cents, squares = "decimal(30,6)", "decimal(38,12)"
+    amount = F.col("amount").cast("double")
+    infinite = float("inf")
+    number = amount.isNotNull() & ~F.isnan(amount) & (F.abs(amount) != infinite)
+    big = number & (F.abs(amount) >= BIG)
+    # distances from a middle amount of the customer keep the squares small; per hot customer one sketch
+    centres = base.groupBy(CUSTOMER).agg(F.coalesce(F.percentile_approx(F.when(number & ~big, amount), 0.5, 100), F.lit(0.0)).alias("_centre"))
+    centres = F.broadcast(centres) if small else centres
+    off = amount - F.col("_centre")
+
+    def flag(c: Column) -> Column:
+        return F.coalesce(c, F.lit(False)).cast("int")
+
+    def parts(span: str, length: int) -> dict[str, Rolling]:
+        """Exact sums of ordinary amounts; counts tell whether anything else lies in the window."""
+        return {
+            f"t_n_{span}": Rolling(amount.isNotNull().cast("int"), length),
+            f"t_s_{span}": Rolling(F.when(number & ~big, off), length, EXACT),
+            f"t_q_{span}": Rolling(F.when(number & ~big, off * off), length, EXACT),
+            f"t_big_{span}": Rolling(flag(big), length),
+            f"t_bs_{span}": Rolling(F.when(big, off), length, "double"),
+            f"t_bq_{span}": Rolling(F.when(big, off * off), length, "double"),
+            f"t_nan_{span}": Rolling(flag(F.isnan(amount)), length),
+            f"t_up_{span}": Rolling(flag(amount == infinite), length),
+            f"t_down_{span}": Rolling(flag(amount == -infinite), length),
+        }
+
     totals = rolling_sliced(
-        with_gap(base),
+        with_gap(base).join(centres, CUSTOMER),
         CUSTOMER,
         {
-            "t_n_hour": Rolling(known, HOUR),
-            "t_n_day": Rolling(known, DAY),
-            "t_s_day": Rolling(money, DAY, cents),
-            "t_q_day": Rolling(small_money * small_money, DAY, squares),
-            "t_n_week": Rolling(known, 7 * DAY),
-            "t_s_week": Rolling(money, 7 * DAY, cents),
-            "t_rows_week": Rolling(F.lit(1), 7 * DAY),
-            "t_g_week": Rolling(F.col("_gap"), 7 * DAY),
+            "t_n_hour": Rolling(amount.isNotNull().cast("int"), HOUR), **parts("day", DAY), **parts("week", 7 * DAY),
+            "t_rows_week": Rolling(F.lit(1), 7 * DAY), "t_g_week": Rolling(F.col("_gap"), 7 * DAY),
         },
         cfg,
-        small,
-    )
-    n, s, q = F.col("t_n_day"), F.col("t_s_day").cast("double"), F.col("t_q_day").cast("double")
+    ).join(centres, CUSTOMER)
+
+    def summed(span: str) -> tuple[Column, Column, Column, Column]:
+        """Count, sum, sum of distances and of their squares; the sum of a window may be NaN or infinite."""
+        c = lambda name: F.col(f"t_{name}_{span}")
+        s = c("s").cast("double") + F.when(c("big") > 0, c("bs")).otherwise(0.0)
+        q = c("q").cast("double") + F.when(c("big") > 0, c("bq")).otherwise(0.0)
+        plain = s + F.col("_centre") * (c("n") - c("nan") - c("up") - c("down"))
+        total = (
+            F.when((c("nan") > 0) | ((c("up") > 0) & (c("down") > 0)), float("nan"))
+            .when(c("up") > 0, infinite).when(c("down") > 0, -infinite).otherwise(plain)
+        )
+        return c("n"), F.when(c("n") > 0, total), s, q
+
+    n, day_sum, s, q = summed("day")
+    week_n, week_sum, _, _ = summed("week")
+    strange = F.col("t_nan_day") + F.col("t_up_day") + F.col("t_down_day") > 0
     variance = (q - s * s / n) / (n - 1)
-    noise = q * 1e-13
-    spread = F.when((n > 1) & (variance * (n - 1) > noise), F.sqrt(variance)).otherwise(F.lit(0.0))
-    empty_week = F.col("t_n_week") == 0
+    spread = (
+        F.when(n <= 1, 0.0).when(strange, float("nan"))
+        .when(variance * (n - 1) > q * 1e-13, F.sqrt(variance)).otherwise(0.0)
+    )
     looked_up = totals.select(
         CUSTOMER,
         "_us",
         F.col("t_n_hour").alias("transactions_last_hour"),
         n.alias("transactions_last_day"),
-        F.when(n > 0, s).alias("amount_last_day"),
-        F.col("t_n_week").alias("transactions_last_week"),
-        F.when(~empty_week, F.col("t_s_week").cast("double")).alias("amount_last_week"),
+        day_sum.alias("amount_last_day"),
+        week_n.alias("transactions_last_week"),
+        week_sum.alias("amount_last_week"),
         n.alias("rolling_transaction_count"),
-        F.when(n > 0, s / n).alias("rolling_average_amount"),
+        F.when(n > 0, day_sum / n).alias("rolling_average_amount"),
         spread.alias("rolling_std_amount"),
         (F.col("t_g_week") / F.col("t_rows_week") / F.lit(float(HOUR))).alias("average_gap_between_transactions"),
     )
@@ -469,7 +501,7 @@ def _pairs_regular(df: DataFrame) -> DataFrame:
 
 def time_slices(hot: DataFrame, keys: HotKeys, cfg: EngineConfig) -> DataFrame:
     """Rows of hot customers cut into time slices and saved once for all later steps."""
-    return materialise(with_slices(hot, [CUSTOMER], "_us", cfg, keys.small))
+    return with_slices(hot, [CUSTOMER], "_us", cfg)
 
 
 def _pairs_sliced(df: DataFrame, base: DataFrame | None, keys: HotKeys, cfg: EngineConfig) -> DataFrame:
@@ -483,7 +515,7 @@ def _pairs_sliced(df: DataFrame, base: DataFrame | None, keys: HotKeys, cfg: Eng
         rows = rows.join(F.broadcast(modes) if keys.small else modes, CUSTOMER, "left")
     if has(df, "device_id"):
         name = "unique_devices_last_30_days"
-        rows = distinct_steps_sliced(rows, CUSTOMER, "device_id", 30 * DAY, name, cfg, keys.small, base)
+        rows = distinct_steps_sliced(rows, CUSTOMER, "device_id", 30 * DAY, name, cfg, base)
     return rows.drop("_slice")
 
 

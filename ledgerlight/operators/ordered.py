@@ -3,8 +3,9 @@
 A plain ``Window.partitionBy(key)`` sorts a whole key in one task. That is the cheapest plan for
 ordinary keys (one exchange serves every window of the key), so it is kept for them. Keys above
 ``hot_key_rows`` are found by one partial aggregation and take another way: their rows are cut into
-value or time slices, every slice is scanned by its own task, and what earlier slices contribute is
-carried over from a small per-slice summary. Both ways give the same result.
+value or time slices of equal size, every slice is scanned by its own task, and what earlier slices
+contribute is carried over from a small per-slice summary. Both ways give the same result; copies of
+a row (equal in the whole order) may share out their numbers in either order.
 """
 
 from __future__ import annotations
@@ -32,19 +33,17 @@ class HotKeys:
         return F.broadcast(self.table) if self.small else self.table
 
 
-def find_hot_keys(df: DataFrame, key: str, cfg: EngineConfig) -> HotKeys | None:
-    """Keys with more than ``hot_key_rows`` rows, at most rows / hot_key_rows of them."""
-    heavy = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > cfg.hot_key_rows)
-        .select(key)
-    )
-    if heavy.isEmpty():
-        return None
-    saved = materialise(heavy)
-    return HotKeys(saved, key, saved.limit(cfg.broadcast_rows + 1).count() <= cfg.broadcast_rows)
+def find_hot_keys(df: DataFrame, key: str, cfg: EngineConfig) -> tuple[HotKeys | None, bool]:
+    """Keys with more than ``hot_key_rows`` rows (at most rows / hot_key_rows of them), and whether rows without key exist.
+
+    One aggregation tells both; its few rows are saved and only looked at afterwards.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    found = materialise(counts.where(F.col(key).isNull() | (F.col("_rows") > cfg.hot_key_rows)).select(key))
+    heavy = found.where(F.col(key).isNotNull())
+    hot = heavy.limit(cfg.broadcast_rows + 1).count()
+    nulls = not found.where(F.col(key).isNull()).isEmpty()
+    return (HotKeys(heavy, key, hot <= cfg.broadcast_rows) if hot else None), nulls
 
 
 def by_heat(
@@ -53,35 +52,36 @@ def by_heat(
     cfg: EngineConfig,
     regular: Callable[[DataFrame], DataFrame],
     skewed: Callable[[DataFrame, HotKeys], DataFrame],
+    keep_null: bool = True,
 ) -> DataFrame:
-    """Run ``regular`` on ordinary keys and ``skewed`` on hot keys, and put the rows together."""
-    df = df.where(F.col(key).isNotNull())
-    hot = find_hot_keys(df, key, cfg)
-    if hot is None:
-        return regular(df)
-    cold_rows = df.join(hot.hinted(), key, "left_anti")
-    hot_rows = df.join(hot.hinted(), key, "left_semi")
-    return regular(cold_rows).unionByName(skewed(hot_rows, hot))
+    """Run ``regular`` on ordinary keys and ``skewed`` on hot keys, and put the rows together.
 
-
-def with_slices(df: DataFrame, keys: Sequence[str], at: str, cfg: EngineConfig, small: bool = False) -> DataFrame:
-    """Add ``_slice``: equal ranges of ``at`` per key, about ``slice_rows`` rows each.
-
-    Bounds come from exact count, min and max, so every evaluation cuts at the same places.
+    Rows without a key belong to no history: they keep their columns and have NULL in all new ones
+    (``keep_null=False`` leaves them out, for results that are one row a key).
     """
-    keys = list(keys)
-    pieces = F.greatest(F.ceil(F.col("_rows") / cfg.slice_rows), F.lit(1))
-    bounds = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min(at).alias("_low"), F.max(at).alias("_high"))
-        .select(*keys, "_low", ((F.col("_high") - F.col("_low")) / pieces).alias("_width"))
-    )
-    piece = F.floor((F.col(at) - F.col("_low")) / F.col("_width"))
-    return (
-        df.join(F.broadcast(bounds) if small else bounds, keys)
-        .withColumn("_slice", F.when(F.col("_width") > 0, piece).otherwise(F.lit(0)).cast("long"))
-        .drop("_low", "_width")
-    )
+    known = df.where(F.col(key).isNotNull())
+    hot, nulls = find_hot_keys(df, key, cfg)
+    if hot is None:
+        out = regular(known)
+    else:
+        cold_rows = known.join(hot.hinted(), key, "left_anti")
+        hot_rows = known.join(hot.hinted(), key, "left_semi")
+        out = regular(cold_rows).unionByName(skewed(hot_rows, hot))
+    if nulls and keep_null:
+        rest = df.where(F.col(key).isNull()).select(*[c for c in df.columns if c in out.columns])
+        out = out.unionByName(rest, allowMissingColumns=True)
+    return out
+
+
+def with_slices(df: DataFrame, keys: Sequence[str], at: str, cfg: EngineConfig) -> DataFrame:
+    """Saved rows with ``_slice``: ranges of (key, ``at``) of about ``slice_rows`` rows each.
+
+    Spark cuts the ranges by a sample of the rows, so they hold equal numbers of rows however uneven
+    the values lie; equal positions of a key stay together. The rows are saved, so that every later
+    step sees the same cuts.
+    """
+    pieces = max(1, -(-df.count() // cfg.slice_rows))
+    return materialise(df.repartitionByRange(pieces, *keys, at).withColumn("_slice", F.spark_partition_id().cast("long")))
 
 
 def running_sums(
@@ -90,8 +90,9 @@ def running_sums(
     order: Sequence[str],
     sums: dict[str, Column],
     base: DataFrame | None = None,
+    each: bool = False,
 ) -> DataFrame:
-    """Running totals over each key in ``order`` (equal positions count together).
+    """Running totals over each key in ``order``; equal positions count together, or one by one with ``each``.
 
     ``base`` is where the per-slice totals are read from: the saved slices, when ``sliced`` already
     carries further columns, so that chained steps do not repeat each other's work.
@@ -105,6 +106,8 @@ def running_sums(
         .select(*keys, "_slice", *[F.sum(f"_sum_{n}").over(earlier).alias(f"_carry_{n}") for n in sums])
     )
     within = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    if each:
+        within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scanned = sliced.withColumns({f"_in_{n}": F.sum(c).over(within) for n, c in sums.items()})
     joined = scanned.join(carry, [*keys, "_slice"], "left")
     zero = F.lit(0)
@@ -147,8 +150,9 @@ def exact_quantiles(
     group = keys or ["_all"]
     source = df if keys else df.withColumn("_all", F.lit(0))
     counts = source.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    running = running_sums(with_slices(counts, group, value, cfg), group, [value], {"_upto": F.col("_n")})
-    totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
+    sliced = with_slices(counts, group, value, cfg)
+    running = running_sums(sliced, group, [value], {"_upto": F.col("_n")})
+    totals = sliced.groupBy(*group).agg(F.sum("_n").alias("_total"))
     placed = running.join(totals, group)
     picks = []
     for name, share in wanted.items():
@@ -181,7 +185,7 @@ def rolling_distinct(
         key,
         cfg,
         lambda cold: distinct_steps(cold.repartition(key), key, item, window_us, name),
-        lambda hot, keys: distinct_steps_sliced(hot, key, item, window_us, name, cfg, keys.small),
+        lambda hot, keys: distinct_steps_sliced(hot, key, item, window_us, name, cfg),
     ).drop("_us")
 
 
@@ -212,13 +216,12 @@ def distinct_steps(df: DataFrame, key: str, item: str, window_us: int, name: str
 
 
 def distinct_steps_sliced(
-    df: DataFrame, key: str, item: str, window_us: int, name: str, cfg: EngineConfig, small: bool,
-    base: DataFrame | None = None,
+    df: DataFrame, key: str, item: str, window_us: int, name: str, cfg: EngineConfig, base: DataFrame | None = None
 ) -> DataFrame:
     """The same steps for hot keys, on distinct uses cut into time slices."""
     source = df if base is None else base
     uses = source.where(F.col(item).isNotNull()).select(key, item, "_us").distinct()
-    uses = materialise(with_slices(uses, [key], "_us", cfg, small))
+    uses = with_slices(uses, [key], "_us", cfg)
     seen = previous_values(uses, [key, item], ["_us"], ["_us"], "_prev")
     gap = F.col("_us") - F.col("_prev._us")
     # a run opens at its first use; the run before it, if any, closed one window after its last use
@@ -233,7 +236,7 @@ def distinct_steps_sliced(
     asked = source.select(key, "_us", F.lit(0).alias("_step"))
     steps = runs.unionByName(final).unionByName(asked)
     steps = steps.groupBy(key, "_us").agg(F.sum("_step").alias("_step"))
-    steps = materialise(with_slices(steps, [key], "_us", cfg, small))
+    steps = with_slices(steps, [key], "_us", cfg)
     counted = running_sums(steps, [key], ["_us"], {name: F.col("_step")})
     return df.join(counted.select(key, "_us", F.col(name).cast("long").alias(name)), [key, "_us"], "left")
 
@@ -253,7 +256,7 @@ def occurrence_number_sliced(
     """The same numbering for rows that already carry ``_slice``."""
     known = F.col(keys[-1]).isNotNull()
     unit = F.when(known, F.lit(1)).otherwise(F.lit(0))
-    numbered = running_sums(sliced, keys, order, {name: unit}, base)
+    numbered = running_sums(sliced, keys, order, {name: unit}, base, each=True)
     return numbered.withColumn(name, F.when(known, F.col(name)).cast("long"))
 
 
@@ -263,7 +266,7 @@ def with_previous(
     """Struct ``name`` with ``values`` of the key's preceding row; ``order[0]`` must be numeric."""
 
     def skewed(hot: DataFrame, keys: HotKeys) -> DataFrame:
-        sliced = materialise(with_slices(hot, [key], order[0], cfg, keys.small))
+        sliced = with_slices(hot, [key], order[0], cfg)
         return previous_values(sliced, [key], order, values, name).drop("_slice")
 
     before = F.lag(F.struct(*values)).over(Window.partitionBy(key).orderBy(*order))
@@ -294,11 +297,11 @@ def rolling_totals(
         )
 
     return by_heat(
-        rows, key, cfg, regular, lambda hot, keys: hot.join(rolling_sliced(hot, key, totals, cfg, keys.small), [key, "_us"], "left")
+        rows, key, cfg, regular, lambda hot, keys: hot.join(rolling_sliced(hot, key, totals, cfg), [key, "_us"], "left")
     ).drop("_us")
 
 
-def rolling_sliced(df: DataFrame, key: str, totals: dict[str, Rolling], cfg: EngineConfig, small: bool) -> DataFrame:
+def rolling_sliced(df: DataFrame, key: str, totals: dict[str, Rolling], cfg: EngineConfig) -> DataFrame:
     """(key, _us, totals) at every instant of a hot key: a running sum of arrivals minus expiries.
 
     Rows of one instant are added up first, then every instant adds its values and takes them away
@@ -323,6 +326,6 @@ def rolling_sliced(df: DataFrame, key: str, totals: dict[str, Rolling], cfg: Eng
     steps = steps.groupBy(key, "_us").agg(
         *[F.sum(n).cast(r.kind).alias(n) for n, r in totals.items()], F.max("_real").alias("_real")
     )
-    steps = materialise(with_slices(steps, [key], "_us", cfg, small))
+    steps = with_slices(steps, [key], "_us", cfg)
     running = running_sums(steps, [key], ["_us"], {f"_run_{n}": F.col(n) for n in totals})
     return running.where(F.col("_real") == 1).select(key, "_us", *[F.col(f"_run_{n}").alias(n) for n in totals])

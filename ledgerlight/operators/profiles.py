@@ -112,7 +112,7 @@ def profile_statistics(df: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dat
         stats = hot.groupBy(CUSTOMER).agg(*_aggregates(hot, cfg))
         return stats.join(exact_quantiles(hot, [CUSTOMER], "amount", {"median_amount": 0.5}, cfg), CUSTOMER, "left")
 
-    stats = by_heat(rows, CUSTOMER, cfg, regular, skewed).join(value_statistics(rows), CUSTOMER, "left")
+    stats = by_heat(rows, CUSTOMER, cfg, regular, skewed, keep_null=False).join(value_statistics(rows), CUSTOMER, "left")
     days = F.greatest(F.col("active_days"), F.lit(1))
     total = F.col("total_txns")
     gap = F.datediff("last_date", "first_date") / F.greatest(total - 1, F.lit(1))

@@ -57,8 +57,8 @@ def velocity_anomalies(transactions: DataFrame, key: str = "account_id", cfg: En
     spec = {"count_24h": Rolling(F.lit(1), DAY), "count_1h": Rolling(F.lit(1), HOUR)}
     return rolling_totals(transactions, key, spec, cfg).withColumns(
         {
-            "is_velocity": F.col("count_24h") > cfg.velocity_max_per_day,
-            "is_burst": F.col("count_1h") > cfg.burst_max_per_hour,
+            "is_velocity": F.coalesce(F.col("count_24h") > cfg.velocity_max_per_day, F.lit(False)),
+            "is_burst": F.coalesce(F.col("count_1h") > cfg.burst_max_per_hour, F.lit(False)),
         }
     )
 
@@ -76,7 +76,7 @@ def mule_pass_through(edges: DataFrame, cfg: EngineConfig = EngineConfig()) -> D
     )
     both = out.withColumn("_in", F.lit(None).cast(asked.schema["_in"].dataType)).unionByName(asked)
     both = both.withColumn("_when", F.timestamp_micros("_at"))
-    total = {"_outflow": Rolling(F.col("_out").cast(MONEY), length, "decimal(30,6)")}
+    total = {"_outflow": Rolling(F.col("_out").try_cast(MONEY), length, "decimal(30,6)")}
     answered = rolling_totals(both, "account", total, cfg, ts="_when").where(F.col("_in").isNotNull())
     passed = answered.select(
         "account", F.col("_in.transaction_id").alias("transaction_id"), F.col("_in.amount").alias("amount_in"),

@@ -33,13 +33,52 @@ def sample(spark, n=160, seed=3):
 
 def test_hot_customers_get_the_same_features(spark):
     rows = sample(spark)
-    assert ordered.find_hot_keys(rows, "customer_id", HOT) is not None
-    assert ordered.find_hot_keys(rows, "customer_id", EngineConfig()) is None
+    assert ordered.find_hot_keys(rows, "customer_id", HOT)[0] is not None
+    assert ordered.find_hot_keys(rows, "customer_id", EngineConfig()) == (None, False)
     plain = features.build_features(rows, profiles.build_profiles(rows))
     split = features.build_features(rows, profiles.build_profiles(rows, cfg=HOT), HOT)
     same_rows(plain, split, "transaction_id")
 
 
+def hard(spark):
+    """Copied rows, huge, negative, infinite, missing and NaN amounts, customers of every heat and none."""
+    rng, rows = random.Random(9), []
+    amounts = [5e12, 1e13, -2.5, -1e9, float("nan"), float("inf"), None, 0.1, 123.45, 99.99]
+    for i in range(120):
+        customer = [None, "A", "A", "B", "C"][min(4, rng.randint(0, 6))]
+        amount = rng.choice(amounts) if rng.random() < 0.3 else round(rng.uniform(-50, 500), 2)
+        when = START + dt.timedelta(hours=rng.randint(0, 900))
+        rows.append((f"T{i:04d}", customer, when, amount, "A", "WEB", rng.choice(["X", "Y", None]), "US", rng.choice(["d1", "d2", None])))
+    return spark.createDataFrame(rows + rows[:40], sample(spark, 1).schema)
+
+
+def everything(df):
+    """Rows as text, rounded relatively, without regard to order; numbers of copies are sorted by themselves."""
+    def norm(v):
+        return f"{v:.9g}" if isinstance(v, float) else str(v)
+
+    return sorted(tuple(norm(r[c]) for c in sorted(df.columns)) for r in df.collect())
+
+
+def test_hot_way_is_equal_on_hard_amounts(spark):
+    rows, small = hard(spark), EngineConfig(hot_key_rows=5, slice_rows=4)
+    plain, split = (features.build_features(rows, None, c) for c in (EngineConfig(), small))
+    assert plain.count() == rows.count()
+    assert everything(plain) == everything(split)
+    none = plain.where("customer_id IS NULL")
+    assert none.count() > 5 and none.where("amount_z_score IS NOT NULL OR transactions_last_day IS NOT NULL OR new_device").count() == 0
+    assert profiles.build_profiles(rows, cfg=small).where("customer_id IS NULL").count() == 0
+
+
+def test_slices_hold_equal_numbers_of_rows(spark):
+    cfg = EngineConfig(slice_rows=500)
+    rows = spark.range(20_000).selectExpr("'k' AS k", "IF(id = 7, 1e9, IF(id < 9000, 5 + id / 1e9, id)) AS v")
+    sizes = [r["count"] for r in ordered.with_slices(rows, ["k"], "v", cfg).groupBy("_slice").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 1000
+    plan = ordered.exact_quantiles(rows, [], "v", {"m": 0.5}, cfg)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan
+
+
 def test_hot_customers_get_the_same_profiles(spark):
     rows = sample(spark)
     names = ["customer_id", "statistics.*", "confidence_score", "summary"]
