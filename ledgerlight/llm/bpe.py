@@ -27,8 +27,8 @@ from ledgerlight.llm.common import map_texts, text_runs
 
 #: Pieces of more bytes than this are merged one by one with a heap.
 LONG_PIECE = 256
-#: Pieces a worker remembers before it starts afresh.
-MEMORY = 400_000
+#: Pieces a worker remembers before it starts afresh, and those that it may keep from one task to the next.
+MEMORY, KEPT = 400_000, 100_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -251,7 +251,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
         flat = np.concatenate(found) if found else np.zeros(0, np.int32)
         return [part.column(i) for i in range(part.num_columns - 1)] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
 
-    return map_texts(rows, work, (schema + ", " if schema else "") + "ids array<int>", lambda: _codec(pattern, shared.value))
+    def setup() -> Codec:
+        codec = _codec(pattern, shared.value)
+        if len(codec.memory) > KEPT:
+            codec.forget()
+        return codec
+
+    return map_texts(rows, work, (schema + ", " if schema else "") + "ids array<int>", setup)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:

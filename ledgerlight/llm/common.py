@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Rows of a batch are worked on in runs of about this many characters, so that arrays stay small whatever the texts.
-RUN_CHARS = 2_000_000
+RUN_CHARS = 1_000_000
 
 
 def text_runs(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
