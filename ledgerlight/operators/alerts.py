@@ -111,6 +111,7 @@ def top_rows(assessed: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFra
     )
 
 
-def prioritise(assessed: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """The ``max_alerts`` most urgent alerts: a top-k, not a full sort."""
-    return build_alerts(assessed, cfg).orderBy(*alert_order()).limit(cfg.max_alerts)
+def prioritise(assessed: DataFrame, cfg: EngineConfig = EngineConfig(), limit: int | None = -1) -> DataFrame:
+    """The most urgent alerts, a top-k of ``max_alerts`` (or ``limit``) rows; all in order if ``limit`` is None."""
+    ordered = build_alerts(assessed, cfg).orderBy(*alert_order())
+    return ordered if limit is None else ordered.limit(cfg.max_alerts if limit < 0 else limit)

@@ -29,7 +29,6 @@ FEATURES = (
 )
 MODEL_NAME = "IsolationForest_v1"
 NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
-SMALL_TABLE = 200_000
 
 
 def finite(name: str) -> Column:
@@ -60,26 +59,25 @@ def average_path(n: float) -> float:
 
 
 def tree_samples(df: DataFrame, rows: int, cfg: EngineConfig, features: tuple[str, ...]) -> DataFrame:
-    """(tree, x): at most ``tree_sample`` rows per tree, chosen by a hash of the transaction id.
+    """(tree, x): at most ``tree_sample`` rows per tree, drawn independently for every tree.
 
-    Large tables are thinned by one hash first and every kept row goes to one tree; small tables
-    offer every row to every tree, so trees may share rows.
+    The same draw at every size: a row's places in a tree's order come from a hash of (id, seed, tree). A row is offered to
+    the trees for which that hash lies among the smallest; the share is set so that a tree is offered enough rows but for
+    a chance below 1e-9, and keeps the ``tree_sample`` smallest of them.
     """
-    wanted = cfg.trees * cfg.tree_sample
+    wanted = min(cfg.tree_sample, rows)
+    share = min(1.0, (wanted + 6.0 * math.sqrt(wanted) + 20.0) / max(rows, 1))
     unit = 2.0**64
 
     def draw(*salt) -> Column:
         return F.xxhash64(F.col("transaction_id").cast("string"), F.lit(cfg.seed), *salt).cast("double") / unit + 0.5
 
     base = df.select("transaction_id", feature_array(features).alias("x"))
-    if rows <= SMALL_TABLE:
-        spread = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(cfg.trees - 1))))
-        spread = spread.withColumn("_draw", draw(F.col("tree")))
-        spread = spread.where(F.col("_draw") <= min(1.0, 2.0 * cfg.tree_sample / max(rows, 1)))
-    else:
-        spread = base.withColumn("_draw", draw(F.lit("row"))).where(F.col("_draw") <= min(1.0, 2.0 * wanted / rows))
-        tree = F.pmod(F.xxhash64(F.col("transaction_id").cast("string"), F.lit("tree")), F.lit(cfg.trees)).cast("int")
-        spread = spread.withColumn("tree", tree)
+    trees = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(cfg.trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("_draw"))),
+        lambda t: t["_draw"] <= share,
+    )
+    spread = base.select("transaction_id", "x", F.inline(trees))
     ranked = Window.partitionBy("tree").orderBy("_draw", "transaction_id")
     return spread.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= cfg.tree_sample).select("tree", "x")
 

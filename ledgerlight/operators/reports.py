@@ -81,10 +81,11 @@ def search(df: DataFrame, text: str | None = None, columns: tuple[str, ...] = ("
     return df
 
 
-def alert_query(alerts: DataFrame, min_priority: str = "P4_LOW", limit: int = 100, offset: int = 0) -> DataFrame:
-    """Alerts at least as urgent as ``min_priority``, one page of them."""
+def alert_query(alerts: DataFrame, min_priority: str = "P4_LOW", limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Alerts at least as urgent as ``min_priority``; one page of them if ``limit`` is given."""
     rows = alerts.where(F.col("priority") <= min_priority).orderBy(*alert_order())
-    return rows.offset(offset).limit(limit) if offset else rows.limit(limit)
+    rows = rows.offset(offset) if offset else rows
+    return rows if limit is None else rows.limit(limit)
 
 
 def latest_status(alerts: DataFrame, events: DataFrame) -> DataFrame:

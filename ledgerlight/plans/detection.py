@@ -58,9 +58,9 @@ def detect_alerts(
 
 def investigate(
     transactions: DataFrame, customers: DataFrame | None = None, transaction_ids: DataFrame | None = None,
-    cfg: EngineConfig = EngineConfig(),
+    cfg: EngineConfig = EngineConfig(), limit: int | None = None,
 ) -> DataFrame:
-    """The same run for chosen customers or transactions, given as one-column frames.
+    """The same run for chosen customers or transactions, given as one-column frames; all alerts unless ``limit`` is given.
 
     The customers' whole histories are read, since features look back; only the answer is narrowed.
     """
@@ -71,7 +71,7 @@ def investigate(
         customers = owners if customers is None else customers.join(owners, "customer_id", "left_semi")
     if customers is not None:
         rows = transactions.join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
-    return prioritise(recommend(explain(assess(rows, cfg=cfg, only=ids))), cfg)
+    return prioritise(recommend(explain(assess(rows, cfg=cfg, only=ids))), cfg, limit=limit)
 
 
 def filter_by_date(df: DataFrame, start: str | None = None, end: str | None = None, ts: str = "timestamp") -> DataFrame:

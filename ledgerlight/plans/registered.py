@@ -467,8 +467,7 @@ def findings_regrouped(spark, d):
 
 @register("investigate_customers", f"""WITH v0 AS (SELECT * FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING sum(value) > 3000)),
 {O.events_fused().replace('FROM events)', 'FROM v0)')}
-SELECT transaction_id, overall_risk_score AS fused_risk_score, risk_level FROM fused
-ORDER BY {PRIORITY}, overall_risk_score DESC, confidence_score DESC, transaction_id LIMIT 1000""")
+SELECT transaction_id, overall_risk_score AS fused_risk_score, risk_level FROM fused""")
 def investigate_customers(spark, d):
     rows = views.txn_events(spark, d)
     chosen = rows.groupBy("customer_id").agg(F.sum("amount").alias("s")).where("s > 3000").select("customer_id")
@@ -544,10 +543,11 @@ def full_assessment_with_model(spark, d):
 # --- quality, cleaning, enrichment ----------------------------------------------------------------------------
 
 
-@register("fk_orphans", """SELECT l_partkey, count(*) AS rows FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)
+@register("fk_orphans", """SELECT l_partkey, count(*) AS rows FROM lineitem WHERE l_partkey NOT IN (SELECT CASE WHEN p_size > 25 THEN p_partkey ELSE -p_partkey END FROM part)
 GROUP BY l_partkey""")
 def fk_orphans(spark, d):
-    parents = views.table(spark, d, "part").where("p_size > 25")
+    # half of the parents get another key, so that orphans exist
+    parents = views.table(spark, d, "part").select(F.expr("IF(p_size > 25, p_partkey, -p_partkey)").alias("p_partkey"))
     lost = quality.orphans(views.table(spark, d, "lineitem"), "l_partkey", parents, "p_partkey")
     return lost.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -589,9 +589,10 @@ def unique_checks(spark, d):
   SELECT 'o_orderkey' AS "column", count(*) FILTER (o_orderkey IS NULL) AS nulls, count(*) AS rows FROM j UNION ALL
   SELECT 'o_totalprice', count(*) FILTER (o_totalprice IS NULL), count(*) FROM j UNION ALL
   SELECT 'c_name', count(*) FILTER (c_name IS NULL), count(*) FROM j)""".replace(
-    " FROM j", " FROM (SELECT o_orderkey, o_totalprice, c_name FROM customer FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 250000) ON c_custkey = o_custkey)"))
+    " FROM j", " FROM (SELECT o_orderkey, o_totalprice, c_name FROM customer FULL JOIN (SELECT o_orderkey, CASE WHEN o_totalprice > 250000 THEN o_totalprice END AS o_totalprice, CASE WHEN o_totalprice > 250000 THEN o_custkey END AS o_custkey FROM orders) ON c_custkey = o_custkey)"))
 def null_profile(spark, d):
-    orders = views.table(spark, d, "orders").where("o_totalprice > 250000")
+    large = F.col("o_totalprice") > 250000
+    orders = views.table(spark, d, "orders").withColumns({c: F.when(large, F.col(c)) for c in ("o_custkey", "o_totalprice")})
     joined = views.table(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "full")
     return quality.null_profile(joined.select("o_orderkey", "o_totalprice", "c_name")).drop("ratio")
 
@@ -628,7 +629,8 @@ def dedupe_rows(spark, d):
     return cleaning.drop_duplicate_rows(docs).select(F.md5("text").alias("text_md5"), "lang")
 
 
-SPARSE = "FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey"
+SPARSE = """FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, CASE WHEN o_totalprice > 300000 THEN o_totalprice END AS o_totalprice,
+  CASE WHEN o_totalprice > 300000 THEN o_orderpriority END AS o_orderpriority FROM orders) ON c_custkey = o_custkey"""
 
 
 @register("impute_median_mode", f"""WITH j AS (SELECT c_custkey, o_orderkey, o_totalprice, o_orderpriority {SPARSE}),
@@ -636,7 +638,8 @@ m AS (SELECT quantile_cont(o_totalprice, 0.5) AS med FROM j),
 t AS (SELECT o_orderpriority AS top FROM j WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
 SELECT c_custkey, coalesce(o_orderkey, -1) AS o_orderkey, {rd('coalesce(o_totalprice, med)', 4, 'o_totalprice')}, coalesce(o_orderpriority, top) AS o_orderpriority FROM j, m, t""")
 def impute_median_mode(spark, d):
-    orders = views.table(spark, d, "orders").where("o_totalprice > 300000")
+    large = F.col("o_totalprice") > 300000
+    orders = views.table(spark, d, "orders").withColumns({c: F.when(large, F.col(c)) for c in ("o_totalprice", "o_orderpriority")})
     joined = views.table(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
     rows = joined.select("c_custkey", "o_orderkey", "o_totalprice", "o_orderpriority")
     filled = cleaning.impute(rows, ["o_totalprice", "o_orderpriority"])
@@ -870,8 +873,8 @@ def relationship_based(spark, d):
     )
     owners = nation.select(F.concat(F.lit("N"), "n_nationkey").alias("account_id"), F.concat(F.lit("n"), "n_nationkey").alias("customer_id"))
     regions = views.table(spark, d, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("account_id"), F.concat(F.lit("r"), "r_regionkey").alias("customer_id"))
-    related = nation.where("n_nationkey > 5").select(
-        F.concat(F.lit("r"), "n_regionkey").alias("customer_id_1"), F.concat(F.lit("n"), "n_nationkey").alias("customer_id_2")
+    related = nation.select(
+        F.when(F.col("n_nationkey") > 5, F.concat(F.lit("r"), "n_regionkey")).otherwise("nobody").alias("customer_id_1"), F.concat(F.lit("n"), "n_nationkey").alias("customer_id_2")
     )
     return typologies.relationship_based(edges, owners.unionByName(regions), related).select("transaction_id")
 
@@ -899,8 +902,8 @@ def shared_device(spark, d):
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0""")
 def ring_members(spark, d):
     nation = views.table(spark, d, "nation")
-    members = views.table(spark, d, "customer").where("c_acctbal > 0").join(nation, F.col("c_nationkey") == nation.n_nationkey).select(
-        F.col("c_custkey").alias("customer_id"), F.col("n_name").alias("fraud_ring_id"),
+    members = views.table(spark, d, "customer").join(nation, F.col("c_nationkey") == nation.n_nationkey).select(
+        F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).alias("customer_id"), F.col("n_name").alias("fraud_ring_id"),
         F.when(F.col("c_acctbal") > 5000, "Leader").otherwise("Member").alias("role"),
     )
     return typologies.ring_members(views.txn_orders(spark, d), members).select("transaction_id", "fraud_ring_id", "role")
