@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ledgerlight.config import EngineConfig
 from ledgerlight.functions.timeparts import DAY, HOUR, micros
-from ledgerlight.operators.ordered import Rolling, by_heat, rolling_distinct, rolling_totals, with_previous
+from ledgerlight.operators.ordered import Rolling, rolling_distinct, rolling_totals, with_previous
+from ledgerlight.session import materialise
 
 MONEY = "decimal(24,6)"
 TRADE_CATEGORIES = ("Freight/Shipping", "Building Materials", "Wire Transfer Agency")
@@ -127,7 +128,8 @@ def _keyed(edges: DataFrame, prefix: str) -> DataFrame:
 class FlowBand:
     """Which edges may follow an edge: later within ``hours`` and sized ``low``..``high`` of it.
 
-    With ``ordered=False`` the follower may also be earlier by up to ``hours``.
+    With ``ordered=False`` the follower may also be earlier by up to ``hours``. A ratio of sizes needs positive amounts:
+    edges without one (zero, negative, null) follow nothing and are followed by nothing.
     """
 
     def __init__(self, low: float, high: float, hours: float, ordered: bool = True):
@@ -182,42 +184,80 @@ def _rename(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.select(*[F.col(c).alias(new + c[len(old):]) if c.startswith(f"{old}_") else F.col(c) for c in df.columns])
 
 
+def _as_edges(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.col("e_id").alias("transaction_id"), F.col("e_src").alias("src"), F.col("e_dst").alias("dst"),
+        F.timestamp_micros("e_us").alias("timestamp"), F.col("e_amount").alias("amount"),
+    )
+
+
 def layering_chains(
     edges: DataFrame, cfg: EngineConfig = EngineConfig(), ordered: bool = True
 ) -> DataFrame:
-    """Edges that end a chain of ``layering_hops`` hops, each 92–99 % of the one before.
+    """Edges that end a chain of at least ``layering_hops`` hops, each 92–99 % of the one before.
 
-    The number of rounds is the fixed number of hops; every round is one semi join.
+    The number of rounds is the fixed number of hops; every round is one semi join over the keyed edges, saved once.
     """
     band = FlowBand(*cfg.hop_ratio, cfg.hop_hours, ordered)
-    base = _keyed(edges, "e")
+    base = materialise(_keyed(edges, "e"))
     reached = base
     for _ in range(cfg.layering_hops - 1):
         reached = _with_predecessor(base, reached, band)
-    return reached.select(
+    return _as_edges(reached).withColumn("hops", F.lit(cfg.layering_hops))
+
+
+def layering_members(edges: DataFrame, cfg: EngineConfig = EngineConfig(), ordered: bool = True) -> DataFrame:
+    """Every edge of a chain of at least ``layering_hops`` hops, with ``is_first`` and ``is_last`` for its ends.
+
+    An edge belongs to such a chain if i hops lead to it and the missing ones go on from it, for some i; the edges with i
+    hops before and behind them are found level by level and saved. An edge may be the first of one and the last of
+    another chain. No chain is ever spelled out, so a hub's many chains cost no more than its edges.
+    """
+    band = FlowBand(*cfg.hop_ratio, cfg.hop_hours, ordered)
+    base = materialise(_keyed(edges, "e"))
+    before, behind = [base], [base]
+    for _ in range(cfg.layering_hops - 1):
+        before.append(materialise(_with_predecessor(base, before[-1], band)))
+        behind.append(materialise(_with_successor(base, behind[-1], band)))
+    last = cfg.layering_hops - 1
+    marks = None
+    for i in range(cfg.layering_hops):
+        own = before[i].join(behind[last - i].select("e_id").distinct(), "e_id", "left_semi").select("e_id", F.lit(i).alias("_place"))
+        marks = own if marks is None else marks.unionByName(own)
+    places = marks.groupBy("e_id").agg(F.min("_place").alias("_low"), F.max("_place").alias("_high"))
+    found = base.join(places, "e_id")
+    return found.select(
         F.col("e_id").alias("transaction_id"), F.col("e_src").alias("src"), F.col("e_dst").alias("dst"),
-        F.timestamp_micros("e_us").alias("timestamp"), F.col("e_amount").alias("amount"),
-        F.lit(cfg.layering_hops).alias("hops"),
+        F.timestamp_micros("e_us").alias("timestamp"), F.col("e_amount").alias("amount"), F.lit(cfg.layering_hops).alias("hops"),
+        (F.col("_low") == 0).alias("is_first"), (F.col("_high") == last).alias("is_last"),
     )
 
 
 def circular_flows(
     edges: DataFrame, nodes: int = 3, ratio: tuple[float, float] = (0.85, 1.0), hours: float = 48.0,
-    ordered: bool = True,
+    ordered: bool = True, up_to: int | None = None,
 ) -> DataFrame:
-    """Cycles of exactly ``nodes`` distinct accounts that return to their origin.
+    """Cycles of ``nodes`` (to ``up_to``, if given) distinct accounts that return to their origin.
 
     Every edge of a cycle but the first continues another and every edge but the last is continued,
-    so edges are pruned by semi joins before any pair is built. One row per cycle.
+    so edges are pruned by semi joins before any pair is built. One row per cycle. The keyed edges and every round of
+    pruning are saved, so the source is read once.
     """
     band = FlowBand(*ratio, hours, ordered)
-    base = _keyed(edges, "e").where(F.col("e_src") != F.col("e_dst"))
+    base = materialise(_keyed(edges, "e").where(F.col("e_src") != F.col("e_dst")))
+    found = _cycles(base, nodes, band, ordered)
+    for more in range(nodes + 1, (up_to or nodes) + 1):
+        found = found.unionByName(_cycles(base, more, band, ordered))
+    return found
+
+
+def _cycles(base: DataFrame, nodes: int, band: FlowBand, ordered: bool) -> DataFrame:
     # candidates[i] can be the edge at place i, looking forward and then backward along the cycle
     candidates = [base]
     for _ in range(nodes - 1):
-        candidates.append(_with_predecessor(base, candidates[-1], band))
+        candidates.append(materialise(_with_predecessor(base, candidates[-1], band)))
     for i in range(nodes - 2, -1, -1):
-        candidates[i] = _with_successor(candidates[i], candidates[i + 1], band)
+        candidates[i] = materialise(_with_successor(candidates[i], candidates[i + 1], band))
     path = _rename(candidates[0], "e", "e1")
     for i in range(2, nodes + 1):
         step = band.located(_rename(candidates[i - 1], "e", f"e{i}"), f"e{i}")

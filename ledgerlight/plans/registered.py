@@ -784,6 +784,16 @@ def chain_3hop(spark, d):
     return rounded(typologies.layering_chains(views.flow_edges(spark, d), cfg).select("transaction_id", "src", "dst", "amount"), 2, "amount")
 
 
+@register("chain_members_3hop", f"""WITH {O.EDGES},
+p2 AS (SELECT a.transaction_id AS i1, b.* FROM ed a JOIN ed b ON {FOLLOWS.format(hours=720, low=0.92, high=0.99)}),
+p3 AS (SELECT a.i1, a.transaction_id AS i2, b.transaction_id AS i3 FROM p2 a JOIN ed b ON {FOLLOWS.format(hours=720, low=0.92, high=0.99)}),
+m AS (SELECT i1 AS transaction_id, 0 AS place FROM p3 UNION ALL SELECT i2, 1 FROM p3 UNION ALL SELECT i3, 2 FROM p3)
+SELECT transaction_id, min(place) = 0 AS is_first, max(place) = 2 AS is_last FROM m GROUP BY transaction_id""")
+def chain_members_3hop(spark, d):
+    found = typologies.layering_members(views.flow_edges(spark, d), EngineConfig(hop_hours=720))
+    return found.select("transaction_id", "is_first", "is_last")
+
+
 @register("cycle_4", f"""WITH {O.EDGES}, e AS (SELECT * FROM ed WHERE src <> dst),
 p2 AS (SELECT a.transaction_id AS i1, b.transaction_id AS i2, a.src AS origin, a.dst AS n2, b.* FROM e a JOIN e b ON {FOLLOWS.format(hours=1440, low=0.5, high=1.0)} AND b.dst <> a.src),
 p3 AS (SELECT a.i1, a.i2, b.transaction_id AS i3, a.origin, a.n2, a.src AS n3, b.* FROM p2 a JOIN e b ON {FOLLOWS.format(hours=1440, low=0.5, high=1.0)} AND b.dst <> a.origin AND b.dst <> a.n2)

@@ -69,12 +69,24 @@ def test_chains_and_cycles_against_brute_force(spark):
     second = {b[0] for a in data for b in data if follows(a, b, 0.92, 0.99, 24)}
     third = {b[0] for a in data if a[0] in second for b in data if follows(a, b, 0.92, 0.99, 24)}
     assert ids(t.layering_chains(df, cfg)) == third
+    chains = [
+        (a[0], b[0], c[0]) for a in data for b in data if follows(a, b, 0.92, 0.99, 24) for c in data if follows(b, c, 0.92, 0.99, 24)
+    ]
+    members = {r.transaction_id: (r.is_first, r.is_last) for r in t.layering_members(df, cfg).collect()}
+    assert members == {i: (i in {c[0] for c in chains}, i in {c[2] for c in chains}) for c in chains for i in c}
     loops = {
         (a[0], b[0], c[0])
         for a in data for b in data if follows(a, b, 0.85, 1.0, 48) and b[2] not in (a[1], a[2]) and a[1] != a[2]
         for c in data if follows(b, c, 0.85, 1.0, 48) and c[2] == a[1]
     }
     assert {tuple(r.transactions) for r in t.circular_flows(df).collect()} == loops
+    more = {
+        (a[0], b[0], c[0], e[0])
+        for a in data for b in data if follows(a, b, 0.85, 1.0, 48) and b[2] not in (a[1], a[2]) and a[1] != a[2]
+        for c in data if follows(b, c, 0.85, 1.0, 48) and c[2] not in (a[1], b[1], c[1])
+        for e in data if follows(c, e, 0.85, 1.0, 48) and e[2] == a[1]
+    }
+    assert {tuple(r.transactions) for r in t.circular_flows(df, up_to=4).collect()} == loops | more
 
 
 @CONFIGS
