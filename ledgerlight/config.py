@@ -18,24 +18,6 @@ SEGMENT_EXPECTED_AVERAGE = {
     "Retiree": 5_000.0,
 }
 HIGH_RISK_COUNTRIES = ("IR", "KP", "MM", "SY", "YE")
-DEBIT_TYPES = ("Debit", "ATM", "POS", "Transfer")
-SCENARIO_STAGES = {
-    "Structuring": "Placement",
-    "Smurfing": "Placement",
-    "Round-Amount": "Placement",
-    "Layering": "Layering",
-    "Circular": "Layering",
-    "Mule Accounts": "Layering",
-    "Shell Companies": "Layering",
-    "Dormant Activation": "Layering",
-    "Velocity Anomalies": "Layering",
-    "Transaction Bursts": "Layering",
-    "Relationship-Based": "Layering",
-    "Integration": "Integration",
-    "High-Risk Geography": "Integration",
-    "Cross-Border Unusual": "Integration",
-    "TBML": "Integration",
-}
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +15,32 @@ class ValidationError(ValueError):
     """Raised by :func:`require` when a report holds violations."""
 
 
+@dataclass(frozen=True)
+class Check:
+    """One check of a table: how many rows violate it, and a value that does."""
+
+    check: str
+    column: str
+    violations: Column
+    sample: Column | None = None
+
+
+def report_rows(df: DataFrame, table: str, checks: Iterable[Check]) -> DataFrame:
+    """A report row for each check, all from one aggregate over the table."""
+    checks = list(checks)
+    sums = [c.violations.cast("long").alias(f"_v{k}") for k, c in enumerate(checks)]
+    samples = [(F.lit(None) if c.sample is None else c.sample).cast("string").alias(f"_s{k}") for k, c in enumerate(checks)]
+    rows = F.array(*[
+        F.struct(F.lit(table).alias("table"), F.lit(c.check).alias("check"), F.lit(c.column).alias("column"),
+                 F.col(f"_v{k}").alias("violations"), F.col(f"_s{k}").alias("sample"))
+        for k, c in enumerate(checks)
+    ])
+    return df.agg(*sums, *samples).select(F.inline(rows))
+
+
 def report_row(df: DataFrame, table: str, check: str, column: str, violations: Column, sample: Column | None = None) -> DataFrame:
     """One report row from one aggregate."""
-    shown = F.lit(None) if sample is None else sample
-    return df.agg(violations.cast("long").alias("violations"), shown.cast("string").alias("sample")).select(
-        F.lit(table).alias("table"), F.lit(check).alias("check"), F.lit(column).alias("column"), "violations", "sample"
-    )
+    return report_rows(df, table, [Check(check, column, violations, sample)])
 
 
 def together(parts: Iterable[DataFrame]) -> DataFrame:
@@ -96,23 +117,39 @@ def dtype_mismatches(df: DataFrame, expected: dict[str, str]) -> list[str]:
     return [f"{c}: expected {t}, found {actual[c]}" for c, t in expected.items() if c in actual and actual[c] != t]
 
 
-def range_check(df: DataFrame, column: str, low=None, high=None, table: str = "") -> DataFrame:
+def out_of_range(column: str, low=None, high=None) -> Check:
     """Rows outside [low, high] and the extreme value on the offending side."""
     outside = F.lit(False)
     if low is not None:
         outside = outside | (F.col(column) < low)
     if high is not None:
         outside = outside | (F.col(column) > high)
-    extreme = F.when(F.lit(low is not None), F.min(F.when(outside, F.col(column)))).otherwise(
-        F.max(F.when(outside, F.col(column)))
-    )
-    return report_row(df, table, "range", column, F.count_if(outside), extreme)
+    value = F.when(outside, F.col(column))
+    return Check("range", column, F.count_if(outside), F.min(value) if low is not None else F.max(value))
 
 
-def timestamp_check(df: DataFrame, column: str, table: str = "") -> DataFrame:
+def range_check(df: DataFrame, column: str, low=None, high=None, table: str = "") -> DataFrame:
+    return report_rows(df, table, [out_of_range(column, low, high)])
+
+
+def no_timestamp(column: str) -> Check:
     """Values that are present but no timestamps."""
     bad = F.col(column).isNotNull() & F.try_to_timestamp(F.col(column).cast("string")).isNull()
-    return report_row(df, table, "timestamp", column, F.count_if(bad), F.min(F.when(bad, F.col(column).cast("string"))))
+    return Check("timestamp", column, F.count_if(bad), F.min(F.when(bad, F.col(column).cast("string"))))
+
+
+def timestamp_check(df: DataFrame, column: str, table: str = "") -> DataFrame:
+    return report_rows(df, table, [no_timestamp(column)])
+
+
+def unreadable(first: str) -> Check:
+    """Rows of a text file with a cell that does not fit its column's type; the reader keeps such a line whole.
+
+    ``first``: any column of the table, since Spark reads no text file for the kept line alone.
+    """
+    bad = F.col(schemas.BAD_RECORD).isNotNull()
+    shown = F.concat(F.coalesce(F.col(first).cast("string"), F.lit("")), F.lit(": "), F.col(schemas.BAD_RECORD))
+    return Check("readable", "*", F.count_if(bad), F.min(F.when(bad, shown)))
 
 
 # --- suites ---------------------------------------------------------------------------------------------
@@ -138,10 +175,16 @@ def key_suite(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def type_suite(tables: dict[str, DataFrame]) -> DataFrame:
-    checked = {"transaction": ("timestamp",), "customer": ("dob", "onboarding_date"), "account": ("open_date",)}
-    parts = [timestamp_check(tables[t], c, t) for t, cols in checked.items() if t in tables for c in cols]
-    parts += [range_check(tables[t], c, lo, hi, t) for t, c, lo, hi in schemas.RANGES if t in tables]
-    return together(parts)
+    """Unreadable lines, timestamps and ranges: one pass over each table that has such a check."""
+    dated = {"transaction": ("timestamp",), "customer": ("dob", "onboarding_date"), "account": ("open_date",)}
+    checks: dict[str, list[Check]] = {}
+    for name, df in tables.items():
+        own = [no_timestamp(c) for c in dated.get(name, ())]
+        own += [out_of_range(c, lo, hi) for t, c, lo, hi in schemas.RANGES if t == name]
+        own += [unreadable(df.columns[0])] if schemas.BAD_RECORD in df.columns else []
+        if own:
+            checks[name] = own
+    return together(report_rows(tables[name], name, own) for name, own in checks.items())
 
 
 def reference_suite(tables: dict[str, DataFrame]) -> DataFrame:

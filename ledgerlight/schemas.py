@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+# the column that keeps a line of a text file which does not fit the schema
+BAD_RECORD = "_corrupt_record"
+
 from pyspark.sql.types import (
     BooleanType,
     DoubleType,

@@ -102,6 +102,8 @@ def test_relationship_degree(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("d", "d")], "customer_id_1 string, customer_id_2 string")
     got = {r.customer_id: r.relationship_degree for r in enrichment.relationship_degree(pairs).collect()}
     assert got == {"a": 2, "b": 1, "c": 1, "d": 2}
+    customers = spark.createDataFrame([("a",), ("x",)], "customer_id string")
+    assert {tuple(r) for r in enrichment.with_relationship_degree(customers, pairs).collect()} == {("a", 2), ("x", 0)}
 
 
 def test_catalogue_round_trip(spark, tmp_path):
@@ -115,6 +117,12 @@ def test_catalogue_round_trip(spark, tmp_path):
     assert loaded["transaction"].first().amount == 1.5 and loaded["location"].first().is_high_risk is True
     meta = {r.table: (r.rows, r.columns) for r in catalogue.table_metadata(loaded).collect()}
     assert meta["transaction"] == (1, 17) and len(meta) == 12
+    assert "_corrupt_record" not in loaded["transaction"].columns
+    good = (tmp_path / "transaction.csv").read_text()
+    (tmp_path / "transaction.csv").write_text(good + good.splitlines()[1].replace("2024-01-01", "not-a-date").replace("k1", "k2", 1) + "\n")
+    with pytest.raises(quality.ValidationError, match="transaction.* readable: 1"):
+        catalogue.load_catalogue(spark, folder)
+    assert catalogue.load_catalogue(spark, folder, check=False)["transaction"].where("timestamp IS NULL").count() == 1
     raw = catalogue.load_catalogue(spark, folder, raw=True, check=False)
     assert dict(raw["transaction"].dtypes)["amount"] == "string"
     with pytest.raises(Exception):
