@@ -107,8 +107,12 @@ def _codes(h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[MIN_WORDS + GRAM + place[:, None] + reach], code[MIN_WORDS - 1 + place[:, None] - reach]
 
 
+def context_hash(codes: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(codes) - (1 << 63)
+
+
 def _contexts(rows: DataFrame, bits, with_codes: bool) -> DataFrame:
-    """A row for each kept suffix that the bit array lets pass: its context's hash, and the context or the place."""
+    """A row for each kept suffix that the bit array lets pass: its context, or the context's hash and the place."""
 
     def work(part, texts, filter_):
         kept, spread = [], []
@@ -126,13 +130,12 @@ def _contexts(rows: DataFrame, bits, with_codes: bool) -> DataFrame:
         take = pa.array(spread, pa.int64())
         data = np.concatenate([d for d, _ in kept]) if kept else np.zeros((0, 8 + 4 * REACH), np.uint8)
         raw = [x.tobytes() for x in data]
-        hashes = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in raw]
         ids = [part.column("doc_id").take(take), part.column("row").take(take)]
         if with_codes:
-            return [*ids, hashes, raw]
-        return [*ids, hashes, np.concatenate([p for _, p in kept]) if kept else np.zeros(0, np.int64)]
+            return [*ids, raw]
+        return [*ids, [context_hash(x) for x in raw], np.concatenate([p for _, p in kept]) if kept else np.zeros(0, np.int64)]
 
-    schema = "doc_id long, row long, context long, " + ("codes binary" if with_codes else "place long")
+    schema = "doc_id long, row long, " + ("codes binary" if with_codes else "context long, place long")
     return map_texts(rows, work, schema, lambda: bits.value)
 
 
@@ -219,14 +222,14 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = _rows(docs)
     bits = docs.sparkSession.sparkContext.broadcast(_repeated(rows))
     classes = (
-        _contexts(rows, bits, True).groupBy("context", "codes")
+        _contexts(rows, bits, True).groupBy("codes")
         .agg(F.min("row").alias("low_row"), F.max("row").alias("high_row"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     )
     ordered = materialise(
-        classes.select("codes", "context", F.when(F.col("low_row") == F.col("high_row"), F.col("low_row")).otherwise(0).alias("single"), "low", "high")
+        classes.select("codes", F.when(F.col("low_row") == F.col("high_row"), F.col("low_row")).otherwise(0).alias("single"), "low", "high")
         .repartitionByRange("codes").sortWithinPartitions("codes")
     )
-    names = ["codes", "context", "single", "low", "high"]
+    names = ["codes", "single", "low", "high"]
     arrow = pa.schema([("codes", pa.binary()), *[(c, pa.int64()) for c in names[1:]]])
 
     def ends(batches):
@@ -245,8 +248,8 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     edges = pa.schema([*arrow, ("side", pa.int32()), ("range", pa.int32())])
     # at most four rows for each range
-    bounds = ordered.mapInArrow(ends, "codes binary, context long, single long, low long, high long, side int, range int").collect()
-    beside = docs.sparkSession.sparkContext.broadcast(sorted((r.range, r.side, bytes(r.codes), r.context, r.single, r.low, r.high) for r in bounds))
+    bounds = ordered.mapInArrow(ends, "codes binary, single long, low long, high long, side int, range int").collect()
+    beside = docs.sparkSession.sparkContext.broadcast(sorted(((r.range, r.side, bytes(r.codes), r.single, r.low, r.high) for r in bounds), key=lambda x: x[:3]))
 
     def compare(batches):
         table = pa.Table.from_batches(list(batches), schema=arrow)
@@ -266,7 +269,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         pick = pa.array(own)
         near = [low[k] if k >= 0 else None for k in other[own].tolist()]
         yield pa.RecordBatch.from_arrays(
-            [whole["context"].take(pick).combine_chunks(), pa.array(back[own]), pa.array(ahead[own]), whole["low"].take(pick).combine_chunks(),
+            [pa.array([context_hash(x) for x in whole["codes"].take(pick).to_pylist()], pa.int64()), pa.array(back[own]), pa.array(ahead[own]), whole["low"].take(pick).combine_chunks(),
              whole["high"].take(pick).combine_chunks(), pa.array(near, pa.int64())],
             names=["context", "back", "ahead", "low", "high", "near"],
         )
