@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlight.config import HIGH_RISK_COUNTRIES, EngineConfig
 from ledgerlight.functions.timeparts import DAY, HOUR, micros
 from ledgerlight.operators.ordered import (
+    Heat,
     HotKeys,
     Rolling,
     by_heat,
@@ -520,7 +521,7 @@ def _pairs_sliced(df: DataFrame, base: DataFrame | None, keys: HotKeys, cfg: Eng
 
 
 def build_features(
-    df: DataFrame, profiles: DataFrame | None = None, cfg: EngineConfig = EngineConfig()
+    df: DataFrame, profiles: DataFrame | None = None, cfg: EngineConfig = EngineConfig(), heat: Heat | None = None
 ) -> DataFrame:
     """All feature columns on the transactions; one exchange by customer for ordinary customers."""
     rows = df.withColumn("_us", micros("timestamp"))
@@ -533,5 +534,5 @@ def build_features(
         scaled = amount_scale_sliced(with_profile(base, profiles, keys), base, keys, cfg)
         return _pairs_sliced(velocity_sliced(scaled, base, cfg, keys.small), base, keys, cfg)
 
-    shaped = by_heat(rows, CUSTOMER, cfg, regular, skewed)
+    shaped = by_heat(rows, CUSTOMER, cfg, regular, skewed, heat=heat)
     return finish_history(finish_pairs(finish_behaviour(finish_amount(shaped)), cfg)).drop("_us")

@@ -33,7 +33,11 @@ class HotKeys:
         return F.broadcast(self.table) if self.small else self.table
 
 
-def find_hot_keys(df: DataFrame, key: str, cfg: EngineConfig) -> tuple[HotKeys | None, bool]:
+#: Hot keys, if there are any, and whether rows without a key exist.
+Heat = tuple[HotKeys | None, bool]
+
+
+def find_hot_keys(df: DataFrame, key: str, cfg: EngineConfig) -> Heat:
     """Keys with more than ``hot_key_rows`` rows (at most rows / hot_key_rows of them), and whether rows without key exist.
 
     One aggregation tells both; its few rows are saved and only looked at afterwards.
@@ -53,14 +57,16 @@ def by_heat(
     regular: Callable[[DataFrame], DataFrame],
     skewed: Callable[[DataFrame, HotKeys], DataFrame],
     keep_null: bool = True,
+    heat: Heat | None = None,
 ) -> DataFrame:
     """Run ``regular`` on ordinary keys and ``skewed`` on hot keys, and put the rows together.
 
     Rows without a key belong to no history: they keep their columns and have NULL in all new ones
-    (``keep_null=False`` leaves them out, for results that are one row a key).
+    (``keep_null=False`` leaves them out, for results that are one row a key). ``heat`` is the answer of
+    ``find_hot_keys`` for these rows or for more, if it is known already.
     """
     known = df.where(F.col(key).isNotNull())
-    hot, nulls = find_hot_keys(df, key, cfg)
+    hot, nulls = find_hot_keys(df, key, cfg) if heat is None else heat
     if hot is None:
         out = regular(known)
     else:

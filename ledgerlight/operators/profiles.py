@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlight.config import EngineConfig
 from ledgerlight.functions.timeparts import with_time_parts
 from ledgerlight.operators.features import CUSTOMER, has
-from ledgerlight.operators.ordered import by_heat, exact_quantiles
+from ledgerlight.operators.ordered import Heat, by_heat, exact_quantiles
 
 # Metadata column -> default for customers that never show a value.
 METADATA = {
@@ -101,7 +101,7 @@ def _aggregates(df: DataFrame, cfg: EngineConfig) -> list[Column]:
     return out
 
 
-def profile_statistics(df: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+def profile_statistics(df: DataFrame, cfg: EngineConfig = EngineConfig(), heat: Heat | None = None) -> DataFrame:
     """Flat statistics per customer; hot customers get their median from counts of amounts."""
     rows = df if has(df, "is_business_hours") else with_time_parts(df)
 
@@ -112,7 +112,7 @@ def profile_statistics(df: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dat
         stats = hot.groupBy(CUSTOMER).agg(*_aggregates(hot, cfg))
         return stats.join(exact_quantiles(hot, [CUSTOMER], "amount", {"median_amount": 0.5}, cfg), CUSTOMER, "left")
 
-    stats = by_heat(rows, CUSTOMER, cfg, regular, skewed, keep_null=False).join(value_statistics(rows), CUSTOMER, "left")
+    stats = by_heat(rows, CUSTOMER, cfg, regular, skewed, keep_null=False, heat=heat).join(value_statistics(rows), CUSTOMER, "left")
     days = F.greatest(F.col("active_days"), F.lit(1))
     total = F.col("total_txns")
     gap = F.datediff("last_date", "first_date") / F.greatest(total - 1, F.lit(1))
@@ -178,10 +178,12 @@ STATISTICS = (
 ).split()
 
 
-def build_profiles(df: DataFrame, as_of: str | None = None, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+def build_profiles(
+    df: DataFrame, as_of: str | None = None, cfg: EngineConfig = EngineConfig(), heat: Heat | None = None
+) -> DataFrame:
     """Profiles as structs; ``as_of`` keeps only earlier rows, so later rows can exceed the history."""
     rows = df if as_of is None else df.where(F.col("timestamp") < F.lit(as_of).cast("timestamp"))
-    flat = profile_statistics(rows, cfg).withColumns(profile_flags(cfg))
+    flat = profile_statistics(rows, cfg, heat).withColumns(profile_flags(cfg))
     flags = list(profile_flags(cfg))
     return flat.select(
         CUSTOMER,

@@ -13,21 +13,26 @@ from ledgerlight.operators.detectors import all_findings
 from ledgerlight.operators.explain import explain
 from ledgerlight.operators.features import build_features
 from ledgerlight.operators.fusion import fuse
+from ledgerlight.operators.ordered import Heat, find_hot_keys
 from ledgerlight.operators.profiles import build_profiles
 from ledgerlight.session import materialise
 
 
 def assess(
     transactions: DataFrame, profiles: DataFrame | None = None, cfg: EngineConfig = EngineConfig(),
-    model: AnomalyModel | None = None, only: DataFrame | None = None,
+    model: AnomalyModel | None = None, only: DataFrame | None = None, heat: Heat | None = None,
+    featured: DataFrame | None = None,
 ) -> DataFrame:
     """Assessed transactions with at least one finding.
 
     ``only`` (transaction_id) narrows the answer after the features, which need whole histories, and
-    before the detectors.
+    before the detectors. ``heat`` are the customers with very many rows, found once for both steps; ``featured`` are the
+    features, if they are worked out already.
     """
-    profiles = build_profiles(transactions, cfg=cfg) if profiles is None else profiles
-    featured = build_features(transactions, profiles, cfg)
+    if featured is None:
+        heat = find_hot_keys(transactions, "customer_id", cfg) if heat is None else heat
+        profiles = build_profiles(transactions, cfg=cfg, heat=heat) if profiles is None else profiles
+        featured = build_features(transactions, profiles, cfg, heat)
     if only is not None:
         featured = featured.join(only, "transaction_id", "left_semi")
     if model is not None:
@@ -46,14 +51,20 @@ def detect_alerts(
 
     The first ranks all transactions on five narrow columns; only those are shuffled for removing
     copies, and at most ``max_alerts`` rows remain. The second works out findings, texts and actions
-    for the customers of these rows alone.
+    for the customers of these rows alone. Hot customers and profiles (one row each) are worked out once for both.
     """
-    scores = assess(transactions, profiles, cfg, model).select(*RANKED)
+    heat = find_hot_keys(transactions, "customer_id", cfg)
+    profiles = materialise(build_profiles(transactions, cfg=cfg, heat=heat)) if profiles is None else profiles
+    scores = assess(transactions, profiles, cfg, model, heat=heat).select(*RANKED)
+    if cfg.max_alerts > cfg.broadcast_rows:
+        raise ValueError("more alerts than broadcast_rows allows; use investigate() for all alerts")
     winners = materialise(top_rows(scores, cfg))
-    ids, owners = (F.broadcast(winners.select(c).distinct()) for c in ("transaction_id", "customer_id"))
-    rows = transactions.join(owners, "customer_id", "left_semi")
-    history = None if profiles is None else profiles.join(owners, "customer_id", "left_semi")
-    return prioritise(recommend(explain(assess(rows, history, cfg, model, ids))), cfg)
+    ids = F.broadcast(winners.select("transaction_id").distinct())
+    # a transaction without a customer can win too
+    owners = F.broadcast(winners.select(F.col("customer_id").alias("_owner")).distinct())
+    rows = transactions.join(owners, F.expr("customer_id <=> _owner"), "left_semi")
+    history = profiles.join(owners, F.expr("customer_id <=> _owner"), "left_semi")
+    return prioritise(recommend(explain(assess(rows, history, cfg, model, ids, heat))), cfg)
 
 
 def investigate(
@@ -68,9 +79,10 @@ def investigate(
     if transaction_ids is not None:
         ids = transaction_ids.select("transaction_id").distinct()
         owners = transactions.join(ids, "transaction_id", "left_semi").select("customer_id").distinct()
-        customers = owners if customers is None else customers.join(owners, "customer_id", "left_semi")
+        customers = owners if customers is None else customers.select("customer_id").intersect(owners)
     if customers is not None:
-        rows = transactions.join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
+        chosen = customers.select(F.col("customer_id").alias("_chosen")).distinct()
+        rows = transactions.join(chosen, F.expr("customer_id <=> _chosen"), "left_semi")
     return prioritise(recommend(explain(assess(rows, cfg=cfg, only=ids))), cfg, limit=limit)
 
 

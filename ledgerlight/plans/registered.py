@@ -32,6 +32,7 @@ from ledgerlight.operators import (
 )
 from ledgerlight.plans import detection
 from ledgerlight.plans import oracle_parts as O
+from ledgerlight.session import materialise
 from ledgerlight.sources import driver_views as views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -518,7 +519,8 @@ def run_report(spark, d):
 
 @register("anomaly_findings", None)
 def anomaly_findings(spark, d):
-    rows = events_with_profiles(spark, d)
+    # fitted and scored from features worked out once
+    rows = materialise(events_with_profiles(spark, d).select("transaction_id", "customer_id", *anomaly.FEATURES))
     scored = anomaly.fit(rows).transform(rows)
     return detectors.findings_long(scored, "ml_findings").select("transaction_id", "id", "name", "score", "confidence")
 
@@ -534,9 +536,8 @@ def anomaly_scaling(spark, d):
 @register("full_assessment_with_model", None)
 def full_assessment_with_model(spark, d):
     rows = views.txn_events(spark, d)
-    built = profiles.build_profiles(rows)
-    model = anomaly.fit(features.build_features(rows, built))
-    assessed = detection.assess(rows, built, model=model)
+    featured = materialise(features.build_features(rows, profiles.build_profiles(rows)))
+    assessed = detection.assess(rows, model=anomaly.fit(featured), featured=featured)
     return assessed.select("transaction_id", "overall_risk_score", "risk_level", F.size("ml_findings").alias("model_findings"))
 
 

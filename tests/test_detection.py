@@ -194,6 +194,12 @@ def test_two_pass_alerts_equal_one_pass(spark, sf):
     rows, cfg = txn_events(spark, sf), EngineConfig(max_alerts=25)
     one = alerts.prioritise(actions.recommend(explain.explain(detection.assess(rows, cfg=cfg))), cfg).collect()
     assert detection.detect_alerts(rows, cfg=cfg).collect() == one
+    nobody = rows.selectExpr("* EXCEPT (customer_id)", "IF(transaction_id % 3 = 0, NULL, customer_id) AS customer_id", "'IR' AS counterparty_country")
+    one = alerts.prioritise(actions.recommend(explain.explain(detection.assess(nobody, cfg=cfg))), EngineConfig(max_alerts=10**6)).collect()
+    two = detection.detect_alerts(nobody, cfg=EngineConfig(max_alerts=2000)).collect()
+    assert two == one[:2000] and any(r.customer_id is None for r in one)
+    few = nobody.where("transaction_id < 5").select("transaction_id")
+    assert {r.transaction_id for r in detection.investigate(nobody, transaction_ids=few).collect()} == {r.transaction_id for r in one if r.transaction_id < 5}
 
 
 def test_anomaly_model(spark, tmp_path):
