@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import map_texts, text_runs
+from ledgerlight.llm.common import map_texts, small_batches
 
 #: Pieces of more bytes than this are merged one by one with a heap.
 LONG_PIECE = 256
@@ -263,6 +263,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """``tokens`` with ``decoded``, the bytes of its ids; null ids count as none."""
     shared = _shared(tokens, path)
+    small_batches(tokens.sparkSession)
     names = [c for c in tokens.columns if c not in (ids_col, "decoded")]
     rows = tokens.select(*names, F.col(ids_col).alias("ids"))
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -6,10 +6,20 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a batch are worked on in runs of about this many characters, so that arrays stay small whatever the texts.
 RUN_CHARS = 1_000_000
+#: Rows of an Arrow batch at most: whole texts are far larger than the rows that Spark's default is meant for.
+BATCH_ROWS = 500
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch, so that a task holds few texts at a time on either side of the pipe."""
+    rows = int(spark.conf.get(BATCH_SETTING))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
 def text_runs(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -32,6 +42,7 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[str]], list],
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     struct = StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import map_texts, text_runs
+from ledgerlight.llm.common import map_texts, small_batches, text_runs
 
 DIMS = 1 << 16
 UNKNOWN = "und"
@@ -79,6 +79,8 @@ class Model:
 def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     """In how many rows each feature occurs, counted in every task and summed; at most DIMS sums reach the driver."""
 
+    small_batches(rows.sparkSession)
+
     def count(batches):
         total, n = np.zeros(DIMS + 1, np.int64), 0
         for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import map_texts, text_runs
+from ledgerlight.llm.common import map_texts, small_batches, text_runs
 
 SLOTS = 128
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -120,6 +120,7 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def neighbour_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likeness and that of the next document."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = sorted({int(c) for c in rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)}) if parts > 1 else []

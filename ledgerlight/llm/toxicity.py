@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import map_texts, text_runs
+from ledgerlight.llm.common import map_texts, small_batches, text_runs
 from ledgerlight.session import materialise
 
 ALPHABET = 64
@@ -74,6 +74,8 @@ def language_model(docs: DataFrame) -> np.ndarray:
     Counted in every task and summed by Spark; at most ALPHABET^3 sums reach the driver.
     """
 
+    small_batches(docs.sparkSession)
+
     def count(batches):
         total = np.zeros(ALPHABET**3, np.int64)
         for batch in batches:
