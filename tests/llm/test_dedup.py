@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerlight.llm import exact_dedup, golomb, simhash, suffixes, wide_simhash
-from tests.llm.fixtures import corpus, documents
+from tests.llm.fixtures import corpus, documents, words
 
 
 @settings(max_examples=60, deadline=None)
@@ -100,6 +100,23 @@ def test_similar_documents(spark):
     assert by_row(wide_simhash.near_documents(documents(spark)), "doc_id", "component_id") == sorted(zip([r[0] for r in rows], want), key=repr)
 
 
+def test_similar_short_and_long_documents(spark):
+    # pairs at the similarity itself, of few shingles and of many, and a common line
+    rows, line = [], words(77, 12)
+    for k in range(150):
+        own = words(1000 + k, 9)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[:8]))]
+    for k in range(60):
+        own = words(3000 + k, 130) + line
+        a, b = own + words(4000 + k, 18), own + words(5000 + k, 12)
+        rows += [(1000 + 2 * k, " ".join(a)), (1001 + 2 * k, " ".join(b))]
+    sets = [set(wide_simhash.shingle_set(t).tolist()) for _, t in rows]
+    want = groups(rows, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert sum(i != c for (i, _), c in zip(rows, want)) == 210
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(wide_simhash.near_documents(docs), "doc_id", "component_id") == sorted(zip([r[0] for r in rows], want), key=repr)
+
+
 def test_empty_tables(spark):
     none = documents(spark, [])
     assert simhash.near_duplicates(none).count() == exact_dedup.exact_duplicates(none).count() == suffixes.passages(none).count() == 0
