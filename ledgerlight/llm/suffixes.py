@@ -10,7 +10,8 @@ Only suffixes whose first GRAM words occur in two documents can match. A bit arr
 those may be; it is built by Spark and broadcast, and when a corpus fills it, it lets more suffixes pass but loses none.
 Equal contexts are combined, in the map-side part of an aggregation, before anything is sorted, so a passage with many
 copies is one row there. The sorted rows are dealt by ranges of the whole context, so a frequent first run of words is
-spread; each range knows the last row before and the first after it.
+spread; each range knows the last row before and the first after it. Where one first run lies in several ranges, every window of
+MIN_WORDS words around its suffixes is grouped by Spark instead, so that no match depends on the borders of ranges.
 
 Words are what ASCII white space separates. Contexts are compared by 16-bit codes of the words, first runs by 64-bit hashes:
 a chance match of a word beside a passage (1 in 65,536) makes it one word longer. Inside a periodic stretch only every
@@ -213,6 +214,50 @@ def _all_windows(rows, group, right, left, single, back, ahead, other) -> None:
         other[hit] = np.where(other[hit] < 0, near, other[hit])
 
 
+def _window_keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, words to the left, key) of every window of MIN_WORDS words around these suffixes; equal windows have equal keys."""
+    whole = codes.view(">u2").reshape(len(codes), -1)
+    right, left = whole[:, 4 : 4 + REACH], whole[:, 4 + REACH :]
+    n_right, n_left = (right != 0).sum(1), (left != 0).sum(1)
+    rows, offsets, keys = [], [], []
+    for o in range(REACH + 1):
+        own = np.flatnonzero((n_left >= o) & (n_right >= REACH - o))
+        # the left part, the first run and the right part are one stretch of bytes, but for the order of the left part
+        part = np.concatenate([codes[own, :8], codes[own, 8 : 8 + 2 * (REACH - o)], codes[own, 8 + 2 * REACH : 8 + 2 * REACH + 2 * o]], axis=1)
+        rows.append(own)
+        offsets.append(np.full(len(own), o))
+        keys.append(np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes(), o) for x in part), np.uint64, len(own)))
+    return np.concatenate(rows), np.concatenate(offsets), _signed(np.concatenate(keys))
+
+
+def _spread_matches(ordered: DataFrame, grams: set[bytes]) -> DataFrame:
+    """What the first runs ``grams``, which lie in several ranges, match: grouped by window over all ranges."""
+    wanted = ordered.sparkSession.sparkContext.broadcast(grams)
+
+    def windows(batches):
+        for batch in batches:
+            codes = batch.column("codes").to_pylist()
+            take = np.array([k for k, x in enumerate(codes) if x[:8] in wanted.value], np.int64)
+            if not len(take):
+                continue
+            data = np.frombuffer(b"".join(codes[k] for k in take), np.uint8).reshape(len(take), -1)
+            row, o, key = _window_keys(data)
+            at = pa.array(take[row])
+            context = np.array([context_hash(codes[k]) for k in take], np.int64)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(o, pa.int64()), pa.array(context), *[batch.column(c).take(at) for c in ("single", "low", "high")]], names=["key", "o", "context", "single", "low", "high"])
+
+    found = ordered.mapInArrow(windows, "key long, o long, context long, single long, low long, high long")
+    # rows of different documents, or two contexts that several documents each share
+    shared = (
+        found.groupBy("key").agg(F.min("single").alias("first"), F.max("single").alias("last"), F.count("*").alias("n"), F.min("low").alias("one"), F.max("high").alias("two"))
+        .where("first <> last OR first = 0 AND n > 1").select("key", "one", "two")
+    )
+    near = F.when(F.col("one") != F.col("low"), F.col("one")).otherwise(F.col("two"))
+    return found.join(shared, "key").groupBy("context").agg(
+        F.max("o").alias("back"), F.max(F.lit(MIN_WORDS) - F.col("o")).alias("ahead"), F.min("low").alias("low"), F.max("high").alias("high"), F.min(near).alias("near")
+    )
+
+
 def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, row, start, end, other_docs): every passage of ``min_words`` or more words that other documents hold too.
 
@@ -251,6 +296,12 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     bounds = ordered.mapInArrow(ends, "codes binary, single long, low long, high long, side int, range int").collect()
     beside = docs.sparkSession.sparkContext.broadcast(sorted(((r.range, r.side, bytes(r.codes), r.single, r.low, r.high) for r in bounds), key=lambda x: x[:3]))
 
+    # first runs in several ranges: each is the first or the last one of every range that holds it
+    held: dict[bytes, set[int]] = {}
+    for r in bounds:
+        held.setdefault(bytes(r.codes[:8]), set()).add(r.range)
+    spread = {gram for gram, ranges in held.items() if len(ranges) > 1}
+
     def compare(batches):
         table = pa.Table.from_batches(list(batches), schema=arrow)
         if not table.num_rows:
@@ -275,6 +326,8 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         )
 
     found = ordered.mapInArrow(compare, "context long, back long, ahead long, low long, high long, near long")
+    if spread and min_words == MIN_WORDS:
+        found = found.union(_spread_matches(ordered, spread))
     spots = _contexts(rows, bits, False).join(found, "context")
     span = F.struct((F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end"), "others")
     other = F.array_compact(F.array(F.when(F.col("low") != F.col("doc_id"), F.col("low")), F.when(F.col("high") != F.col("doc_id"), F.col("high")), F.when(F.col("near") != F.col("doc_id"), F.col("near"))))

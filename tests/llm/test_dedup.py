@@ -93,6 +93,32 @@ def test_passages(spark):
     assert {8: {9, 10}, 9: {8, 10}}.items() <= {r.doc_id: set(r.other_docs) | ({8, 9, 10} - {r.doc_id}) for r in found.collect()}.items()
 
 
+def test_passages_of_a_frequent_run_over_many_ranges(spark):
+    # every text holds the frequent run, each shares 50 words with one other: 42 before the run for half of them
+    # (a run of small hash, so that it is the minimiser of nearly all windows that hold it)
+    own = suffixes.word_hashes(" ".join(words(600, 20_000)))
+    place, gram = suffixes.anchors(own)
+    at = int(place[gram.argmin()])
+    line, rows = words(600, 20_000)[at : at + 8], []
+    for k in range(400):
+        left, right = words(10_000 + k, 42), words(20_000 + k, 42)
+        for j in (0, 1):
+            at = 30_000 + 2 * k + j
+            before = left if k % 2 else words(40_000 + at, 42)
+            after = words(at, 42) if k % 2 else right
+            rows.append((2 * k + j, " ".join(before + line + after)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.doc_id, r.start, r.end) for r in suffixes.passages(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == {(i, 0, 50) if i // 2 % 2 else (i, 42, 92) for i, _ in rows}
+
+
 def test_similar_documents(spark):
     rows = [(i, t) for i, t, *_ in corpus()]
     sets = [set(wide_simhash.shingle_set(t or "").tolist()) for _, t in rows]
