@@ -120,7 +120,8 @@ def restored(token: str, model: list[float]) -> str:
 EDGES = ".,;:!?\"'()[]{}<>*#%&$|~`«»¡¿…-_/\\=+"
 REPEATED = re.compile(r"(.)\1\1")
 #: A sign that is part of the word although it stands at its edge.
-EDGE_SIGN = re.compile(r"[$|+€](?=[^\W\d_])|(?<=[^\W\d_])[$|+€]$")
+_SIGN = "[" + re.escape("".join(SIGNS)) + "]"
+EDGE_SIGN = re.compile(rf"{_SIGN}(?=[^\W\d_])|(?<=[^\W\d_]){_SIGN}")
 
 
 def forms(token: str, model: list[float]) -> tuple[str, ...]:

@@ -135,6 +135,18 @@ def test_deobfuscation():
     assert reader.read("x y") == [(), ()] and reader.read("") == []
 
 
+def plain_model(*texts):
+    table = (toxicity.trigram_counts(list(texts)) + 0.05).reshape(-1, toxicity.ALPHABET)
+    return np.log(table / table.sum(1, keepdims=True)).ravel().tolist()
+
+
+def test_signs_at_edges():
+    model = plain_model("idiot cretin the house " * 80)
+    for hidden, plain in (("!diot", "idiot"), ("(retin", "cretin"), ("*diot", "idiot"), ("\"!diot\",", "idiot")):
+        assert plain in toxicity.forms(hidden, model)
+    assert toxicity.forms("(house)!", model)[0] == "house"
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     plain, bad = words(30, 300), ["stinker", "rotten", "villain"]
