@@ -2,7 +2,7 @@
 
 Writers hide words: digits and signs for letters, separators between letters, repeated letters. Every token that is not
 plain letters spans a lattice: each sign may stand for one of a few letters, for nothing, or for itself, each repeated
-letter may be dropped. A Viterbi search finds the path that a character trigram language model (counted over the whole
+letter may be dropped; tokens over LONGEST characters are searched in overlapping windows. A Viterbi search finds the path that a character trigram language model (counted over the whole
 corpus) and the channel's costs make likeliest; runs of single letters are joined and go the same way. The restored words
 are scored: whole words and word beginnings that mark toxic training rows carry weights (log ratios of document
 frequencies), and a logistic model of a document's strongest weight, their number and their share gives the score.
@@ -118,7 +118,9 @@ def restored(token: str, model: list[float]) -> str:
 
 
 EDGES = ".,;:!?\"'()[]{}<>*#%&$|~`«»¡¿…-_/\\=+"
-REPEATED = re.compile(r"(.)\1\1")
+REPEATED = re.compile(r"(.)\1")
+#: Longer repetitions are cut to three before the search, which can still keep two of them.
+MANY = re.compile(r"(.)\1{3,}")
 #: A sign that is part of the word although it stands at its edge.
 _SIGN = "[" + re.escape("".join(SIGNS)) + "]"
 EDGE_SIGN = re.compile(rf"{_SIGN}(?=[^\W\d_])|(?<=[^\W\d_]){_SIGN}")
@@ -128,11 +130,15 @@ def forms(token: str, model: list[float]) -> tuple[str, ...]:
     """The plain words that a lower-case token may stand for; most are their own only form."""
     core = token.strip(EDGES)
     plain = core.isalpha()
-    if len(token) > LONGEST or plain and not REPEATED.search(core) and not EDGE_SIGN.search(token):
+    if plain and not REPEATED.search(core) and not EDGE_SIGN.search(token):
         return (core,) if plain and len(core) > 1 else ()
     if not any(map(str.isalpha, token)):
         return ()
-    return tuple(dict.fromkeys(x for x in ([core] if plain else []) + [restored(t, model) for t in dict.fromkeys((core, token))] if len(x) > 1))
+    found = [core] if plain else []
+    for t in dict.fromkeys(MANY.sub(r"\1\1\1", t) for t in (core, token)):
+        # long tokens in windows that overlap by half
+        found += [restored(t[k : k + LONGEST], model) for k in range(0, max(1, len(t) - LONGEST // 2), LONGEST // 2)]
+    return tuple(dict.fromkeys(x for x in found if len(x) > 1))
 
 
 class Reader(dict):

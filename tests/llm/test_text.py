@@ -147,6 +147,15 @@ def test_signs_at_edges():
     assert toxicity.forms("(house)!", model)[0] == "house"
 
 
+def test_long_and_doubled():
+    model = plain_model("stinker letter the house " * 80)
+    for hidden in ("st" + 45 * "i" + "nker", "stiinker", ".".join("stinker") + 40 * ".", "-" * 45 + "st1nker"):
+        assert "stinker" in toxicity.forms(hidden, model)
+    assert toxicity.forms("letter", model) == ("letter",)
+    long = toxicity.forms(".".join("thehousestinkerthehousestinker"), model)
+    assert len(long) > 1 and all(long)
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     plain, bad = words(30, 300), ["stinker", "rotten", "villain"]
