@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe, chat, exact_dedup, langid, lz, mixing, secrets, simhash, suffixes, toxicity
+from ledgerlight.llm import bpe, chat, exact_dedup, langid, lz, merkle, mixing, secrets, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -124,3 +124,50 @@ def op9_secret_ownership(spark, d):
 def op10_cube_mixing(spark, d):
     mix = mixing.mix(table(spark, d, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def _field(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR) END"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+def _grow(name: str, base: str) -> str:
+    """Nodes of all levels of trees given as (tree, level, idx, digest, cnt)."""
+    return f"""{name} AS ({base} UNION ALL
+    SELECT tree, level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (cnt + 7) // 8 FROM {name} WHERE cnt > 1 GROUP BY tree, level, idx // 8, cnt)"""
+
+
+def _fold(name: str, base: str, nodes: str) -> str:
+    """Digest of the changed leaf and the siblings so far, level by level."""
+    return f"""{name} AS ({base} UNION ALL
+    SELECT f.id, f.tree, f.level + 1, f.idx // 8, sha256(string_agg(CASE WHEN t.idx = f.idx THEN f.cur ELSE t.digest END, '' ORDER BY t.idx)),
+      f.sib || coalesce(string_agg(t.digest, '' ORDER BY t.idx) FILTER (WHERE t.idx <> f.idx), '')
+    FROM {name} f JOIN {nodes} t ON t.tree = f.tree AND t.level = f.level AND t.idx // 8 = f.idx // 8 WHERE t.cnt > 1
+    GROUP BY f.id, f.tree, f.level, f.idx, f.cur, f.sib)"""
+
+
+MERKLE_SQL = f"""WITH RECURSIVE d AS MATERIALIZED (
+    SELECT *, row_number() OVER () AS id, coalesce('=' || lang, '') AS tree, {_leaf('text')} AS leaf,
+      CASE WHEN {CRC} % 3 = 0 THEN {_leaf(f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')")} ELSE {_leaf('text')} END AS altered FROM documents),
+  o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS cnt FROM d),
+  {_grow("nodes", "SELECT tree, 0 AS level, idx, leaf AS digest, cnt FROM o")},
+  s AS MATERIALIZED (SELECT tree AS own, digest, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS cnt FROM nodes WHERE cnt = 1),
+  {_grow("tops", "SELECT '' AS tree, 0 AS level, idx, digest, cnt FROM s")},
+  {_fold("f1", "SELECT id, tree, 0 AS level, idx, altered AS cur, '' AS sib FROM o", "nodes")},
+  e1 AS (SELECT f1.id, arg_max(f1.cur, f1.level) AS cur, arg_max(f1.sib, f1.level) AS sib, any_value(s.idx) AS idx FROM f1 JOIN s ON s.own = f1.tree GROUP BY f1.id),
+  {_fold("f2", "SELECT id, '' AS tree, 0 AS level, idx, cur, sib FROM e1", "tops")},
+  e2 AS (SELECT id, arg_max(cur, level) AS cur, arg_max(sib, level) AS sib FROM f2 GROUP BY id)
+SELECT o.doc_id, o.leaf, s.digest AS subroot, r.digest AS root, sha256(e2.sib) AS proof_sha256, e2.cur AS folded_root, e2.cur = r.digest AS verified
+FROM o JOIN e2 ON e2.id = o.id JOIN s ON s.own = o.tree CROSS JOIN (SELECT digest FROM tops WHERE cnt = 1) r"""
+
+
+@register("op11_merkle_manifest", MERKLE_SQL)
+def op11_merkle_manifest(spark, d):
+    return merkle.manifest(table(spark, d, "documents"))
