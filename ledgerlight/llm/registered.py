@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe, chat, exact_dedup, langid, lz, merkle, mixing, secrets, simhash, suffixes, toxicity
+from ledgerlight.llm import bpe, chat, exact_dedup, langid, lz, merkle, mixing, phrases, secrets, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -171,3 +171,22 @@ FROM o JOIN e2 ON e2.id = o.id JOIN s ON s.own = o.tree CROSS JOIN (SELECT diges
 @register("op11_merkle_manifest", MERKLE_SQL)
 def op11_merkle_manifest(spark, d):
     return merkle.manifest(table(spark, d, "documents"))
+
+
+@register("op12_collocations", rf"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{merkle.UPPER}', '{merkle.LOWER}') AS text FROM documents),
+  p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+  w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+  n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+  g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, {phrases.LONGEST + 1}) t(k)),
+  f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {phrases.MIN_COUNT}),
+  c AS (SELECT f.lang, f.k, f.phrase, f.f AS a, n.n, string_split(f.phrase, ' ') AS w FROM f JOIN n USING (lang) WHERE k > 1),
+  s AS (SELECT c.lang, c.phrase, c.a, c.n, i AS cut, l.f AS l, r.f AS r, CAST(1000::HUGEINT * c.a * c.n // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+    FROM c, range(1, {phrases.LONGEST}) t(i) JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:i], ' ')
+      JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[i + 1:], ' ') WHERE i < c.k),
+  b AS (SELECT lang, phrase, a, n, min(struct_pack(score := score, cut := cut, l := l, r := r)) AS b FROM s GROUP BY ALL),
+  kept AS (SELECT lang, phrase, a, b.l AS l, b.r AS r, n, b.score AS score FROM b WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = b.lang AND length(c.phrase) > length(b.phrase) AND c.a * 100 >= b.a * 100 AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept
+QUALIFY rank <= {phrases.TOP}""")
+def op12_collocations(spark, d):
+    return phrases.collocations(table(spark, d, "documents"))
