@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe, chat, exact_dedup, langid, lz, merkle, mixing, phrases, secrets, simhash, suffixes, toxicity
+from ledgerlight.llm import bpe, chat, exact_dedup, hmm, langid, lz, merkle, mixing, phrases, secrets, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -190,3 +190,23 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 QUALIFY rank <= {phrases.TOP}""")
 def op12_collocations(spark, d):
     return phrases.collocations(table(spark, d, "documents"))
+
+
+@register("op13_hidden_markov")
+def op13_hidden_markov(spark, d):
+    return hmm.score_texts(table(spark, d, "documents"))
+
+
+@register("op13_unigram_base", rf"""WITH d AS (SELECT doc_id, coalesce({CRC} % 7 = 2, false) AS held_out,
+    list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{merkle.UPPER}', '{merkle.LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), chr(10)) AS w FROM documents),
+  t AS MATERIALIZED (SELECT doc_id, held_out, unnest(w) AS word FROM d),
+  c AS MATERIALIZED (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+  n AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.n) AS train_tokens,
+  round(sum(log10((coalesce(c.c, 0) + 1) / (n.n + n.v + 1))), 4) AS base_score
+FROM t LEFT JOIN c USING (word) CROSS JOIN n GROUP BY doc_id, held_out""")
+def op13_unigram_base(spark, d):
+    """The part of op13 that SQL can express."""
+    return hmm.score_texts(table(spark, d, "documents"), rounds=0).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score")
+    )
