@@ -88,7 +88,7 @@ def grams(codes: np.ndarray, seed: int, longest: int) -> Iterator[tuple[np.ndarr
 
 
 def has(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
-    at = (g >> np.uint64(8)) & np.uint64(BITS - 1)
+    at = (g >> np.uint64(8)) & np.uint64(8 * len(bits) - 1)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
@@ -133,20 +133,21 @@ def local_counts(saved: DataFrame, length: int, table) -> DataFrame:
 
 def marked(found: DataFrame, bits: np.ndarray) -> None:
     """Set the bits of the phrases found; what reaches the driver is at most the table itself, in slices."""
-    at = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(BITS - 1))
-    slices = found.select(F.floor(at / SLICE).alias("slice"), (at % SLICE).cast("int").alias("bit")).groupBy("slice").agg(F.collect_set("bit").alias("at"))
+    width = SLICE
+    at = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(8 * len(bits) - 1))
+    slices = found.select(F.floor(at / width).alias("slice"), (at % width).cast("int").alias("bit")).groupBy("slice").agg(F.collect_set("bit").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for at in batch.column("at"):
-                line = np.zeros(SLICE, np.uint8)
+                line = np.zeros(width, np.uint8)
                 line[at.values.to_numpy()] = 1
                 rows.append(np.packbits(line, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(rows, pa.binary())], names=["slice", "bits"])
 
     for r in slices.mapInArrow(run, "slice long, bits binary").toLocalIterator():
-        part = slice(r.slice * SLICE // 8, (r.slice + 1) * SLICE // 8)
+        part = slice(r.slice * width // 8, (r.slice + 1) * width // 8)
         bits[part] |= np.frombuffer(r.bits, np.uint8)
 
 
