@@ -1,12 +1,14 @@
 """Isolation forest: many small trees built in parallel tasks, kept as a table of nodes.
 
-A tree sees at most ``tree_sample`` rows (the method's own sub-sampling), so a group handed to
-Python has a fixed size whatever the table holds. Scoring reads the nodes as a small constant and
-works on Arrow batches; the cut is an exact quantile found without gathering the scores.
+Every draw (which rows a tree sees, a node's feature and cut) is a digest of seed, tree and node, and features are compared
+as whole numbers, so the same trees grow wherever the rule is followed, in SQL too. A tree sees at most ``tree_sample`` rows
+(the method's own sub-sampling), so a group handed to Python has a fixed size whatever the table holds. Scoring reads the
+nodes as a small constant and works on Arrow batches; the cut is an exact quantile found without gathering the scores.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +30,12 @@ FEATURES = (
     "country_frequency", "historical_average_amount", "historical_max_amount", "historical_min_amount",
 )
 MODEL_NAME = "IsolationForest_v1"
-NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
+#: Node 1 is the root, the children of n are 2n (up to the threshold) and 2n + 1; a leaf has feature -1.
+NODES = "tree int, node int, feature int, threshold long, path double"
+#: Features are compared in units of 1 / UNITS; the offset keeps halves of a unit, frequent among averages, off the border.
+UNITS, OFFSET, WIDEST = 10_000, 0.3717, 9e15
+#: Scores are told apart in billionths.
+DIGITS = 9
 
 
 def finite(name: str) -> Column:
@@ -38,8 +45,14 @@ def finite(name: str) -> Column:
     return F.when(bad, 0.0).otherwise(c)
 
 
+def whole(name: str) -> Column:
+    """The feature as a whole number of units."""
+    x = F.floor(finite(name) * UNITS + OFFSET)
+    return F.greatest(F.lit(-WIDEST), F.least(F.lit(WIDEST), x.cast("double"))).cast("long")
+
+
 def feature_array(features: tuple[str, ...] = FEATURES) -> Column:
-    return F.array(*[finite(f) for f in features])
+    return F.array(*[whole(f) for f in features])
 
 
 def scaling(df: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
@@ -58,51 +71,61 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
+def passes(rows: int, cfg: EngineConfig) -> tuple[int, int]:
+    """How many trees share one random order of ``rows``, and how many orders that takes."""
+    shared = min(cfg.trees, max(1, rows // cfg.tree_sample))
+    return shared, -(-cfg.trees // shared)
+
+
 def tree_samples(df: DataFrame, rows: int, cfg: EngineConfig, features: tuple[str, ...]) -> DataFrame:
-    """(tree, x): at most ``tree_sample`` rows per tree, drawn independently for every tree.
+    """(tree, x): ``tree_sample`` rows for every tree, each a random set without repetition.
 
-    The same draw at every size: a row's places in a tree's order come from a hash of (id, seed, tree). A row is offered to
-    the trees for which that hash lies among the smallest; the share is set so that a tree is offered enough rows but for
-    a chance below 1e-9, and keeps the ``tree_sample`` smallest of them.
+    The digests of (seed, pass, id) put the rows in a random order; consecutive runs of it are the samples of consecutive
+    trees. One order, hence one digest a row, serves as many trees as the table has runs; a table too small for all trees
+    takes further passes with orders of their own. Only the head of an order is kept (all but a chance below 1e-9 of
+    missing any of it), so what is ranked is bounded by the settings.
     """
-    wanted = min(cfg.tree_sample, rows)
+    shared, orders = passes(rows, cfg)
+    wanted = shared * cfg.tree_sample
     share = min(1.0, (wanted + 6.0 * math.sqrt(wanted) + 20.0) / max(rows, 1))
-    unit = 2.0**64
+    # digests are hex text, so their order is that of their leading digits
+    bound = f"{min(int(share * 16**12), 16**12 - 1):012x}"
+    ident = F.col("transaction_id").cast("string")
+    draws = F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), lambda p: F.struct(p.alias("_pass"), F.md5(F.concat_ws(":", F.lit(str(cfg.seed)), p.cast("string"), ident)).alias("_draw")))
+    heads = draws if share >= 1.0 else F.filter(draws, lambda d: d["_draw"] <= bound)
+    spread = df.select(ident.alias("_id"), feature_array(features).alias("x"), F.inline(heads))
+    rank = F.row_number().over(Window.partitionBy("_pass").orderBy("_draw", "_id", "x")) - 1
+    placed = spread.withColumn("_run", F.floor(rank / cfg.tree_sample)).where(F.col("_run") < shared)
+    tree = (F.col("_pass") * shared + F.col("_run")).cast("int")
+    return placed.select(tree.alias("tree"), "x").where(F.col("tree") < cfg.trees)
 
-    def draw(*salt) -> Column:
-        return F.xxhash64(F.col("transaction_id").cast("string"), F.lit(cfg.seed), *salt).cast("double") / unit + 0.5
 
-    base = df.select("transaction_id", feature_array(features).alias("x"))
-    trees = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(cfg.trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("_draw"))),
-        lambda t: t["_draw"] <= share,
-    )
-    spread = base.select("transaction_id", "x", F.inline(trees))
-    ranked = Window.partitionBy("tree").orderBy("_draw", "transaction_id")
-    return spread.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= cfg.tree_sample).select("tree", "x")
+def node_draw(seed: int, tree: int, node: int) -> tuple[int, int]:
+    """Two 32-bit draws of a node: for its feature and for its cut."""
+    digest = hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()
+    return int(digest[:8], 16), int(digest[8:16], 16)
 
 
 def grow(tree: int, x: np.ndarray, seed: int) -> pd.DataFrame:
-    """One tree: random feature, random threshold, until the depth limit or a single point."""
-    rng = np.random.default_rng([seed, tree])
+    """One tree: drawn feature, drawn threshold between its extremes, until the depth limit or a single point."""
     limit = math.ceil(math.log2(max(len(x), 2)))
     rows: list[tuple] = []
-    work = [(0, np.arange(len(x)), 0)]
-    free = 1
+    work = [(1, np.arange(len(x)), 0)]
     while work:
         node, members, depth = work.pop()
         part = x[members]
-        varied = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(members) > 1 else []
+        low, high = part.min(axis=0), part.max(axis=0)
+        varied = np.flatnonzero(high > low)
         if depth >= limit or len(varied) == 0:
-            rows.append((tree, node, -1, 0.0, -1, -1, depth + average_path(len(members))))
+            rows.append((tree, node, -1, 0, depth + average_path(len(members))))
             continue
-        f = int(rng.choice(varied))
-        cut = float(rng.uniform(part[:, f].min(), part[:, f].max()))
-        low = part[:, f] <= cut
-        rows.append((tree, node, f, cut, free, free + 1, 0.0))
-        work += [(free, members[low], depth + 1), (free + 1, members[~low], depth + 1)]
-        free += 2
-    return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
+        which, where = node_draw(seed, tree, node)
+        f = int(varied[which % len(varied)])
+        cut = int(low[f]) + ((int(high[f]) - int(low[f])) * where >> 32)
+        rows.append((tree, node, f, cut, 0.0))
+        left = part[:, f] <= cut
+        work += [(2 * node, members[left], depth + 1), (2 * node + 1, members[~left], depth + 1)]
+    return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "path"])
 
 
 @dataclass(frozen=True)
@@ -116,29 +139,31 @@ class AnomalyModel:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``isolation_score`` in (0, 1), larger for rows that are easier to isolate."""
-        ordered = self.nodes.sort_values(["tree", "node"])
-        trees = [g[["feature", "threshold", "left", "right", "path"]].to_numpy() for _, g in ordered.groupby("tree")]
+        size = 1 << int(self.nodes["node"].max()).bit_length()
+        trees = []
+        for _, g in self.nodes.sort_values("tree").groupby("tree"):
+            feature, threshold, path = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)
+            feature[g["node"]], threshold[g["node"]], path[g["node"]] = g["feature"], g["threshold"], g["path"]
+            trees.append((feature, threshold, path))
         norm, width = average_path(self.sample), len(self.features)
 
         @F.pandas_udf("double")
         def isolation(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for xs in batches:
-                x = np.vstack(xs.to_numpy()) if len(xs) else np.empty((0, width))
+                x = np.vstack(xs.to_numpy()) if len(xs) else np.empty((0, width), np.int64)
                 total = np.zeros(len(x))
-                for t in trees:
-                    at = np.zeros(len(x), dtype=int)
-                    while True:
-                        feature = t[at, 0].astype(int)
-                        inner = np.flatnonzero(feature >= 0)
-                        if len(inner) == 0:
-                            break
+                for feature, threshold, path in trees:
+                    at = np.ones(len(x), dtype=int)
+                    inner = np.flatnonzero(feature[at] >= 0)
+                    while len(inner):
                         here = at[inner]
-                        low = x[inner, feature[inner]] <= t[here, 1]
-                        at[inner] = np.where(low, t[here, 2], t[here, 3]).astype(int)
-                    total += t[at, 4]
-                yield pd.Series(2.0 ** (-total / max(len(trees), 1) / norm))
+                        at[inner] = 2 * here + (x[inner, feature[here]] > threshold[here])
+                        inner = inner[feature[at[inner]] >= 0]
+                    total += path[at]
+                # all points alike or a single one: no path, no anomaly
+                yield pd.Series(2.0 ** (-total / max(len(trees), 1) / (norm or 1.0)))
 
-        return df.withColumn("isolation_score", isolation(feature_array(self.features)))
+        return df.withColumn("isolation_score", F.round(isolation(feature_array(self.features)), DIGITS))
 
     def transform(self, df: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
         """Score all rows and attach ``ml_findings`` to the anomalies."""
@@ -154,9 +179,9 @@ class AnomalyModel:
 
 
 def with_findings(scored: DataFrame, cut: float) -> DataFrame:
-    over = F.col("isolation_score") - F.lit(cut)
+    over = F.round(F.col("isolation_score") - F.lit(cut), DIGITS)
     confidence = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + 2.0 * over)), 2)
-    code = F.concat(F.lit("ML-"), F.hex(F.xxhash64(F.col("transaction_id").cast("string"))))
+    code = F.concat(F.lit("ML-"), F.upper(F.substring(F.md5(F.col("transaction_id").cast("string")), 1, 16)))
     found = F.struct(
         code.alias("id"), F.lit(MODEL_NAME).alias("name"), F.lit("HIGH").alias("severity"), over.alias("score"),
         confidence.alias("confidence"), over.alias("deviation"),

@@ -234,33 +234,42 @@ def patterns() -> str:
 
 
 POINTS = "CASE severity WHEN 'LOW' THEN 25 WHEN 'MEDIUM' THEN 50 WHEN 'HIGH' THEN 80 ELSE 100 END"
-FUSED = f"""
+
+
+def fused(model: bool = False) -> str:
+    """CTEs ending in ``fused``; with ``model`` the model's findings m are a fifth family (best confidence, weight 0.15)."""
+    fifth = " UNION ALL SELECT transaction_id, id, name, severity, score, confidence, 'm' FROM m" if model else ""
+    return f"""
 sums AS (
   SELECT transaction_id,
          least(100.0, sum(CASE WHEN fam = 'r' THEN score ELSE 0 END)) AS rs, least(100.0, sum(CASE WHEN fam = 'b' THEN score ELSE 0 END)) AS bs,
          least(100.0, sum(CASE WHEN fam = 's' THEN score ELSE 0 END)) AS ss,
          least(100.0, sum(CASE WHEN fam = 't' THEN CAST({POINTS} AS DOUBLE) ELSE 0 END)) AS ps,
+         coalesce(max(CASE WHEN fam = 'm' THEN confidence * 100 END), 0) AS ms, count(*) FILTER (fam = 'm') AS mn,
          count(*) FILTER (fam = 'r') AS rn, count(*) FILTER (fam = 'b') AS bn, count(*) FILTER (fam = 's') AS sn,
-         count(*) FILTER (fam = 't') AS pn, avg(CASE WHEN fam = 't' THEN confidence * 100 END) AS pc
-  FROM (SELECT *, 'r' AS fam FROM r UNION ALL SELECT *, 'b' FROM b UNION ALL SELECT *, 's' FROM s UNION ALL SELECT *, 't' FROM t)
+         count(*) FILTER (fam = 't') AS pn, avg(CASE WHEN fam IN ('t', 'm') THEN confidence * 100 END) AS pc
+  FROM (SELECT *, 'r' AS fam FROM r UNION ALL SELECT *, 'b' FROM b UNION ALL SELECT *, 's' FROM s UNION ALL SELECT *, 't' FROM t{fifth})
   GROUP BY transaction_id),
 shares AS (
-  SELECT *, (CASE WHEN rn > 0 THEN 0.3 ELSE 0.0 END) + (CASE WHEN bn > 0 THEN 0.2 ELSE 0.0 END)
+  SELECT *, (CASE WHEN rn > 0 THEN 0.3 ELSE 0.0 END) + (CASE WHEN bn > 0 THEN 0.2 ELSE 0.0 END) + (CASE WHEN mn > 0 THEN 0.15 ELSE 0.0 END)
           + (CASE WHEN sn > 0 THEN 0.15 ELSE 0.0 END) + (CASE WHEN pn > 0 THEN 0.2 ELSE 0.0 END) AS share,
-         CAST(rn > 0 AS INT) + CAST(bn > 0 AS INT) + CAST(sn > 0 AS INT) + CAST(pn > 0 AS INT) AS active
+         CAST(rn > 0 AS INT) + CAST(bn > 0 AS INT) + CAST(sn > 0 AS INT) + CAST(pn > 0 AS INT) + CAST(mn > 0 AS INT) AS active
   FROM sums),
 fused0 AS (
-  SELECT *, round(least(100.0, rs * 0.3 / share + bs * 0.2 / share + ss * 0.15 / share + ps * 0.2 / share), 9) AS overall,
+  SELECT *, round(least(100.0, rs * 0.3 / share + bs * 0.2 / share + ss * 0.15 / share + ps * 0.2 / share + ms * 0.15 / share), 9) AS overall,
          CASE WHEN pc IS NULL THEN least(100.0, 40 + 15 * active) ELSE least(100.0, 40 + 15 * active) * 0.6 + pc * 0.4 END AS conf
   FROM shares),
 fused AS (
   SELECT transaction_id, customer_id, round(overall + 1e-9, 2) AS overall_risk_score, round(conf + 1e-9, 2) AS confidence_score,
          CASE WHEN overall <= 20 THEN 'LOW' WHEN overall <= 40 THEN 'MEDIUM' WHEN overall <= 60 THEN 'HIGH'
               WHEN overall <= 80 THEN 'VERY HIGH' ELSE 'CRITICAL' END AS risk_level,
-         active AS active_engines, rn, bn, sn, pn, rs, bs, ss, ps
+         active AS active_engines, rn, bn, sn, pn, mn, rs, bs, ss, ps, ms
   FROM fused0 JOIN v USING (transaction_id))"""
 
 
+FUSED = fused()
+
+
 def events_features() -> str:
     return ",\n".join([EV, profile(device=True), features(device=True)])
 
@@ -271,3 +280,64 @@ def lines_features() -> str:
 
 def events_fused() -> str:
     return ",\n".join([events_features(), rules(), statistics(), behaviour(), patterns(), FUSED])
+
+
+# --- isolation forest -------------------------------------------------------------------------------------
+
+#: The model's features, in its order, as they are called in the feature CTE.
+MODEL_COLUMNS = (
+    "z", "amount_ratio", "transactions_last_hour", "transactions_last_day", "rolling_average_amount", "rolling_std_amount",
+    "deviation", "freq_dev", "gap", "beneficiary_frequency", "device_frequency", "channel_frequency", "country_frequency",
+    "avg_amount", "max_amount", "min_amount",
+)
+
+
+def _units(column: str) -> str:
+    x = f"CAST({column} AS DOUBLE)"
+    return f"CAST(greatest(-9e15, least(9e15, floor(CASE WHEN {x} IS NULL OR isnan({x}) OR isinf({x}) THEN 0.0 ELSE {x} END * 10000 + 0.3717))) AS BIGINT)"
+
+
+def _path(n: str) -> str:
+    return f"CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2 * (ln({n} - 1.0) + 0.5772156649015329) - 2 * ({n} - 1.0) / {n} END"
+
+
+def _draw(first: int) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {CFG.seed}, tree, node)), {first}, 8) AS BIGINT)"
+
+
+def _picked(rows: str, width: int) -> str:
+    """Rows of the growing trees with the split of their node: the drawn one of the features that vary, and the drawn cut."""
+    lows = ", ".join(f"min(x[{i}]) OVER n" for i in range(1, width + 1))
+    highs = ", ".join(f"max(x[{i}]) OVER n" for i in range(1, width + 1))
+    return f"""(SELECT *, lo[pick] + CAST((hi[pick] - lo[pick])::HUGEINT * {_draw(9)} // 4294967296 AS BIGINT) AS cut FROM (
+      SELECT *, varied[1 + {_draw(1)} % len(varied)] AS pick FROM (
+      SELECT *, list_filter(range(1, {width + 1}), lambda i: hi[i] > lo[i]) AS varied FROM (
+      SELECT tree, node, depth, deepest, x, [{lows}] AS lo, [{highs}] AS hi FROM {rows} WHERE depth < deepest WINDOW n AS (PARTITION BY tree, node)))
+      WHERE len(varied) > 0))"""
+
+
+def forest(columns: tuple[str, ...] = MODEL_COLUMNS, source: str = "f") -> str:
+    """CTEs ending in scored (transaction_id, score) and model_cut (cut); needs WITH RECURSIVE.
+
+    The trees grow level by level from the samples, then every row goes down every tree.
+    """
+    trees, sample = CFG.trees, CFG.tree_sample
+    return f"""x AS MATERIALIZED (SELECT transaction_id, CAST(transaction_id AS VARCHAR) AS id, [{', '.join(map(_units, columns))}] AS x FROM {source}),
+size AS (SELECT count(*) AS rows, least({trees}, greatest(1, count(*) // {sample})) AS shared FROM x),
+ordered AS (SELECT p, x, shared, (row_number() OVER (PARTITION BY p ORDER BY md5(concat_ws(':', {CFG.seed}, p, id)), id, x) - 1) // {sample} AS run
+  FROM x, size, range(0, {trees}) t(p) WHERE p * shared < {trees}),
+sampled AS MATERIALIZED (SELECT p * shared + run AS tree, x, ceil(log2(greatest(2, count(*) OVER (PARTITION BY p, run)))) AS deepest
+  FROM ordered WHERE run < shared AND p * shared + run < {trees}),
+grown AS (SELECT tree, CAST(1 AS BIGINT) AS node, 0 AS depth, deepest, x FROM sampled UNION ALL
+  SELECT tree, CASE WHEN x[pick] > cut THEN 2 * node + 1 ELSE 2 * node END, depth + 1, deepest, x FROM {_picked('grown', len(columns))}),
+splits AS MATERIALIZED (SELECT DISTINCT tree, node, pick, cut FROM {_picked('grown', len(columns))}),
+leaves AS MATERIALIZED (SELECT tree, node, any_value(depth) + {_path('count(*)')} AS path FROM grown ANTI JOIN splits USING (tree, node) GROUP BY tree, node),
+going AS (SELECT id, x, tree, CAST(1 AS BIGINT) AS node FROM x, (SELECT DISTINCT tree FROM sampled) UNION ALL
+  SELECT id, x, going.tree, CASE WHEN x[pick] > cut THEN 2 * going.node + 1 ELSE 2 * going.node END FROM going JOIN splits ON splits.tree = going.tree AND splits.node = going.node),
+lengths AS (SELECT id, sum(path) AS total FROM going JOIN leaves ON leaves.tree = going.tree AND leaves.node = going.node GROUP BY id),
+scored AS MATERIALIZED (SELECT transaction_id, round(pow(2, -total / {trees} / (SELECT CASE WHEN n > 1 THEN {_path('n')} ELSE 1.0 END FROM (SELECT least({sample}, rows) AS n FROM size))), 9) AS score
+  FROM lengths JOIN x USING (id)),
+model_cut AS (SELECT quantile_cont(score, {1.0 - CFG.contamination}) AS cut FROM scored),
+m AS (SELECT transaction_id, 'ML-' || upper(substr(md5(CAST(transaction_id AS VARCHAR)), 1, 16)) AS id, 'IsolationForest_v1' AS name, 'HIGH' AS severity,
+    round(score - cut, 9) AS score, round(least(1.0, greatest(0.0, 0.5 + 2 * round(score - cut, 9))), 2) AS confidence
+  FROM scored, model_cut WHERE round(score - cut, 9) > 0)"""

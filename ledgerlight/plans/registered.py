@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, each next to the SQL it has to agree with.
 
-``sql=None`` marks work SQL cannot express (the anomaly model); such queries are covered by tests.
+The trees of the anomaly model are grown by recursive SQL from the same digests. ``sql=None`` would mark work SQL cannot express.
 """
 
 from __future__ import annotations
@@ -517,12 +517,14 @@ def run_report(spark, d):
     return reports.run_report(views.txn_events(spark, d), all_alerts(spark, d))
 
 
-@register("anomaly_findings", None)
+@register("anomaly_findings", f"""WITH RECURSIVE {O.events_features()}, {O.forest()}
+SELECT transaction_id, id, name, {rd('score', 6)}, confidence FROM m""")
 def anomaly_findings(spark, d):
     # fitted and scored from features worked out once
     rows = materialise(events_with_profiles(spark, d).select("transaction_id", "customer_id", *anomaly.FEATURES))
     scored = anomaly.fit(rows).transform(rows)
-    return detectors.findings_long(scored, "ml_findings").select("transaction_id", "id", "name", "score", "confidence")
+    found = detectors.findings_long(scored, "ml_findings").select("transaction_id", "id", "name", "score", "confidence")
+    return rounded(found, 6, "score")
 
 
 @register("anomaly_scaling", f"""WITH {O.events_features()}
@@ -533,12 +535,18 @@ def anomaly_scaling(spark, d):
     return rounded(table, 4, "mean", "std")
 
 
-@register("full_assessment_with_model", None)
+@register("full_assessment_with_model", f"""WITH RECURSIVE {O.events_features()}, {O.rules()}, {O.statistics()}, {O.behaviour()}, {O.patterns()},
+{O.forest()}, {O.fused(model=True)}
+SELECT transaction_id, overall_risk_score, risk_level, confidence_score, active_engines, CAST(mn AS INT) AS model_findings,
+  CASE WHEN mn > 0 THEN ms ELSE 0 END AS model_score FROM fused""")
 def full_assessment_with_model(spark, d):
     rows = views.txn_events(spark, d)
     featured = materialise(features.build_features(rows, profiles.build_profiles(rows)))
     assessed = detection.assess(rows, model=anomaly.fit(featured), featured=featured)
-    return assessed.select("transaction_id", "overall_risk_score", "risk_level", F.size("ml_findings").alias("model_findings"))
+    return assessed.select(
+        "transaction_id", "overall_risk_score", "risk_level", "confidence_score", "active_engines", F.size("ml_findings").alias("model_findings"),
+        F.round(F.col("engine_scores")["ML"], 2).alias("model_score"),
+    )
 
 
 # --- quality, cleaning, enrichment ----------------------------------------------------------------------------

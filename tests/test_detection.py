@@ -215,3 +215,39 @@ def test_anomaly_model(spark, tmp_path):
     assert key(model) == key(again)
     per_tree = anomaly.tree_samples(rows, 61, cfg, anomaly.FEATURES).groupBy("tree").count().collect()
     assert len(per_tree) == 20 and all(r["count"] <= cfg.tree_sample for r in per_tree)
+
+
+def test_forest_is_the_one_that_sql_grows(spark):
+    import duckdb
+    import pandas as pd
+
+    from ledgerlight.plans import oracle_parts
+
+    hard = [None, float("nan"), float("inf"), -3.25, 1e14, 0.00005, -0.00005, 7.0]
+    rows = vectors(spark, *[
+        {"amount_z_score": hard[i % 8], "rolling_average_amount": (i * i % 331) / 7, "historical_max_amount": -float(i % 5), "transactions_last_day": i % 11}
+        for i in range(1100)
+    ])
+    cfg = EngineConfig()
+    model = anomaly.fit(rows, cfg)
+    got = {r.transaction_id: r.isolation_score for r in model.score(rows).collect()}
+    db = duckdb.connect()
+    db.register("t", pd.DataFrame([r.asDict() for r in rows.select("transaction_id", *anomaly.FEATURES).collect()]))
+    parts = f"WITH RECURSIVE {oracle_parts.forest(anomaly.FEATURES, 't')}"
+    assert dict(db.execute(f"{parts} SELECT transaction_id, score FROM scored").fetchall()) == got
+    assert db.execute(f"{parts} SELECT cut FROM model_cut").fetchone()[0] == pytest.approx(model.cut, abs=1e-12)
+
+
+def test_forest_samples(spark):
+    """Whatever the table holds: full samples for every tree, no row twice in one tree, one order of rows where that is enough."""
+    rows = vectors(spark, *[{"amount_z_score": float(i)} for i in range(900)])
+    for cfg, shared, orders in ((EngineConfig(trees=7, tree_sample=100), 7, 1), (EngineConfig(trees=20, tree_sample=100), 9, 3), (EngineConfig(trees=3, tree_sample=2000), 1, 3)):
+        assert anomaly.passes(900, cfg) == (shared, orders)
+        found = anomaly.tree_samples(rows, 900, cfg, ("amount_z_score",)).collect()
+        by_tree = {}
+        for r in found:
+            by_tree.setdefault(r.tree, []).append(r.x[0])
+        assert sorted(by_tree) == list(range(cfg.trees))
+        assert all(len(x) == len(set(x)) == min(900, cfg.tree_sample) for x in by_tree.values())
+        if orders == 1:
+            assert len({v for x in by_tree.values() for v in x}) == 700
