@@ -86,8 +86,9 @@ def with_slices(df: DataFrame, keys: Sequence[str], at: str, cfg: EngineConfig)
     the values lie; equal positions of a key stay together. The rows are saved, so that every later
     step sees the same cuts.
     """
-    pieces = max(1, -(-df.count() // cfg.slice_rows))
-    return materialise(df.repartitionByRange(pieces, *keys, at).withColumn("_slice", F.spark_partition_id().cast("long")))
+    saved = materialise(df)
+    pieces = max(1, -(-saved.count() // cfg.slice_rows))
+    return materialise(saved.repartitionByRange(pieces, *keys, at).withColumn("_slice", F.spark_partition_id().cast("long")))
 
 
 def running_sums(
@@ -121,6 +122,24 @@ def running_sums(
     return joined.withColumns(totals).drop(*[f"_in_{n}" for n in sums], *[f"_carry_{n}" for n in sums])
 
 
+def running_extremes(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, sliced: bool = False) -> DataFrame:
+    """Add ``_most`` and ``_least``: the extremes of ``value`` over each key up to the row in ``order``, row by row.
+
+    ``sliced``: the rows are those of ``with_slices``; slices are scanned apart and take over the extremes of earlier ones.
+    """
+    ends = {"_most": F.max, "_least": F.min}
+    if not sliced:
+        within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumns({n: f(value).over(within) for n, f in ends.items()})
+    within = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(*keys, "_slice").agg(*[f(value).alias(n) for n, f in ends.items()])
+    carry = carry.select(*keys, "_slice", *[f(n).over(earlier).alias(f"_carry{n}") for n, f in ends.items()])
+    scanned = rows.withColumns({f"_in{n}": f(value).over(within) for n, f in ends.items()}).join(carry, [*keys, "_slice"], "left")
+    merged = {"_most": F.greatest("_in_most", "_carry_most"), "_least": F.least("_in_least", "_carry_least")}
+    return scanned.withColumns(merged).drop(*[f"_{x}{n}" for x in ("in", "carry") for n in ends], "_slice")
+
+
 def previous_values(
     sliced: DataFrame,
     keys: Sequence[str],

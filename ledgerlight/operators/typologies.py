@@ -1,8 +1,8 @@
 """Typologies that need several rows: windows per account and bounded joins over money-flow edges.
 
 Edges are (transaction_id, src, dst, timestamp, amount). Accounts may be hubs: trailing counts take
-the sliced way for hot accounts, and edge joins match on (account, time cell, amount cell), so a
-hub's edges are compared only with those near in time and size. Nothing is capped.
+the sliced way for hot accounts, and whether an edge has a follower is a running extreme over cells of
+time and size, linear in a hub's edges. Only edges that can be part of a whole cycle are paired. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -14,7 +14,17 @@ from pyspark.sql import functions as F
 
 from ledgerlight.config import EngineConfig
 from ledgerlight.functions.timeparts import DAY, HOUR, micros
-from ledgerlight.operators.ordered import Rolling, rolling_distinct, rolling_totals, with_previous
+from ledgerlight.operators.ordered import (
+    Heat,
+    Rolling,
+    by_heat,
+    find_hot_keys,
+    rolling_distinct,
+    rolling_totals,
+    running_extremes,
+    with_previous,
+    with_slices,
+)
 from ledgerlight.session import materialise
 
 MONEY = "decimal(24,6)"
@@ -117,12 +127,13 @@ def balance_reconciliation(transactions: DataFrame, tolerance: float = 0.01, cfg
 # --- flows over edges -------------------------------------------------------------------------------
 
 
-def _keyed(edges: DataFrame, prefix: str) -> DataFrame:
-    return edges.select(
-        F.col("transaction_id").alias(f"{prefix}_id"), F.col("src").alias(f"{prefix}_src"),
-        F.col("dst").alias(f"{prefix}_dst"), micros("timestamp").alias(f"{prefix}_us"),
-        F.col("amount").cast("double").alias(f"{prefix}_amount"),
+def _keyed(edges: DataFrame) -> DataFrame:
+    """Saved edges under short names, with ``e_row`` to tell copies apart."""
+    keyed = edges.select(
+        F.col("transaction_id").alias("e_id"), F.col("src").alias("e_src"), F.col("dst").alias("e_dst"),
+        micros("timestamp").alias("e_us"), F.col("amount").cast("double").alias("e_amount"),
     )
+    return materialise(keyed.withColumn("e_row", F.monotonically_increasing_id()))
 
 
 class FlowBand:
@@ -130,54 +141,120 @@ class FlowBand:
 
     With ``ordered=False`` the follower may also be earlier by up to ``hours``. A ratio of sizes needs positive amounts:
     edges without one (zero, negative, null) follow nothing and are followed by nothing.
+
+    What may follow an edge is a box in time and logarithm of size, of one shape for all edges. Cells are no larger than that
+    box, so a box covers of every cell that it meets a corner, a side or all.
     """
 
     def __init__(self, low: float, high: float, hours: float, ordered: bool = True):
         self.low, self.high, self.window, self.ordered = low, high, int(hours * HOUR), ordered
-        self.step = math.log(high / low) if high > low else 1.0
+        # a little narrower than the box, so that no box lies inside one cell with room on both sides
+        self.step = 0.999 * math.log(high / low) if high > low else 1.0
+
+    def over(self, steps: int) -> FlowBand:
+        """The band between the first and the last of two to ``steps + 1`` edges that follow each other."""
+        low, high = min(self.low, self.low**steps), max(self.high, self.high**steps)
+        return FlowBand(low * (1 - 1e-9), high * (1 + 1e-9), self.window * steps / HOUR, self.ordered)
 
     def cell(self, us: Column, amount: Column) -> tuple[Column, Column]:
         return F.floor(us / F.lit(self.window)), F.floor(F.log(amount) / F.lit(self.step))
 
-    def reach(self, rows: DataFrame, p: str, forward: bool = True) -> DataFrame:
-        """Explode an edge into the cells of its followers (or of its predecessors)."""
+    def times(self, us: Column, ahead: bool) -> tuple[Column, Column]:
+        """First and last time of what may follow (``ahead``) or come before."""
+        if not self.ordered:
+            return us - self.window, us + self.window
+        return (us + 1, us + self.window) if ahead else (us - self.window, us - 1)
+
+    def sizes(self, amount: Column, ahead: bool) -> tuple[Column, Column]:
+        """Bounds of their sizes, a margin wider: they only choose cells, the exact ratio is tested later."""
+        low, high = (amount * self.low, amount * self.high) if ahead else (amount / self.high, amount / self.low)
+        return low * (1 - 1e-9), high * (1 + 1e-9)
+
+    def fits(self, earlier: Column, later: Column) -> Column:
+        ratio = later / earlier
+        return (ratio >= self.low) & (ratio <= self.high)
+
+    def reach(self, rows: DataFrame, p: str, ahead: bool = True) -> DataFrame:
+        """One row for each cell that may hold a follower (or a predecessor) of edge ``p``."""
         us, amount = F.col(f"{p}_us"), F.col(f"{p}_amount")
-        back, ahead = (0 if self.ordered else self.window), self.window
-        low, high = (amount * self.low, amount * self.high) if forward else (amount / self.high, amount / self.low)
-        first, last = (us - back, us + ahead) if forward else (us - ahead, us + back)
-        # the margin only widens the candidate cells; the exact test follows in the join
-        t0, a0 = self.cell(first, low * (1 - 1e-9))
-        t1, a1 = self.cell(last, high * (1 + 1e-9))
-        return rows.where(amount > 0).withColumn("_tc", F.explode(F.sequence(t0, t1))).withColumn(
-            "_ac", F.explode(F.sequence(a0, a1))
-        )
+        (first, last), (low, high) = self.times(us, ahead), self.sizes(amount, ahead)
+        t0, a0 = self.cell(first, low)
+        t1, a1 = self.cell(last, high)
+        return rows.where(amount > 0).withColumns({"_last": t1, "_tc": F.explode(F.sequence(t0, t1))}).withColumn("_ac", F.explode(F.sequence(a0, a1)))
 
     def located(self, rows: DataFrame, p: str) -> DataFrame:
         t, a = self.cell(F.col(f"{p}_us"), F.col(f"{p}_amount"))
-        return rows.where(F.col(f"{p}_amount") > 0).withColumns({"_tc2": t, "_ac2": a})
+        return rows.where(F.col(f"{p}_amount") > 0).withColumns({"_tc": t, "_ac": a})
 
     def follows(self, first: str, second: str) -> Column:
         gap = F.col(f"{second}_us") - F.col(f"{first}_us")
-        ratio = F.col(f"{second}_amount") / F.col(f"{first}_amount")
         near = (gap > 0) & (gap <= self.window) if self.ordered else (F.abs(gap) <= self.window)
-        return (
-            (F.col(f"{second}_src") == F.col(f"{first}_dst"))
-            & (F.col("_tc2") == F.col("_tc")) & (F.col("_ac2") == F.col("_ac"))
-            & near & (ratio >= self.low) & (ratio <= self.high)
-            & (F.col(f"{first}_id") != F.col(f"{second}_id"))
-        )
+        return near & self.fits(F.col(f"{first}_amount"), F.col(f"{second}_amount")) & (F.col(f"{first}_id") != F.col(f"{second}_id"))
+
 
+CELL = ["_account", "_tc", "_ac", "_side"]
 
-def _with_predecessor(edges: DataFrame, earlier: DataFrame, band: FlowBand) -> DataFrame:
-    """Edges that continue one of ``earlier``; a semi join, so a hub's pairs are never emitted."""
-    reach = band.reach(_rename(earlier, "e", "p"), "p")
-    return band.located(edges, "e").join(reach, band.follows("p", "e"), "left_semi").drop("_tc2", "_ac2")
 
+def _linked(edges: DataFrame, others: DataFrame, band: FlowBand, mine: str, theirs: str, ahead: bool, cfg: EngineConfig, heat: Heat) -> DataFrame:
+    """Those of ``edges`` that have, at account ``mine``, one of ``others`` (their account ``theirs``) later or earlier within the band.
 
-def _with_successor(edges: DataFrame, later: DataFrame, band: FlowBand) -> DataFrame:
-    reach = band.reach(_rename(later, "e", "n"), "n", forward=False)
-    located = band.located(edges, "e")
-    return located.join(reach, band.follows("e", "n"), "left_semi").drop("_tc2", "_ac2")
+    In a cell the box of an edge is open towards the cell's border, so the edge has a partner there if the largest or the
+    smallest of the others on its side fits: a running extreme in order of time, read forwards for the last cell and backwards
+    for those before. Every edge adds two rows and asks in at most six cells (nine without order), so the rows are linear in
+    the edges, however many meet at one account; hot accounts are cut into slices. Pairs are never formed.
+    """
+    sides = F.array(F.lit(0), F.lit(1))
+    us, asked = F.col("e_us"), F.struct(*edges.columns)
+    points = band.located(others, "e").select(
+        F.col(theirs).alias("_account"), "_tc", "_ac", F.explode(sides).alias("_side"), us.alias("_us"), F.col("e_amount").alias("_amount"), F.lit(None).cast(edges.select(asked.alias("_asked")).schema["_asked"].dataType).alias("_asked")
+    )
+    points = points.withColumn("_at", F.when(F.col("_side") == 0, F.col("_us")).otherwise(-F.col("_us"))).drop("_us")
+    first, last = band.times(us, ahead)
+    asking = band.reach(edges, "e", ahead).select(
+        F.col(mine).alias("_account"), "_tc", "_ac", (F.col("_tc") < F.col("_last")).cast("int").alias("_side"), F.lit(None).cast("double").alias("_amount"),
+        asked.alias("_asked"), F.when(F.col("_tc") == F.col("_last"), last).otherwise(-first).alias("_at"),
+    )
+    rows = points.unionByName(asking).withColumn("_ask", F.col("_asked").isNotNull())
+    order = ("_at", "_ask")
+    seen = by_heat(
+        rows, "_account", cfg, lambda cold: running_extremes(cold, CELL, order, "_amount"),
+        lambda hot, _: running_extremes(with_slices(hot, CELL, "_at", cfg), CELL, order, "_amount", sliced=True), keep_null=False, heat=heat,
+    )
+    own = F.col("_asked.e_amount")
+    fits = [band.fits(own, F.col(c)) if ahead else band.fits(F.col(c), own) for c in ("_most", "_least")]
+    return seen.where("_ask").where(fits[0] | fits[1]).select("_asked.*").dropDuplicates(["e_row"])
+
+
+class Flows:
+    """Saved edges, the band and the hot accounts: what every search over flows needs."""
+
+    def __init__(self, edges: DataFrame, band: FlowBand, cfg: EngineConfig):
+        self.base, self.band, self.cfg = _keyed(edges), band, cfg
+        ends = self.base.select(F.explode(F.array("e_src", "e_dst")).alias("_account"))
+        self.heat = (find_hot_keys(ends, "_account", cfg)[0], False)
+        # without order, an edge from an account to itself could be taken for its own partner
+        self.alone = not band.ordered and band.low <= 1.0 <= band.high
+
+    def linked(self, edges: DataFrame, others: DataFrame, ahead: bool) -> DataFrame:
+        """Edges that are continued by one of ``others`` (``ahead``) or continue one; saved."""
+        mine, theirs = ("e_dst", "e_src") if ahead else ("e_src", "e_dst")
+        loops = F.coalesce(F.col("e_src") == F.col("e_dst"), F.lit(False))
+        plain = edges.where(~loops) if self.alone else edges
+        found = _linked(plain, others, self.band, mine, theirs, ahead, self.cfg, self.heat)
+        if self.alone:
+            reach = self.band.reach(edges.where(loops), "e", ahead)
+            partners = self.band.located(_rename(others, "e", "o"), "o")
+            match = (F.col(mine) == F.col(theirs.replace("e_", "o_"))) & (self.band.follows("e", "o") if ahead else self.band.follows("o", "e"))
+            same = [reach[c] == partners[c] for c in ("_tc", "_ac")]
+            found = found.unionByName(reach.join(partners, match & same[0] & same[1], "left_semi").select(*found.columns).dropDuplicates(["e_row"]))
+        return materialise(found)
+
+    def levels(self, steps: int, ahead: bool) -> list[DataFrame]:
+        """Edges with at least 0, 1, ..., ``steps`` edges one after another behind (``ahead``) or before them."""
+        out = [self.base]
+        for _ in range(steps):
+            out.append(self.linked(out[-1], out[-1], ahead))
+        return out
 
 
 def _rename(df: DataFrame, old: str, new: str) -> DataFrame:
@@ -191,95 +268,112 @@ def _as_edges(rows: DataFrame) -> DataFrame:
     )
 
 
+def _marks(levels: list[DataFrame], name: str) -> DataFrame:
+    """(e_row, name): the last level that holds an edge, level 0 left out."""
+    marks = levels[1].select("e_row", F.lit(1).alias(name))
+    for i, level in enumerate(levels[2:], 2):
+        marks = marks.unionByName(level.select("e_row", F.lit(i).alias(name)))
+    return marks.groupBy("e_row").agg(F.max(name).alias(name))
+
+
 def layering_chains(
     edges: DataFrame, cfg: EngineConfig = EngineConfig(), ordered: bool = True
 ) -> DataFrame:
     """Edges that end a chain of at least ``layering_hops`` hops, each 92–99 % of the one before.
 
-    The number of rounds is the fixed number of hops; every round is one semi join over the keyed edges, saved once.
+    The number of rounds is the fixed number of hops; every round is one sweep over cells (see ``_linked``). An edge that
+    continues an edge with i hops before it has i + 1, so each round asks only those that the one before has kept.
     """
-    band = FlowBand(*cfg.hop_ratio, cfg.hop_hours, ordered)
-    base = materialise(_keyed(edges, "e"))
-    reached = base
-    for _ in range(cfg.layering_hops - 1):
-        reached = _with_predecessor(base, reached, band)
-    return _as_edges(reached).withColumn("hops", F.lit(cfg.layering_hops))
+    flows = Flows(edges, FlowBand(*cfg.hop_ratio, cfg.hop_hours, ordered), cfg)
+    return _as_edges(flows.levels(cfg.layering_hops - 1, ahead=False)[-1]).withColumn("hops", F.lit(cfg.layering_hops))
 
 
 def layering_members(edges: DataFrame, cfg: EngineConfig = EngineConfig(), ordered: bool = True) -> DataFrame:
     """Every edge of a chain of at least ``layering_hops`` hops, with ``is_first`` and ``is_last`` for its ends.
 
-    An edge belongs to such a chain if i hops lead to it and the missing ones go on from it, for some i; the edges with i
-    hops before and behind them are found level by level and saved. An edge may be the first of one and the last of
-    another chain. No chain is ever spelled out, so a hub's many chains cost no more than its edges.
+    An edge belongs to such a chain if the hops that lead to it and those that go on from it are enough together; both are
+    found level by level. An edge may be the first of one and the last of another chain. No chain is ever spelled out, so a
+    hub's many chains cost no more than its edges.
     """
-    band = FlowBand(*cfg.hop_ratio, cfg.hop_hours, ordered)
-    base = materialise(_keyed(edges, "e"))
-    before, behind = [base], [base]
-    for _ in range(cfg.layering_hops - 1):
-        before.append(materialise(_with_predecessor(base, before[-1], band)))
-        behind.append(materialise(_with_successor(base, behind[-1], band)))
+    flows = Flows(edges, FlowBand(*cfg.hop_ratio, cfg.hop_hours, ordered), cfg)
     last = cfg.layering_hops - 1
-    marks = None
-    for i in range(cfg.layering_hops):
-        own = before[i].join(behind[last - i].select("e_id").distinct(), "e_id", "left_semi").select("e_id", F.lit(i).alias("_place"))
-        marks = own if marks is None else marks.unionByName(own)
-    places = marks.groupBy("e_id").agg(F.min("_place").alias("_low"), F.max("_place").alias("_high"))
-    found = base.join(places, "e_id")
-    return found.select(
-        F.col("e_id").alias("transaction_id"), F.col("e_src").alias("src"), F.col("e_dst").alias("dst"),
+    if last == 0:
+        return _as_edges(flows.base).withColumns({"hops": F.lit(1), "is_first": F.lit(True), "is_last": F.lit(True)})
+    before, behind = _marks(flows.levels(last, ahead=False), "_before"), _marks(flows.levels(last, ahead=True), "_behind")
+    marked = flows.base.join(before.join(behind, "e_row", "full"), "e_row")
+    found = marked.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("_before", "_behind")}).where(F.col("_before") + F.col("_behind") >= last)
+    ends = found.select("e_row", (F.col("_behind") >= last).alias("is_first"), (F.col("_before") >= last).alias("is_last"))
+    return _as_edges_with(found, cfg).join(ends, "e_row").drop("e_row")
+
+
+def _as_edges_with(rows: DataFrame, cfg: EngineConfig) -> DataFrame:
+    return rows.select(
+        "e_row", F.col("e_id").alias("transaction_id"), F.col("e_src").alias("src"), F.col("e_dst").alias("dst"),
         F.timestamp_micros("e_us").alias("timestamp"), F.col("e_amount").alias("amount"), F.lit(cfg.layering_hops).alias("hops"),
-        (F.col("_low") == 0).alias("is_first"), (F.col("_high") == last).alias("is_last"),
     )
 
 
 def circular_flows(
     edges: DataFrame, nodes: int = 3, ratio: tuple[float, float] = (0.85, 1.0), hours: float = 48.0,
-    ordered: bool = True, up_to: int | None = None,
+    ordered: bool = True, up_to: int | None = None, cfg: EngineConfig = EngineConfig(),
 ) -> DataFrame:
-    """Cycles of ``nodes`` (to ``up_to``, if given) distinct accounts that return to their origin.
+    """Cycles of ``nodes`` (to ``up_to``, if given) distinct accounts that return to their origin, one row per cycle.
 
-    Every edge of a cycle but the first continues another and every edge but the last is continued,
-    so edges are pruned by semi joins before any pair is built. One row per cycle. The keyed edges and every round of
-    pruning are saved, so the source is read once.
+    All lengths share one pruning: how many edges can lead to an edge and go on from it (found by sweeps), and whether any
+    edge returns to the origin of a first edge in time. Halves of cycles are then built from what is left, forwards from first
+    and backwards from last edges, and meet on origin and middle account, so only halves of one cycle's ends are paired.
     """
-    band = FlowBand(*ratio, hours, ordered)
-    base = materialise(_keyed(edges, "e").where(F.col("e_src") != F.col("e_dst")))
-    found = _cycles(base, nodes, band, ordered)
-    for more in range(nodes + 1, (up_to or nodes) + 1):
-        found = found.unionByName(_cycles(base, more, band, ordered))
-    return found
-
-
-def _cycles(base: DataFrame, nodes: int, band: FlowBand, ordered: bool) -> DataFrame:
-    # candidates[i] can be the edge at place i, looking forward and then backward along the cycle
-    candidates = [base]
-    for _ in range(nodes - 1):
-        candidates.append(materialise(_with_predecessor(base, candidates[-1], band)))
-    for i in range(nodes - 2, -1, -1):
-        candidates[i] = materialise(_with_successor(candidates[i], candidates[i + 1], band))
-    path = _rename(candidates[0], "e", "e1")
-    for i in range(2, nodes + 1):
-        step = band.located(_rename(candidates[i - 1], "e", f"e{i}"), f"e{i}")
-        reach = band.reach(path, f"e{i - 1}")
-        match = band.follows(f"e{i - 1}", f"e{i}")
-        if i < nodes:
-            fresh = [F.col(f"e{i}_dst") != F.col(f"e{j}_src") for j in range(1, i + 1)]
-            for condition in fresh:
-                match = match & condition
-        else:
-            match = match & (F.col(f"e{i}_dst") == F.col("e1_src"))
-        path = reach.join(step, match).drop("_tc", "_ac", "_tc2", "_ac2")
-    ids = F.array(*[F.col(f"e{i}_id") for i in range(1, nodes + 1)])
-    cycles = path.select(
-        ids.alias("transactions"), F.array(*[F.col(f"e{i}_src") for i in range(1, nodes + 1)]).alias("accounts"),
-        F.col("e1_amount").alias("first_amount"), F.col(f"e{nodes}_amount").alias("last_amount"),
+    most = up_to or nodes
+    flows = Flows(edges.where(F.col("src") != F.col("dst")), FlowBand(*ratio, hours, ordered), cfg)
+    before, behind = _marks(flows.levels(most - 1, ahead=False), "_before"), _marks(flows.levels(most - 1, ahead=True), "_behind")
+    marked = flows.base.join(before.join(behind, "e_row", "full"), "e_row").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("_before", "_behind")})
+    core = materialise(marked.where(F.col("_before") + F.col("_behind") >= nodes - 1))
+    wide = flows.band.over(most - 1)
+    starts = _linked(core.where(F.col("_behind") >= nodes - 1), core.where(F.col("_before") >= nodes - 1), wide, "e_src", "e_dst", True, cfg, flows.heat)
+    ends = _linked(core.where(F.col("_before") >= nodes - 1), core.where(F.col("_behind") >= nodes - 1), wide, "e_dst", "e_src", False, cfg, flows.heat)
+
+    one = lambda rows: rows.select(
+        F.array("e_id").alias("ids"), F.array("e_src").alias("accounts"), F.col("e_src").alias("from"), F.col("e_dst").alias("to"),
+        *[F.col(f"e_{c}").alias(f"{side}_{c}") for side in ("l", "r") for c in ("id", "us", "amount")], "_before", "_behind",
+    )
+    fore, back = [materialise(one(starts))], [materialise(one(ends))]
+    for i in range(1, (most + 1) // 2):
+        step = one(core.where((F.col("_before") >= i) & (F.col("_behind") >= max(nodes - 1 - i, 0))))
+        fore.append(materialise(_met(fore[-1], step, flows.band)))
+    for i in range(1, most // 2):
+        step = one(core.where((F.col("_behind") >= i) & (F.col("_before") >= max(nodes - 1 - i, 0))))
+        back.append(materialise(_met(step, back[-1], flows.band)))
+    found = None
+    for k in range(nodes, most + 1):
+        h = (k + 1) // 2
+        left = fore[h - 1].where(F.col("_behind") >= k - h)
+        part = _met(left, back[k - h - 1].where(F.col("_before") >= h), flows.band, closed=True)
+        found = part if found is None else found.unionByName(part)
+    cycles = found.select(
+        F.col("ids").alias("transactions"), "accounts", F.col("l_amount").alias("first_amount"), F.col("r_amount").alias("last_amount"),
     )
     if ordered:
         return cycles
     return cycles.withColumn("_set", F.array_sort("transactions")).dropDuplicates(["_set"]).drop("_set")
 
 
+def _met(first: DataFrame, second: DataFrame, band: FlowBand, closed: bool = False) -> DataFrame:
+    """Paths of ``first`` that go on with one of ``second`` and touch no account twice; ``closed``: and return to their origin.
+
+    In a path l_* is its first edge, r_* its last; ``_before`` is the first edge's label, ``_behind`` the last one's.
+    """
+    left = band.reach(first.select(*[F.col(c).alias(f"x_{c}") for c in first.columns]).withColumns({f"a_{c}": F.col(f"x_r_{c}") for c in ("id", "us", "amount")}), "a")
+    right = band.located(second.select(*[F.col(c).alias(f"y_{c}") for c in second.columns]).withColumns({f"b_{c}": F.col(f"y_l_{c}") for c in ("id", "us", "amount")}), "b")
+    meet = (left["_tc"] == right["_tc"]) & (left["_ac"] == right["_ac"]) & (F.col("x_to") == F.col("y_from")) & band.follows("a", "b")
+    meet = meet & ~F.arrays_overlap("x_accounts", "y_accounts")
+    meet = meet & ((F.col("y_to") == F.col("x_from")) if closed else ~F.array_contains("x_accounts", F.col("y_to")))
+    return left.join(right, meet).select(
+        F.concat("x_ids", "y_ids").alias("ids"), F.concat("x_accounts", "y_accounts").alias("accounts"), F.col("x_from").alias("from"), F.col("y_to").alias("to"),
+        *[F.col(f"x_l_{c}").alias(f"l_{c}") for c in ("id", "us", "amount")], *[F.col(f"y_r_{c}").alias(f"r_{c}") for c in ("id", "us", "amount")],
+        F.col("x__before").alias("_before"), F.col("y__behind").alias("_behind"),
+    )
+
+
 # --- predicates and simple joins ----------------------------------------------------------------------
 
 

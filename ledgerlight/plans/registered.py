@@ -813,6 +813,37 @@ def cycle_4(spark, d):
     return found.select(*[F.get("transactions", F.lit(i)).alias(f"t{i + 1}") for i in range(4)])
 
 
+NATIONS = f"""ne AS (
+  SELECT {O.LINE_ID} AS transaction_id, CASE WHEN l_returnflag = 'R' THEN ns.n_name ELSE nc.n_name END AS src,
+    CASE WHEN l_returnflag = 'R' THEN nc.n_name ELSE ns.n_name END AS dst, l_shipdate AS ts, l_extendedprice AS amount
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation nc ON c_nationkey = nc.n_nationkey
+  JOIN supplier ON l_suppkey = s_suppkey JOIN nation ns ON s_nationkey = ns.n_nationkey)"""
+NEXT = FOLLOWS.format(hours=240, low=0.95, high=1.0).replace("a.dst", "a.nodes[-1]").replace("a.ts", "a.last_ts").replace("a.amount", "a.last_amount")
+
+
+@register("cycles_3_to_6", f"""WITH RECURSIVE {NATIONS}, e AS (SELECT * FROM ne WHERE src <> dst),
+p AS (SELECT [transaction_id] AS ids, [src, dst] AS nodes, ts AS last_ts, amount AS last_amount, false AS closed FROM e UNION ALL
+  SELECT list_append(a.ids, b.transaction_id), list_append(a.nodes, b.dst), b.ts, b.amount, b.dst = a.nodes[1]
+  FROM p a JOIN e b ON {NEXT} WHERE NOT a.closed AND len(a.ids) < 6 AND (NOT list_contains(a.nodes, b.dst) OR b.dst = a.nodes[1] AND len(a.ids) >= 2))
+SELECT len(ids) AS accounts, array_to_string(ids, ' ') AS transactions, array_to_string(nodes[:-2], ' > ') AS route FROM p WHERE closed""")
+def cycles_3_to_6(spark, d):
+    found = typologies.circular_flows(views.nation_flows(spark, d), nodes=3, ratio=(0.95, 1.0), hours=240, up_to=6)
+    return found.select(
+        F.size("transactions").cast("long").alias("accounts"), F.array_join("transactions", " ").alias("transactions"), F.array_join("accounts", " > ").alias("route"),
+    )
+
+
+@register("hub_chain_members", f"""WITH {NATIONS},
+p2 AS (SELECT a.transaction_id AS i1, b.* FROM ne a JOIN ne b ON {FOLLOWS.format(hours=240, low=0.92, high=0.99)}),
+p3 AS (SELECT a.i1, a.transaction_id AS i2, b.transaction_id AS i3 FROM p2 a JOIN ne b ON {FOLLOWS.format(hours=240, low=0.92, high=0.99)}),
+m AS (SELECT i1 AS transaction_id, 0 AS place FROM p3 UNION ALL SELECT i2, 1 FROM p3 UNION ALL SELECT i3, 2 FROM p3)
+SELECT transaction_id, min(place) = 0 AS is_first, max(place) = 2 AS is_last FROM m GROUP BY transaction_id""")
+def hub_chain_members(spark, d):
+    """Chains among few accounts, the hot ones by slices (every account is hot at this limit)."""
+    cfg = EngineConfig(hop_hours=240, hot_key_rows=1000, slice_rows=5000)
+    return typologies.layering_members(views.nation_flows(spark, d), cfg).select("transaction_id", "is_first", "is_last")
+
+
 @register("mule_pass_through", f"""WITH {O.EDGES}, n AS (SELECT i.transaction_id, i.dst AS account, i.amount AS amount_in,
   (SELECT coalesce(sum(o.amount), 0) FROM ed o WHERE o.src = i.dst AND o.ts > i.ts AND o.ts <= i.ts + INTERVAL 24 HOUR) AS amount_out FROM ed i)
 SELECT transaction_id, account, {rd('amount_in', 2, 'amount_in')}, {rd('amount_out', 2, 'amount_out')} FROM n WHERE amount_out >= 0.85 * amount_in""")

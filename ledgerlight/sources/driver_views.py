@@ -101,6 +101,21 @@ def flow_edges(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def nation_flows(spark: SparkSession, folder: str) -> DataFrame:
+    """Money-flow edges between the nations of customer and supplier: few accounts, each a hub of a twenty-fifth of all edges."""
+    nations = table(spark, folder, "nation")
+    customers = table(spark, folder, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("payer"))
+    suppliers = table(spark, folder, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("seller"))
+    lines = table(spark, folder, "lineitem").join(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    named = lines.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    refund = F.col("l_returnflag") == "R"
+    return named.select(
+        line_id().alias("transaction_id"), F.when(refund, F.col("seller")).otherwise(F.col("payer")).alias("src"),
+        F.when(refund, F.col("payer")).otherwise(F.col("seller")).alias("dst"), F.col("l_shipdate").cast("timestamp").alias("timestamp"),
+        F.col("l_extendedprice").alias("amount"),
+    )
+
+
 def analyst_questions(spark: SparkSession, folder: str) -> DataFrame:
     """User turns of the conversations table."""
     return (

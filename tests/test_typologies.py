@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlight import EngineConfig
 from ledgerlight.operators import typologies as t
@@ -138,3 +139,45 @@ def test_scenario_evaluation(spark):
     labelled = spark.createDataFrame([("t1", "Smurfing"), ("t2", "Smurfing"), ("t3", None)], "transaction_id string, aml_scenario_tag string")
     row = t.scenario_evaluation(labelled, {"Smurfing": labelled.where("transaction_id <> 't2'")}).first()
     assert (row.labelled, row.flagged, row.hits, row.precision, row.recall) == (2, 2, 1, 0.5, 0.5)
+
+
+@pytest.mark.parametrize("ordered,lo,hi", [(True, 0.92, 0.99), (False, 0.9, 1.1)])
+def test_flows_of_hot_accounts_and_copies(spark, ordered, lo, hi):
+    """The sliced way, equal rows, amounts at the band's borders, edges from an account to itself: as all pairs say."""
+    rng = random.Random(8)
+    rows = [(f"n{rng.randint(0, 2)}", f"n{rng.randint(0, 2)}", rng.choice([0, 24, 48, rng.randint(0, 72)]), rng.choice([100, 99, 92, 91.08, 84.64, 98.01, 0, -5])) for _ in range(90)]
+    df = edges(spark, *rows)
+    data = [(f"e{i}", *r) for i, r in enumerate(rows, 1)]
+
+    def follows(a, b, lo, hi, hours):
+        gap = (b[3] - a[3]) if ordered else abs(b[3] - a[3])
+        return b[1] == a[2] and a[0] != b[0] and (0 < gap or not ordered) and gap <= hours and min(a[4], b[4]) > 0 and lo <= b[4] / a[4] <= hi
+
+    pairs = {(a[0], b[0]) for a in data for b in data if follows(a, b, lo, hi, 24)}
+    chains = {(x, y, z) for x, y in pairs for w, z in pairs if w == y}
+    if not ordered:
+        members = {r.transaction_id: (r.is_first, r.is_last) for r in t.layering_members(df, EngineConfig(hop_hours=24, hop_ratio=(lo, hi)), False).collect()}
+        assert members == {i: (i in {c[0] for c in chains}, i in {c[2] for c in chains}) for c in chains for i in c} and members
+        return
+    cfg = EngineConfig(hop_hours=24, hop_ratio=(lo, hi), hot_key_rows=5, slice_rows=150)
+    assert ids(t.layering_chains(df, cfg)) == {c[2] for c in chains} and chains
+    loops = {
+        (a[0], b[0], c[0])
+        for a in data for b in data if a[1] != a[2] and follows(a, b, 0.85, 1.0, 48) and b[2] not in (a[1], a[2])
+        for c in data if follows(b, c, 0.85, 1.0, 48) and c[2] == a[1]
+    }
+    got = [tuple(r.transactions) for r in t.circular_flows(df, cfg=cfg).collect()]
+    assert set(got) == loops and len(got) == len(loops)
+
+
+def test_hub_in_one_cell_is_linear(spark):
+    """40,000 edges through one account within an hour and a band: 400 million pairs, which no join could go through here."""
+    n = 40_000
+    rows = spark.range(n).select(
+        F.col("id").cast("string").alias("transaction_id"), F.expr("IF(id % 2 = 0, 'hub', concat('a', id))").alias("src"),
+        F.expr("IF(id % 2 = 0, concat('b', id), 'hub')").alias("dst"), F.timestamp_seconds(F.col("id") % 3600).alias("timestamp"), (100 - F.col("id") % 97 / 1000).alias("amount"),
+    )
+    cfg = EngineConfig(hop_hours=24, hop_ratio=(0.9, 1.1), layering_hops=2)
+    found = t.layering_members(rows, cfg)
+    # every payment to the hub is followed by a later one from it and the other way round, but for the first and last second
+    assert found.count() == found.where("is_first <> is_last").count() == n - rows.where("dst = 'hub' AND timestamp = timestamp_seconds(3599)").count() - rows.where("src = 'hub' AND timestamp = timestamp_seconds(0)").count()
