@@ -166,7 +166,7 @@ def test_flows_of_hot_accounts_and_copies(spark, ordered, lo, hi):
         for a in data for b in data if a[1] != a[2] and follows(a, b, 0.85, 1.0, 48) and b[2] not in (a[1], a[2])
         for c in data if follows(b, c, 0.85, 1.0, 48) and c[2] == a[1]
     }
-    got = [tuple(r.transactions) for r in t.circular_flows(df, cfg=cfg).collect()]
+    got = [tuple(r.transactions) for r in t.circular_flows(df).collect()]
     assert set(got) == loops and len(got) == len(loops)
 
 
