@@ -23,15 +23,23 @@ def build_session(app: str = "ledgerlight", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share.
+
+    Only a local session of one's own may leave it unset; then a folder beside the warehouse is taken.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that spark.checkpoint.dir names; survives lost executors.
+    """Reliable checkpoint in the shared folder; survives lost executors.
 
-    Only where that is unset (as in a local session of one's own) a folder beside the warehouse is taken, which all
-    executors share as well. Set spark.cleaner.referenceTracking.cleanCheckpoints to have files go with their frames.
+    Set spark.cleaner.referenceTracking.cleanCheckpoints to have files go with their frames.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -12,7 +12,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def txn_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events as card-like transactions: user, value, type as channel, ``props.k`` as device."""
-    return table(spark, folder, "events").select(
+    return as_transactions(table(spark, folder, "events"))
+
+
+def as_transactions(events: DataFrame) -> DataFrame:
+    """The same for events from anywhere, a stream for example."""
+    return events.select(
         F.col("event_id").alias("transaction_id"),
         F.col("user_id").alias("customer_id"),
         F.col("ts").cast("timestamp").alias("timestamp"),
