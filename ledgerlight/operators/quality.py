@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight import schemas
+from ledgerlight.session import materialise
 
 
 class ValidationError(ValueError):
@@ -90,25 +91,72 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
     return rows.join(keys, F.col(child_key) == F.col("_parent_key"), "left_anti")
 
 
+#: Child table, child column, parent table, parent column, nulls allowed.
+ForeignKey = tuple[str, str, str, str, bool]
+EXAMPLES = 5
+
+
+def key_report(tables: dict[str, DataFrame], primary: dict[str, str], foreign: Sequence[ForeignKey]) -> DataFrame:
+    """Uniqueness of all primary keys and all foreign keys whose tables are present: one scan a table, one exchange.
+
+    Every table's key columns are stacked as (domain, key, slot), a domain being a parent's key, slot 0 the parent itself and
+    the others its children. One aggregate counts each slot of each key, combined before it is shuffled, so a key with many
+    rows travels once; a key without parent rows is an orphan of every child that has it, and repeated parent rows are
+    copies. Keys compare as text. A null key has no parent; where nulls are not allowed, its rows are orphans.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    present = [fk for fk in foreign if fk[0] in tables and fk[2] in tables]
+    unique = [(t, k) for t, k in primary.items() if t in tables]
+    domains = list(dict.fromkeys([*unique, *[(fk[2], fk[3]) for fk in present]]))
+    children = [[fk for fk in present if fk[2:4] == d] for d in domains]
+    if not domains:
+        raise ValueError("no checks given")
+
+    def item(column: str, domain: int, slot: int) -> Column:
+        return F.struct(F.lit(domain).alias("domain"), F.col(column).cast("string").alias("key"), F.lit(slot).alias("slot"))
+
+    columns: dict[str, list[Column]] = {}
+    for d, (table, key) in enumerate(domains):
+        columns.setdefault(table, []).append(item(key, d, 0))
+        for s, fk in enumerate(children[d], 1):
+            columns.setdefault(fk[0], []).append(item(fk[1], d, s))
+    stacked = None
+    for table, items in columns.items():
+        part = tables[table].select(F.inline(F.array(*items)))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    slots = 1 + max(map(len, children))
+    counts = stacked.groupBy("domain", "key").agg(*[F.count_if(F.col("slot") == s).alias(f"_{s}") for s in range(slots)])
+    null = F.col("key").isNull()
+    saved = materialise(counts.where(null | (F.col("_0") != 1)))
+
+    checks = [(f"unique {t}", t, "unique", k) for t, k in unique]
+    found = []
+    for d, domain in enumerate(domains):
+        mine = F.col("domain") == d
+        if domain in unique:
+            found.append(F.when(mine & (F.col("_0") > 1), F.struct(F.lit(unique.index(domain)).alias("check"), (F.col("_0") - 1).alias("n"))))
+        for s, (child, key, parent, parent_key, nulls) in enumerate(children[d], 1):
+            lost = (F.lit(not nulls) & null) | (~null & (F.col("_0") == 0))
+            found.append(F.when(mine & lost & (F.col(f"_{s}") > 0), F.struct(F.lit(len(checks)).alias("check"), F.col(f"_{s}").alias("n"))))
+            checks.append((f"{child}.{key}", child, f"foreign_key->{parent}.{parent_key}" if parent else "foreign_key", key))
+    long = saved.select("key", F.explode(F.array_compact(F.array(*found))).alias("f")).select("key", "f.check", "f.n")
+    # numbers in their order, other keys as text
+    first = Window.partitionBy("check").orderBy(F.expr("try_cast(key AS DECIMAL(38, 6))").asc_nulls_last(), "key")
+    shown = long.where(~null).withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= EXAMPLES)
+    example = F.when(F.col("check") < len(unique), F.min(F.when(F.col("_place") == 1, F.col("key")))).otherwise(F.array_join(F.sort_array(F.collect_list("key")), ","))
+    sums = long.groupBy("check").agg(F.sum("n").alias("violations")).join(shown.groupBy("check").agg(example.alias("sample")), "check", "left")
+    names = spark.createDataFrame([(i, *c[1:]) for i, c in enumerate(checks)], "_check int, table string, check string, column string")
+    return names.join(sums.withColumnRenamed("check", "_check"), "_check", "left").select("table", "check", "column", F.coalesce("violations", F.lit(0)).alias("violations"), "sample")
+
+
 def foreign_key_check(
     child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, child_table: str = "",
     parent_table: str = "", allow_nulls: bool = True,
 ) -> DataFrame:
-    """Orphan count and up to five orphan keys.
-
-    Keys are counted before the join, so a key with many rows travels once.
-    """
-    keys = child.groupBy(child_key).agg(F.count(F.lit(1)).alias("_rows"))
-    lost = orphans(keys, child_key, parent, parent_key, allow_nulls)
-    first_five = F.array_join(F.sort_array(F.collect_list("_sample")), ",")
-    counted = lost.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("violations"))
-    shown = lost.orderBy(child_key).limit(5).select(F.col(child_key).cast("string").alias("_sample")).agg(first_five.alias("sample"))
-    both = counted.withColumn("_one", F.lit(1)).join(F.broadcast(shown.withColumn("_one", F.lit(1))), "_one", "left")
+    """Orphan count and up to five orphan keys of one foreign key; see ``key_report`` for several."""
+    report = key_report({"child": child, "parent": parent}, {}, [("child", child_key, "parent", parent_key, allow_nulls)])
     name = f"foreign_key->{parent_table}.{parent_key}" if parent_table else "foreign_key"
-    return both.select(
-        F.lit(child_table).alias("table"), F.lit(name).alias("check"), F.lit(child_key).alias("column"),
-        F.col("violations").cast("long").alias("violations"), F.nullif(F.col("sample"), F.lit("")).alias("sample"),
-    )
+    return report.withColumns({"table": F.lit(child_table), "check": F.lit(name)})
 
 
 def dtype_mismatches(df: DataFrame, expected: dict[str, str]) -> list[str]:
@@ -168,19 +216,14 @@ def structure_suite(tables: dict[str, DataFrame]) -> DataFrame:
     return together([columns, *[not_empty_check(tables[t], t) for t in core]])
 
 
-def key_suite(tables: dict[str, DataFrame]) -> DataFrame:
-    parts = [unique_check(df, schemas.PRIMARY_KEYS[name], name) for name, df in tables.items()]
-    parts += [null_counts(tables[t], cols, t) for t, cols in schemas.NOT_NULL.items() if t in tables]
-    return together(parts)
-
-
 def type_suite(tables: dict[str, DataFrame]) -> DataFrame:
-    """Unreadable lines, timestamps and ranges: one pass over each table that has such a check."""
+    """Nulls, unreadable lines, timestamps and ranges: one pass over each table that has such a check."""
     dated = {"transaction": ("timestamp",), "customer": ("dob", "onboarding_date"), "account": ("open_date",)}
     checks: dict[str, list[Check]] = {}
     for name, df in tables.items():
-        own = [no_timestamp(c) for c in dated.get(name, ())]
-        own += [out_of_range(c, lo, hi) for t, c, lo, hi in schemas.RANGES if t == name]
+        own = [Check("not_null", c, F.count_if(F.col(c).isNull())) for c in schemas.NOT_NULL.get(name, ()) if c in df.columns]
+        own += [no_timestamp(c) for c in dated.get(name, ()) if c in df.columns]
+        own += [out_of_range(c, lo, hi) for t, c, lo, hi in schemas.RANGES if t == name and c in df.columns]
         own += [unreadable(df.columns[0])] if schemas.BAD_RECORD in df.columns else []
         if own:
             checks[name] = own
@@ -188,17 +231,18 @@ def type_suite(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def reference_suite(tables: dict[str, DataFrame]) -> DataFrame:
-    """All foreign keys whose two tables are present, the customers' own reference included."""
-    return together(
-        foreign_key_check(tables[child], key, tables[parent], parent_key, child, parent, nulls)
-        for child, key, parent, parent_key, nulls in schemas.FOREIGN_KEYS
-        if child in tables and parent in tables
-    )
+    """All primary keys and all foreign keys whose columns are present, the customers' own reference included."""
+    has = lambda t, c: t in tables and c in tables[t].columns
+    primary = {t: k for t, k in schemas.PRIMARY_KEYS.items() if has(t, k)}
+    return key_report(tables, primary, [fk for fk in schemas.FOREIGN_KEYS if has(fk[0], fk[1]) and has(fk[2], fk[3])])
 
 
 def validate(tables: dict[str, DataFrame]) -> DataFrame:
-    """All suites in one report frame."""
-    return together(suite(tables) for suite in (structure_suite, key_suite, type_suite, reference_suite))
+    """All suites in one report frame: a look at one row, a pass for values and a pass for keys of each table.
+
+    A column that is missing is reported once, by the structure suite.
+    """
+    return together(suite(tables) for suite in (structure_suite, type_suite, reference_suite))
 
 
 def require(report: DataFrame) -> None:

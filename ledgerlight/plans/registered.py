@@ -576,10 +576,26 @@ FKS = (
 
 @register("fk_report", " UNION ALL ".join(fk_sql(*fk) for fk in FKS))
 def fk_report(spark, d):
-    parts = [
-        quality.foreign_key_check(views.table(spark, d, c), k, views.table(spark, d, p), pk, c, p) for c, k, p, pk in FKS
-    ]
-    return quality.together(parts).select("table", "column", "violations", "sample")
+    names = {t for c, _, p, _ in FKS for t in (c, p)}
+    report = quality.key_report({t: views.table(spark, d, t) for t in names}, {}, [(*fk, True) for fk in FKS])
+    return report.select("table", "column", "violations", "sample")
+
+
+KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "c_custkey", "supplier": "s_suppkey", "events": "event_id", "nation": "n_nationkey"}
+
+
+def unique_sql(table: str, key: str) -> str:
+    return f"""SELECT '{table}' AS "table", 'unique' AS "check", '{key}' AS "column", count(*) - count(DISTINCT {key}) AS violations,
+  (SELECT CAST(min({key}) AS VARCHAR) FROM (SELECT {key} FROM {table} GROUP BY {key} HAVING count(*) > 1)) AS sample FROM {table}"""
+
+
+@register("reference_report", " UNION ALL ".join([
+    *(unique_sql(t, k) for t, k in KEYS.items()),
+    *(f"""SELECT "table", 'foreign_key->{fk[2]}.{fk[3]}' AS "check", "column", violations, sample FROM ({fk_sql(*fk)})""" for fk in FKS)]))
+def reference_report(spark, d):
+    """Six primary and six foreign keys of nine tables from one scan of each."""
+    names = {*KEYS, *(t for c, _, p, _ in FKS for t in (c, p))}
+    return quality.key_report({t: views.table(spark, d, t) for t in names}, KEYS, [(*fk, True) for fk in FKS])
 
 
 @register("duplicate_keys", "SELECT l_orderkey, count(*) AS copies FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
