@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampType
 
 from ledgerlight import schemas
 from ledgerlight.config import EngineConfig
 from ledgerlight.functions.timeparts import with_time_parts
-from ledgerlight.operators.ordered import exact_quantiles
+from ledgerlight.operators.ordered import quantiles_of_counts
 from ledgerlight.operators.quality import null_profile
+from ledgerlight.session import materialise
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
@@ -45,28 +46,40 @@ def drop_sparse_columns(df: DataFrame, cfg: EngineConfig = EngineConfig()) -> Da
 
 
 def fill_values(df: DataFrame, columns: list[str], cfg: EngineConfig = EngineConfig()) -> dict[str, object]:
-    """Median of numbers (0 if all null), most frequent text (smallest on ties, else UNKNOWN).
+    """Median of numbers (0 if all null), most frequent text (smallest on ties, else UNKNOWN), false.
 
-    Medians are found by counting values and text modes by counting before comparing, so neither
-    holds a column's values in one task. One value per column comes to the driver.
+    All columns are stacked as (column, value) and counted in one aggregate; the modes are an aggregate of those counts and
+    the medians one running position over them, so no column has a job of its own and none is held in one task. One value
+    per column comes to the driver.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    fills: dict[str, object] = {}
-    for c in columns:
-        if isinstance(kinds[c], BooleanType):
-            fills[c] = False
-        elif isinstance(kinds[c], NumericType):
-            row = exact_quantiles(df.select(c), [], c, {"median": 0.5}, cfg).first()
-            fills[c] = 0.0 if row is None or row.median is None else float(row.median)
-        elif isinstance(kinds[c], StringType):
-            counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-            row = counts.orderBy(F.desc("_n"), F.asc(c)).first()
-            fills[c] = "UNKNOWN" if row is None else row[c]
-    return fills
+    numbers = [c for c in columns if isinstance(kinds[c], NumericType)]
+    texts = [c for c in columns if isinstance(kinds[c], StringType)]
+    fills: dict[str, object] = {c: 0.0 for c in numbers} | {c: "UNKNOWN" for c in texts} | {c: False for c in columns if isinstance(kinds[c], BooleanType)}
+    if not numbers and not texts:
+        return {c: fills[c] for c in columns if c in fills}
+    none = {"number": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
+
+    def item(c: str) -> Column:
+        own = none | ({"number": F.col(c).cast("double")} if c in numbers else {"text": F.col(c)})
+        return F.struct(F.lit(c).alias("column"), *[v.alias(k) for k, v in own.items()])
+
+    stacked = df.select(F.inline(F.array(*map(item, numbers + texts)))).where(F.coalesce(F.col("number").cast("string"), "text").isNotNull())
+    counts = materialise(stacked.groupBy("column", "number", "text").agg(F.count(F.lit(1)).alias("_n")))
+    if texts:
+        best = counts.where(F.col("text").isNotNull()).groupBy("column").agg(F.min(F.struct(-F.col("_n"), "text")).alias("best"))
+        fills |= {r.column: r.best["text"] for r in best.collect()}
+    if numbers:
+        medians = quantiles_of_counts(counts.where(F.col("number").isNotNull()), ["column"], "number", {"median": 0.5}, cfg)
+        fills |= {r.column: float(r.median) for r in medians.collect()}
+    return {c: fills[c] for c in columns if c in fills}
 
 
 def impute(df: DataFrame, columns: list[str] | None = None, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Fill nulls. By default identifiers, dates and columns without nulls are left alone."""
+    """Fill nulls. By default identifiers, dates and columns without nulls are left alone.
+
+    What comes before is worked out once for counting and filling: pass a saved frame (see ``session.materialise``).
+    """
     if columns is None:
         nulls = {r.column for r in null_profile(df).where(F.col("nulls") > 0).select("column").collect()}
         columns = [
@@ -111,7 +124,12 @@ def normalise_types(df: DataFrame, table: str) -> DataFrame:
 
 def clean_table(df: DataFrame, table: str) -> DataFrame:
     """Duplicates, empty rows, text, types; transactions also get their time parts."""
-    out = df.transform(drop_duplicate_rows).transform(drop_empty_rows).transform(clean_strings)
+    return clean_distinct(drop_duplicate_rows(df), table)
+
+
+def clean_distinct(df: DataFrame, table: str) -> DataFrame:
+    """``clean_table`` on rows without copies."""
+    out = df.transform(drop_empty_rows).transform(clean_strings)
     out = normalise_types(out, table)
     return with_time_parts(out) if table == "transaction" else out
 
@@ -137,12 +155,32 @@ def quality_report(before: DataFrame, after: DataFrame, table: str) -> DataFrame
     )
 
 
+def clean_and_report(df: DataFrame, table: str) -> tuple[DataFrame, dict[str, int]]:
+    """The cleaned table, saved, and its report, which the same job has observed on the way.
+
+    The numbers are those of ``quality_report``. They are sums that tasks send with their results; where a lost executor makes
+    Spark repeat tasks before a shuffle, rows may count twice, and ``quality_report`` gives the exact numbers again.
+    """
+    nulls = lambda columns: F.coalesce(F.sum(sum((F.col(c).isNull().cast("long") for c in columns), F.lit(0))), F.lit(0)).alias("nulls")
+    rows = F.count(F.lit(1)).alias("rows")
+    seen, distinct, left = Observation(), Observation(), Observation()
+    known = df.observe(seen, rows, nulls(df.columns)).transform(drop_duplicate_rows).observe(distinct, rows)
+    out = clean_distinct(known, table)
+    saved = materialise(out.observe(left, rows, nulls(out.columns)))
+    before, after = seen.get, left.get
+    return saved, {
+        "rows_in": before["rows"], "rows_out": after["rows"], "rows_removed": before["rows"] - after["rows"],
+        "duplicates_removed": before["rows"] - distinct.get["rows"], "nulls_in": before["nulls"], "nulls_out": after["nulls"],
+    }
+
+
 def preprocess(tables: dict[str, DataFrame], fill: bool = True, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Clean and type the core tables, then enrich transactions; an empty result is an error."""
     from ledgerlight.operators.enrichment import enrich
 
     core = ("transaction", "customer", "account")
-    cleaned = {n: clean_table(df, n) if n in core else df for n, df in tables.items()}
+    # saved once: the look for rows, the fills and the join all read it
+    cleaned = {n: materialise(clean_table(df, n)) if n in core else df for n, df in tables.items()}
     for name in core:
         if cleaned[name].isEmpty():
             raise ValueError(f"empty DataFrame for {name}")

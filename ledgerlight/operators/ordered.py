@@ -175,6 +175,15 @@ def exact_quantiles(
     group = keys or ["_all"]
     source = df if keys else df.withColumn("_all", F.lit(0))
     counts = source.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    return quantiles_of_counts(counts, keys, value, wanted, cfg)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], cfg: EngineConfig
+) -> DataFrame:
+    """The same from distinct values (not null) with their numbers of rows, ``_n``; without keys there is a column ``_all``."""
+    keys = list(keys)
+    group = keys or ["_all"]
     sliced = with_slices(counts, group, value, cfg)
     running = running_sums(sliced, group, [value], {"_upto": F.col("_n")})
     totals = sliced.groupBy(*group).agg(F.sum("_n").alias("_total"))

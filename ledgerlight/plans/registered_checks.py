@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight import schemas
-from ledgerlight.operators import quality
+from ledgerlight.operators import cleaning, quality
 from ledgerlight.plans.registered import register
 from ledgerlight.sources import driver_views as views
 
@@ -70,3 +70,46 @@ def suite_sql() -> str:
 @register("validation_suites", suite_sql())
 def validation_suites(spark, d):
     return quality.validate(bank(spark, d))
+
+
+#: Customers as text with copies, empty rows, blanks and control characters, truths, numbers and dates in several spellings.
+RAW = {
+    "customer_id": "concat('C', CAST(c_custkey AS STRING))", "full_name": "concat('  ', replace(c_name, '#', '  \\t '), ' ')",
+    "dob": "CASE WHEN c_custkey % 4 = 0 THEN '1980-02-03' WHEN c_custkey % 4 = 1 THEN '1991-12-31 23:59:58' WHEN c_custkey % 4 = 2 THEN '31/12/1990' END",
+    "age": "CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN 'unknown' ELSE concat(CAST(c_custkey % 71 AS STRING), '.7') END",
+    "occupation": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END", "annual_income": "CASE WHEN c_custkey % 7 = 0 THEN 'n/a' ELSE CAST(c_acctbal AS STRING) END",
+    "is_pep": "CASE WHEN c_custkey % 6 = 0 THEN ' TRUE ' WHEN c_custkey % 6 = 1 THEN '1' WHEN c_custkey % 6 = 2 THEN NULL WHEN c_custkey % 6 = 3 THEN '0' ELSE 'yes' END",
+}
+TAB = "\\t"
+RAW_SQL = f"""raw AS (SELECT {', '.join(f"{e.replace('STRING', 'VARCHAR').replace(TAB, "' || chr(9) || '")} AS {c}" for c, e in RAW.items())} FROM customer),
+twice AS (SELECT * FROM raw UNION ALL SELECT * FROM raw WHERE customer_id LIKE '%3' UNION ALL SELECT {', '.join('NULL' for _ in RAW)} FROM range(3)),
+known AS (SELECT DISTINCT * FROM twice), full_ AS (SELECT * FROM known WHERE {' OR '.join(f'{c} IS NOT NULL' for c in RAW)}),
+typed AS (SELECT customer_id, regexp_replace(regexp_replace(regexp_replace(full_name, '^\\s+|\\s+$', '', 'g'), '[\\x00-\\x1F]', '', 'g'), '\\s+', ' ', 'g') AS full_name,
+  TRY_CAST(dob AS TIMESTAMP) AS dob, CAST(trunc(TRY_CAST(age AS DOUBLE)) AS INT) AS age, occupation, TRY_CAST(annual_income AS DOUBLE) AS annual_income,
+  coalesce(lower(trim(is_pep)) IN ('true', '1', '1.0'), false) AS is_pep FROM full_)"""
+
+
+def raw_customers(spark, d) -> DataFrame:
+    raw = views.table(spark, d, "customer").selectExpr(*[f"{e} AS {c}" for c, e in RAW.items()])
+    empty = spark.range(3).select(*[F.lit(None).cast("string").alias(c) for c in RAW])
+    return raw.unionByName(raw.where("customer_id LIKE '%3'")).unionByName(empty)
+
+
+@register("cleaned_customers", f"""WITH {RAW_SQL}, m AS (SELECT quantile_cont(age, 0.5) AS age, quantile_cont(annual_income, 0.5) AS annual_income FROM typed),
+t AS (SELECT occupation AS top FROM typed WHERE occupation IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT customer_id, full_name, strftime(dob, '%Y-%m-%d %H:%M:%S') AS dob, CAST(coalesce(typed.age, m.age) AS DOUBLE) AS age, coalesce(occupation, top) AS occupation,
+  round(coalesce(typed.annual_income, m.annual_income), 4) AS annual_income, is_pep FROM typed, m, t""")
+def cleaned_customers(spark, d):
+    cleaned, _ = cleaning.clean_and_report(raw_customers(spark, d), "customer")
+    filled = cleaning.impute(cleaned)
+    return filled.select("customer_id", "full_name", F.date_format("dob", "yyyy-MM-dd HH:mm:ss").alias("dob"), F.col("age").cast("double").alias("age"), "occupation", F.round("annual_income", 4).alias("annual_income"), "is_pep")
+
+
+@register("cleaning_observed", f"""WITH {RAW_SQL}, b AS (SELECT count(*) AS n, sum({' + '.join(f'CAST({c} IS NULL AS INT)' for c in RAW)}) AS nulls FROM twice),
+a AS (SELECT count(*) AS n, sum({' + '.join(f'CAST({c} IS NULL AS INT)' for c in RAW)}) AS nulls FROM typed)
+SELECT b.n AS rows_in, a.n AS rows_out, b.n - a.n AS rows_removed, b.n - (SELECT count(*) FROM known) AS duplicates_removed,
+  CAST(b.nulls AS BIGINT) AS nulls_in, CAST(a.nulls AS BIGINT) AS nulls_out FROM a, b""")
+def cleaning_observed(spark, d):
+    """The report that the cleaning job itself has observed."""
+    _, report = cleaning.clean_and_report(raw_customers(spark, d), "customer")
+    return spark.createDataFrame([tuple(report.values())], ", ".join(f"{c} long" for c in report))

@@ -172,3 +172,31 @@ def test_alert_serving(spark):
     assert reports.filter_alerts(alerts, level="high", limit=5).count() == 1
     assert reports.customer_risk(alerts).count() == 2
     assert EngineConfig().max_alerts == 1000
+
+
+def test_key_report_of_several_tables(spark):
+    """Null keys, keys of two children in one domain, a table that refers to itself, numeric order of samples."""
+    people = spark.createDataFrame([("1", "2"), ("2", "9"), ("2", None), (None, "10")], "id string, owner string")
+    cards = spark.createDataFrame([(1,), (3,), (None,), (20,), (20,)], "person int")
+    got = {(r.table, r.check, r.column): (r.violations, r.sample) for r in quality.key_report(
+        {"people": people, "cards": cards, "empty": cards.limit(0)}, {"people": "id", "empty": "person"},
+        [("people", "owner", "people", "id", True), ("cards", "person", "people", "id", False), ("people", "id", "empty", "person", True), ("cards", "person", "absent", "x", True)],
+    ).collect()}
+    assert got == {
+        ("people", "unique", "id"): (1, "2"), ("empty", "unique", "person"): (0, None),
+        ("people", "foreign_key->people.id", "owner"): (2, "10,9"), ("cards", "foreign_key->people.id", "person"): (4, "20,3"),
+        ("people", "foreign_key->empty.person", "id"): (3, "1,2"),
+    }
+
+
+def test_cleaning_reports_itself(spark):
+    rows = spark.createDataFrame([("c1", " a ", "1"), ("c1", " a ", "1"), (None, None, None), ("c2", None, "x")], "customer_id string, full_name string, age string")
+    saved, report = cleaning.clean_and_report(rows, "customer")
+    exact = cleaning.quality_report(rows, cleaning.clean_table(rows, "customer"), "customer").drop("table").first().asDict()
+    assert report == exact and exact["duplicates_removed"] == 1 and saved.count() == exact["rows_out"] == 2
+
+
+def test_fills_of_many_columns_at_once(spark):
+    rows = spark.createDataFrame([(1, 4.0, "b", None, None), (2, None, "a", True, None), (4, 8.0, "b", None, None), (None, 6.0, "a", None, None)], "n int, x double, t string, f boolean, gone string")
+    assert cleaning.fill_values(rows, ["n", "x", "t", "f", "gone"]) == {"n": 2.0, "x": 6.0, "t": "a", "f": False, "gone": "UNKNOWN"}
+    assert cleaning.fill_values(rows.limit(0), ["x", "t"]) == {"x": 0.0, "t": "UNKNOWN"} and cleaning.fill_values(rows, ["f"]) == {"f": False}
