@@ -40,7 +40,7 @@ ENDINGS = 1024
 CLASSES = 1 + OWN_WORDS + ENDINGS
 HOT_WORDS = 100_000
 #: Words that a task counts before it passes them on, tokens worked on together, steps between two scalings.
-HELD = 750_000
+HELD = 400_000
 TOKENS = 300_000
 SCALED = 16
 HELD_OUT = 2
@@ -119,6 +119,24 @@ def classes(found: W.Words, own: Known, one: np.ndarray, two: np.ndarray) -> np.
     return np.where(hit, number, 1 + OWN_WORDS + (W.mix(tail) % np.uint64(ENDINGS)).astype(np.int64)).astype(np.uint16)
 
 
+def most_frequent(counts: DataFrame, column: str, limit: int) -> list[tuple[str, int]]:
+    """(word, c) of the words with the highest ``column``: at most ``limit``, all above one bound.
+
+    The bound is the lowest of a scale of sixteenths of a doubling above which no more words lie, so what reaches the driver
+    is bounded, however many partitions the counts have.
+    """
+    level = F.floor(F.log2(column) * 16)
+    held, bound = 0, None
+    for r in sorted(counts.where(F.col(column) > 0).groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
+        held += r["count"]
+        if held > limit:
+            break
+        bound = r.level
+    if bound is None:
+        return []
+    return [(r.word, r.c) for r in counts.where((F.col(column) > 0) & (level >= bound)).select("word", "c").collect()]
+
+
 def class_totals(counts: DataFrame, own) -> np.ndarray:
     """For each class the training words in it, and how many are distinct; at most CLASSES rows reach the driver."""
 
@@ -315,12 +333,12 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, hot_words: int = HOT_WORD
     whole = counts.agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_train, distinct = int(whole.c or 0) + ends, int(whole.v) + (ends > 0)
 
-    common = counts.where("c > 0").orderBy(F.desc("c"), "word").limit(OWN_WORDS).collect()
-    own = context.broadcast(Known.of([r.word for r in common], np.arange(1, len(common) + 1)))
+    common = sorted(most_frequent(counts, "c", OWN_WORDS))
+    own = context.broadcast(Known.of([w for w, _ in common], np.arange(1, len(common) + 1)))
     totals = class_totals(counts, own)
     totals[0] = ends, ends > 0
-    frequent = counts.orderBy(F.desc("n"), "word").limit(hot_words).select("word", "c").toPandas()
-    hot = context.broadcast(Known.of(frequent["word"].tolist(), frequent["c"].to_numpy(np.int64)))
+    frequent = most_frequent(counts, "n", hot_words)
+    hot = context.broadcast(Known.of([w for w, _ in frequent], np.array([c for _, c in frequent], np.int64)))
     saved = materialise(coded(docs, own, hot, context.broadcast(-np.log10(totals.sum(axis=1) + 1.0))))
 
     chain = first_chain(totals)
