@@ -25,11 +25,14 @@ def type_ratio(types: tuple[str, ...]) -> Column:
     return F.count_if(F.col("transaction_type").isin(*types)) / F.nullif(F.count("transaction_type"), F.lit(0))
 
 
-# column -> (name of its mode, name of its distinct count); None where a profile does not need one
+# column of a few known values -> (name of its mode, first value, last value); counted as one vector in the customer's aggregate
+VECTORS = {
+    "hour_of_day": ("preferred_hour", 0, 23),
+    "day_of_week": ("most_active_weekday", 0, 6),
+    "transaction_month": ("most_active_month", 1, 12),
+}
+# column of any values -> (name of its mode, name of its distinct count); None where a profile does not need one
 COUNTED = {
-    "hour_of_day": ("preferred_hour", None),
-    "day_of_week": ("most_active_weekday", None),
-    "transaction_month": ("most_active_month", None),
     "transaction_type": ("most_common_txn_type", None),
     "channel": ("most_common_channel", "unique_channels"),
     "counterparty_account_id": ("most_common_beneficiary", "unique_beneficiaries"),
@@ -43,8 +46,9 @@ COUNTED = {
 def value_statistics(df: DataFrame) -> DataFrame:
     """Modes (smallest on ties) and distinct counts of all counted columns per customer.
 
-    Values are counted first, (customer, column, value) at a time, so no task holds the values of one
-    customer; several distinct counts next to modes in one aggregate would be far slower.
+    Values are counted first, (customer, column, value) at a time, so no task holds the values of one customer; several
+    distinct counts next to modes in one aggregate would be far slower. Rows that are dealt by customer already are counted
+    where they lie: the row a column takes here is never shuffled then.
     """
     kinds = dict(df.dtypes)
     present = [c for c in COUNTED if c in kinds]
@@ -65,16 +69,21 @@ def value_statistics(df: DataFrame) -> DataFrame:
         mine = F.col("kind") == c
         if mode:
             top = F.min(F.when(mine, F.struct(-F.col("n"), "place", "value")))["value"]
-            if kinds.get(c) == "int":
-                top = top.cast("int")
-            elif c in ("transaction_type", "channel", "counterparty_account_id"):
-                top = F.coalesce(top, F.lit("UNKNOWN"))
-            out.append(top.alias(mode))
+            out.append(F.coalesce(top, F.lit("UNKNOWN")).alias(mode))
         if distinct:
             out.append(F.count_if(mine).alias(distinct))
     return counts.groupBy(CUSTOMER).agg(*out)
 
 
+def vector_modes() -> dict[str, Column]:
+    """Most frequent value of each vector, the smallest on ties, null where nothing was counted."""
+    out = {}
+    for c, (name, low, _) in VECTORS.items():
+        counts, most = F.col(f"_{c}"), F.array_max(f"_{c}")
+        out[name] = F.when(most > 0, (F.array_position(counts, most) - 1 + low).cast("int"))
+    return out
+
+
 def _aggregates(df: DataFrame, cfg: EngineConfig) -> list[Column]:
     """Statistics that keep a few numbers per customer."""
     out = [
@@ -88,6 +97,9 @@ def _aggregates(df: DataFrame, cfg: EngineConfig) -> list[Column]:
         F.min("transaction_date").alias("first_date"),
         F.max("transaction_date").alias("last_date"),
     ]
+    for c, (_, low, high) in VECTORS.items():
+        numbers = [F.count_if(F.col(c) == v) if has(df, c) else F.max(F.lit(0)) for v in range(low, high + 1)]
+        out.append(F.array(*numbers).alias(f"_{c}"))
     for types, name in (
         (cfg.cash_types, "cash_withdrawal_ratio"),
         (cfg.deposit_types, "deposit_ratio"),
@@ -106,13 +118,19 @@ def profile_statistics(df: DataFrame, cfg: EngineConfig = EngineConfig(), heat:
     rows = df if has(df, "is_business_hours") else with_time_parts(df)
 
     def regular(cold: DataFrame) -> DataFrame:
-        return cold.groupBy(CUSTOMER).agg(*_aggregates(cold, cfg), F.median("amount").alias("median_amount"))
+        # one exchange of the rows' own columns serves the statistics, the counts of values and their join
+        used = {CUSTOMER, "amount", "is_business_hours", "is_weekend", *VECTORS, *COUNTED, *METADATA}
+        dealt = cold.select(*[c for c in cold.columns if c in used]).repartition(CUSTOMER)
+        stats = dealt.groupBy(CUSTOMER).agg(*_aggregates(dealt, cfg), F.median("amount").alias("median_amount"))
+        return stats.join(value_statistics(dealt), CUSTOMER, "left")
 
     def skewed(hot: DataFrame, _keys) -> DataFrame:
         stats = hot.groupBy(CUSTOMER).agg(*_aggregates(hot, cfg))
-        return stats.join(exact_quantiles(hot, [CUSTOMER], "amount", {"median_amount": 0.5}, cfg), CUSTOMER, "left")
+        medians = exact_quantiles(hot, [CUSTOMER], "amount", {"median_amount": 0.5}, cfg)
+        return stats.join(medians, CUSTOMER, "left").join(value_statistics(hot), CUSTOMER, "left")
 
-    stats = by_heat(rows, CUSTOMER, cfg, regular, skewed, keep_null=False, heat=heat).join(value_statistics(rows), CUSTOMER, "left")
+    stats = by_heat(rows, CUSTOMER, cfg, regular, skewed, keep_null=False, heat=heat)
+    stats = stats.withColumns(vector_modes()).drop(*[f"_{c}" for c in VECTORS])
     days = F.greatest(F.col("active_days"), F.lit(1))
     total = F.col("total_txns")
     gap = F.datediff("last_date", "first_date") / F.greatest(total - 1, F.lit(1))

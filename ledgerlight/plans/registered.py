@@ -102,6 +102,25 @@ def counterparty_profile(spark, d):
     return rounded(built.select("customer_id", *[F.col(f"statistics.{c}").alias(c) for c in names]), 3, *STATS4)
 
 
+@register("hot_customer_profile", f"""WITH {O.EV}, {O.profile(device=True)}
+SELECT customer_id, {rounds(4, *STATS4)}, {', '.join(STATS)} FROM p""")
+def hot_customer_profile(spark, d):
+    """Every customer is hot at this limit: the way of counts and slices over the whole table."""
+    built = profiles.build_profiles(views.txn_events(spark, d), cfg=EngineConfig(hot_key_rows=50, slice_rows=5000))
+    flat = built.select("customer_id", *[F.col(f"statistics.{c}").alias(c) for c in (*STATS4, *STATS)])
+    return rounded(flat, 4, *STATS4)
+
+
+@register("hot_velocity_features", f"""WITH {O.events_features()}
+SELECT transaction_id, {rd('gap', 4, 'time_since_previous_transaction')}, {rd('amount_last_day', 4, 'amount_last_day')}, {rd('rolling_average_amount', 4, 'rolling_average_amount')},
+  {rd('rolling_std_amount', 4, 'rolling_std_amount')}, transactions_last_hour, transactions_last_day, transactions_last_week FROM f""")
+def hot_velocity_features(spark, d):
+    """The same for trailing windows."""
+    numbers = ("time_since_previous_transaction", "amount_last_day", "rolling_average_amount", "rolling_std_amount")
+    rows = features.velocity_features(views.txn_events(spark, d), EngineConfig(hot_key_rows=50, slice_rows=5000))
+    return rounded(rows.select("transaction_id", *numbers, "transactions_last_hour", "transactions_last_day", "transactions_last_week"), 4, *numbers)
+
+
 CONFIDENCE = """round(least(total_txns / 50.0, 1) * 0.5 + 0.1 * 0.3
   + (CASE WHEN avg_amount > 0 THEN greatest(0.0, least(1.0, 1 - std_amount / avg_amount / 3)) ELSE 0.5 END) * 0.2, 2)"""
 
