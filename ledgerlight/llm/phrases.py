@@ -1,6 +1,6 @@
 """Phrase collocations by partitioning (SON): shards are mined with a lowered support, then all candidates are counted exactly.
 
-Documents are dealt into a few shards. A phrase that reaches the support in a language reaches, in one shard at least, its
+The input's partitions are dealt into a few shards. A phrase that reaches the support in a language reaches, in one shard at least, its
 share of it, the shard's part of the language's words. So every shard is mined completely at that share, level by level: a
 phrase is counted in a shard only if both phrases one word shorter are locally frequent somewhere. The union of what shards
 find are the candidates; a second reading of the texts counts every candidate exactly by its text.
@@ -32,13 +32,18 @@ TABLE = W.kinds(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
-#: Shards of the corpus; a power of two up to 256.
-SHARDS = 8
+#: Shards of the corpus, groups of input partitions; a power of two up to 256. Fewer shards have a higher support, so fewer candidates.
+SHARDS = 4
+#: Bits of a phrase's hash while it may be a candidate, with the shard in the lowest. Few phrases are frequent, so few of the
+#: others share a slot with one of them, whatever the size of the corpus.
+KEY = (1 << 40) - SHARDS
 #: Bits of the table of candidates that all tasks hold (16 MB).
 BITS = 1 << 27
 SLICE = 1 << 16
 #: Phrases that a task gathers before it combines them.
-HELD = 3_000_000
+HELD = 6_000_000
+#: Distinct phrases with their texts that a task holds while it counts.
+HELD_TEXTS = 400_000
 #: A part of phrases is common if it makes up more than one in so many of its language's words.
 HOT_SHARE = 1000
 #: Rows up to which a table of languages is sent to all tasks; a larger one is joined by a shuffle.
@@ -53,7 +58,7 @@ def small(df: DataFrame) -> DataFrame:
 def coded(docs: DataFrame) -> DataFrame:
     """(lang, seed, shard, n, codes): words as 32-bit codes, 0 before each piece, joined for a run's documents of one language and shard."""
     rows = docs.select(
-        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).alias("shard"), "text"
+        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.pmod(F.spark_partition_id(), F.lit(SHARDS)).alias("shard"), "text"
     ).withColumn("seed", F.xxhash64("lang"))
 
     def work(part, texts):
@@ -92,8 +97,12 @@ def has(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def local_counts(saved: DataFrame, length: int, table) -> DataFrame:
-    """(key, count, least): phrases of one length that are frequent in a shard; the low bits of ``key`` are the shard."""
+def local_counts(saved: DataFrame, length: int, table, min_count: int) -> DataFrame:
+    """(key): phrases of one length that are frequent in some shard, by their hash.
+
+    One exchange by phrase serves all shards, so the sum over the shards is at hand as well: a phrase that does not reach the
+    support there is left out, since the sum of a hash is never below the phrase's own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value if table is not None else None
@@ -119,7 +128,7 @@ def local_counts(saved: DataFrame, length: int, table) -> DataFrame:
                             break
                         continue
                     at = ok if before is None else ok & before[:-1] & before[1:]
-                    keys = (g[at] & ~np.uint64(SHARDS - 1)) | np.uint64(r["shard"])
+                    keys = (g[at] & np.uint64(KEY)) | np.uint64(r["shard"])
                     held.setdefault((r["shard"], r["least"]), []).append(keys)
                     size += len(keys)
                 if size >= HELD:
@@ -128,13 +137,18 @@ def local_counts(saved: DataFrame, length: int, table) -> DataFrame:
         yield from flush()
 
     found = saved.select("seed", "shard", "least", "codes").mapInArrow(run, "key long, count long, least long")
-    return found.groupBy("key").agg(F.sum("count").alias("count"), F.max("least").alias("least")).where(F.col("count") >= F.col("least"))
+    # tasks have combined their own already, so rows are dealt by phrase at once
+    gram = F.col("key").bitwiseAND(F.lit(KEY))
+    dealt = found.repartition(gram).withColumn("gram", gram)
+    shards = dealt.groupBy("gram", "key").agg(F.sum("count").alias("count"), F.max("least").alias("least"))
+    whole = shards.groupBy("gram").agg(F.sum("count").alias("count"), F.max(F.col("count") >= F.col("least")).alias("local"))
+    return whole.where(F.col("local") & (F.col("count") >= min_count)).select(F.col("gram").alias("key"))
 
 
 def marked(found: DataFrame, bits: np.ndarray) -> None:
     """Set the bits of the phrases found; what reaches the driver is at most the table itself, in slices."""
     width = SLICE
-    at = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(8 * len(bits) - 1))
+    at = F.shiftright("key", 8).bitwiseAND(F.lit(8 * len(bits) - 1))
     slices = found.select(F.floor(at / width).alias("slice"), (at % width).cast("int").alias("bit")).groupBy("slice").agg(F.collect_set("bit").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +165,12 @@ def marked(found: DataFrame, bits: np.ndarray) -> None:
         bits[part] |= np.frombuffer(r.bits, np.uint8)
 
 
-def candidates(saved: DataFrame, longest: int):
+def candidates(saved: DataFrame, longest: int, min_count: int):
     """Table of bits (broadcast) of all phrases that are frequent in some shard."""
     context = saved.sparkSession.sparkContext
     bits, table = np.zeros(BITS // 8, np.uint8), None
     for length in range(1, longest + 1):
-        found = local_counts(saved, length, table)
+        found = local_counts(saved, length, table, min_count)
         marked(found, bits)
         table = context.broadcast(bits)
     return table
@@ -218,7 +232,7 @@ def exact_counts(docs: DataFrame, table, longest: int) -> DataFrame:
                             held[x, y] = [langs[found.text[i]], phrase, k, c]
                         else:
                             old[3] += c
-                if len(held) > HELD // 4:
+                if len(held) > HELD_TEXTS:
                     yield from flush()
         yield from flush()
 
@@ -250,8 +264,8 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, lo
     share = materialise(shard_words.withColumn("n", F.sum("part").over(total)))
     # the support's share, rounded up in whole numbers
     least = F.expr(f"({min_count} * CAST(part AS DECIMAL(20,0)) + n - 1) div n")
-    mined = materialise(saved.join(small(share.select("lang", "shard", least.alias("least"))), ["lang", "shard"]).select("seed", "shard", "least", "codes"))
-    table = candidates(mined, longest)
+    mined = saved.join(small(share.select("lang", "shard", least.alias("least"))), ["lang", "shard"]).select("seed", "shard", "least", "codes")
+    table = candidates(mined, longest, min_count)
     totals = share.select("lang", "n").distinct()
     counts = exact_counts(docs, table, longest).where(F.col("f") >= min_count)
     counts = materialise(counts.join(small(totals), "lang").withColumn("hot", F.col("f") * HOT_SHARE >= F.col("n")))
