@@ -288,10 +288,20 @@ def round_amount_scenario(df: DataFrame) -> DataFrame:
     )
 
 
-def iqr_outliers(df: DataFrame, value: str, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Rows outside Tukey's fence over the whole table; the two quartiles are the only driver values."""
-    row = exact_quantiles(df, [], value, {"q1": 0.25, "q3": 0.75}, cfg).first()
-    if row is None:
-        return df.where(F.lit(False))
-    reach = cfg.iqr_multiple * (row.q3 - row.q1)
-    return df.where((F.col(value) < row.q1 - reach) | (F.col(value) > row.q3 + reach))
+def iqr_outliers(df: DataFrame, value: str, cfg: EngineConfig = EngineConfig(), keys: Sequence[str] = ()) -> DataFrame:
+    """Rows outside Tukey's fence over the whole table, or over each group of ``keys`` (rows without a group have no fence).
+
+    Quartiles are found from counts of values, so no group is held in one task; those of groups are joined, as many rows as
+    there are groups.
+    """
+    wanted, v = {"q1": 0.25, "q3": 0.75}, F.col(value)
+    if not keys:
+        row = exact_quantiles(df, [], value, wanted, cfg).first()
+        if row is None:
+            return df.where(F.lit(False))
+        reach = cfg.iqr_multiple * (row.q3 - row.q1)
+        return df.where((v < row.q1 - reach) | (v > row.q3 + reach))
+    fences = exact_quantiles(df, keys, value, wanted, cfg)
+    reach = cfg.iqr_multiple * (F.col("q3") - F.col("q1"))
+    fences = fences.select(*keys, (F.col("q1") - reach).alias("_low"), (F.col("q3") + reach).alias("_high"))
+    return df.join(fences, list(keys)).where((v < F.col("_low")) | (v > F.col("_high"))).select(*df.columns)

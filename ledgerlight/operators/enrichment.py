@@ -110,6 +110,32 @@ def optional_enrichment(
     )
 
 
+def network_columns(
+    rows: DataFrame, accounts: DataFrame, relationships: DataFrame, cfg: EngineConfig = EngineConfig()
+) -> DataFrame:
+    """Trailing counts and relations of a transaction's customer.
+
+    ``txn_count_1h``, ``txn_count_24h`` and ``txn_amount_24h`` up to and with the row; ``relationship_count``, the customer's
+    distinct partners; ``counterparty_relationship_exists``, whether the owner of the counterparty's account is one of them,
+    in either direction. Accounts and pairs of customers are unique, so no row is multiplied.
+    """
+    from ledgerlight.operators.features import velocity_features
+
+    trailing = {"transactions_last_hour": "txn_count_1h", "transactions_last_day": "txn_count_24h", "amount_last_day": "txn_amount_24h"}
+    timed = velocity_features(rows, cfg)
+    out = timed.select(*rows.columns, *[F.col(c).alias(n) for c, n in trailing.items()])
+    owners = accounts.groupBy(F.col("account_id").alias("counterparty_account_id")).agg(F.min("customer_id").alias("_partner"))
+    a, b = F.col("customer_id_1"), F.col("customer_id_2")
+    ends = F.array(F.struct(a.alias("customer_id"), b.alias("_partner")), F.struct(b.alias("customer_id"), a.alias("_partner")))
+    related = relationships.select(F.inline(ends)).where("customer_id IS NOT NULL AND _partner IS NOT NULL").distinct()
+    out = out.join(owners, "counterparty_account_id", "left").join(related.withColumn("_known", F.lit(True)), ["customer_id", "_partner"], "left")
+    degree = relationship_degree(relationships).withColumnRenamed("relationship_degree", "relationship_count")
+    out = out.join(degree, "customer_id", "left")
+    return out.withColumns(
+        {"relationship_count": F.coalesce("relationship_count", F.lit(0)), "counterparty_relationship_exists": F.coalesce("_known", F.lit(False))}
+    ).drop("_partner", "_known")
+
+
 def basic_features(df: DataFrame) -> DataFrame:
     """Weekend and round-amount flags, PEP and sanctions as 0/1, KYC as an ordinal."""
     false = F.lit(False)

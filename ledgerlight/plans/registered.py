@@ -344,6 +344,13 @@ def iqr_outliers(spark, d):
     return detectors.iqr_outliers(views.txn_events(spark, d), "amount").select("transaction_id", "amount")
 
 
+@register("iqr_outliers_by_channel", f"""WITH {O.EV}, q AS (SELECT channel, quantile_cont(amount, 0.25) AS a, quantile_cont(amount, 0.75) AS b FROM v GROUP BY channel)
+SELECT transaction_id, channel, amount FROM v JOIN q USING (channel) WHERE amount < a - 1.5 * (b - a) OR amount > b + 1.5 * (b - a)""")
+def iqr_outliers_by_channel(spark, d):
+    found = detectors.iqr_outliers(views.txn_events(spark, d), "amount", keys=["channel"])
+    return found.select("transaction_id", "channel", "amount")
+
+
 # --- fusion, explanation, actions, alerts ----------------------------------------------------------------------
 
 
@@ -717,6 +724,25 @@ def quality_report(spark, d):
     return report.select("rows_in", "rows_out", "duplicates_removed")
 
 
+PAIRS_SQL = "(SELECT c_custkey AS a, c_custkey % 40 + 1 AS b FROM customer)"
+
+
+@register("network_columns", f"""WITH t AS (SELECT o_orderkey AS transaction_id, o_custkey AS customer_id, o_orderkey % 400 AS partner, o_orderdate AS ts, o_totalprice AS amount FROM orders),
+r AS (SELECT a, b FROM {PAIRS_SQL} UNION SELECT b, a FROM {PAIRS_SQL}), n AS (SELECT a, sum(CASE WHEN a = b THEN 2 ELSE 1 END) AS n FROM r GROUP BY a)
+SELECT transaction_id, count(*) OVER h AS txn_count_1h, count(*) OVER d AS txn_count_24h, {rd('sum(amount) OVER d', 2, 'txn_amount_24h')},
+  CAST(coalesce(n.n, 0) AS BIGINT) AS relationship_count, (customer_id, partner) IN (SELECT (a, b) FROM r) AS counterparty_relationship_exists
+FROM t LEFT JOIN n ON n.a = customer_id
+WINDOW h AS (PARTITION BY customer_id ORDER BY ts {O.back(O.HOUR)}), d AS (PARTITION BY customer_id ORDER BY ts {O.back(O.DAY)})""")
+def network_columns(spark, d):
+    rows = views.txn_orders(spark, d).withColumn("counterparty_account_id", F.concat(F.lit("A"), F.col("transaction_id") % 400))
+    customers = views.table(spark, d, "customer").select("c_custkey")
+    accounts = customers.select(F.concat(F.lit("A"), "c_custkey").alias("account_id"), F.col("c_custkey").alias("customer_id"))
+    pairs = customers.select(F.col("c_custkey").alias("customer_id_1"), (F.col("c_custkey") % 40 + 1).alias("customer_id_2"))
+    found = enrichment.network_columns(rows, accounts, pairs)
+    names = ("txn_count_1h", "txn_count_24h", "txn_amount_24h", "relationship_count", "counterparty_relationship_exists")
+    return rounded(found.select("transaction_id", *names), 2, "txn_amount_24h")
+
+
 def banking_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Transactions, customers, accounts and country risk shaped from the driver tables."""
     orders, customer = views.table(spark, d, "orders"), views.table(spark, d, "customer")
