@@ -133,32 +133,44 @@ def session_history(log: DataFrame, session_id: str) -> DataFrame:
     return log.where(F.col("session_id") == session_id)
 
 
-def customer_risk(alerts: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
-    """Alert count, top score and worst level per customer, with the profile when given."""
+#: Features of a customer's last transaction in the risk profile.
+SHOWN_FEATURES = ("amount_z_score", "transactions_last_hour", "transactions_last_day", "behaviour_deviation_score")
+
+
+def customer_risk(alerts: DataFrame, profiles: DataFrame | None = None, features: DataFrame | None = None) -> DataFrame:
+    """Alert count, top score and worst level per customer, with the profile and the last features when given.
+
+    ``features`` are feature rows of transactions; the last one of a customer (by time, then id) is shown, found by an
+    aggregate that keeps one row a customer.
+    """
     rank = {"LOW": 0, "MEDIUM": 1, "HIGH": 2, "VERY HIGH": 3, "CRITICAL": 4}
     order = F.lit(-1)
     for level, value in rank.items():
         order = F.when(F.col("risk_level") == level, value).otherwise(order)
-    grouped = alerts.groupBy("customer_id").agg(
+    out = alerts.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("alerts"), F.max("fused_risk_score").alias("top_score"),
         F.max_by("risk_level", order).alias("worst_level"),
     )
-    if profiles is None:
-        return grouped
-    return profiles.select("customer_id", "confidence_score", "summary").join(grouped, "customer_id", "left").withColumns(
-        {"alerts": F.coalesce("alerts", F.lit(0)), "worst_level": F.coalesce("worst_level", F.lit("LOW"))}
-    )
+    if profiles is not None:
+        out = profiles.select("customer_id", "confidence_score", "summary").join(out, "customer_id", "left").withColumns(
+            {"alerts": F.coalesce("alerts", F.lit(0)), "worst_level": F.coalesce("worst_level", F.lit("LOW"))}
+        )
+    if features is not None:
+        last = features.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
+            F.max_by(F.struct(*SHOWN_FEATURES), F.struct("timestamp", "transaction_id")).alias("features")
+        )
+        out = out.join(last, "customer_id", "left")
+    return out
 
 
 def run_report(transactions: DataFrame, alerts: DataFrame) -> DataFrame:
-    """(metric, value): transactions processed and alerts by priority."""
+    """(metric, value): transactions processed and alerts by priority; both alert numbers come from one grouped count."""
+    counts = alerts.groupBy("priority").agg(F.count(F.lit(1)).alias("value"))
     return together(
         [
             transactions.agg(F.count(F.lit(1)).alias("value")).select(F.lit("transactions_processed").alias("metric"), "value"),
-            alerts.agg(F.count(F.lit(1)).alias("value")).select(F.lit("alerts").alias("metric"), "value"),
-            alerts.groupBy("priority").agg(F.count(F.lit(1)).alias("value")).select(
-                F.concat(F.lit("alerts_"), "priority").alias("metric"), "value"
-            ),
+            counts.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value")).select(F.lit("alerts").alias("metric"), "value"),
+            counts.select(F.concat(F.lit("alerts_"), "priority").alias("metric"), "value"),
         ]
     )
 

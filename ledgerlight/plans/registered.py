@@ -509,6 +509,19 @@ def customer_risk(spark, d):
     return reports.customer_risk(all_alerts(spark, d))
 
 
+@register("customer_risk_profile", f"""WITH {O.events_fused()}, g AS (SELECT customer_id, count(*) AS alerts, max(overall_risk_score) AS top_score FROM fused GROUP BY customer_id),
+l AS (SELECT customer_id, {rd('z', 4, 'amount_z_score')}, transactions_last_hour, transactions_last_day, {rd('deviation', 4, 'behaviour_deviation_score')} FROM f
+  QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY ts DESC, transaction_id DESC) = 1)
+SELECT p.customer_id, {CONFIDENCE} AS confidence_score, coalesce(alerts, 0) AS alerts, top_score, l.* EXCLUDE (customer_id) FROM p LEFT JOIN g USING (customer_id) LEFT JOIN l USING (customer_id)""")
+def customer_risk_profile(spark, d):
+    rows = views.txn_events(spark, d)
+    history = profiles.build_profiles(rows)
+    featured = features.build_features(rows, history)
+    found = reports.customer_risk(all_alerts(spark, d), history, featured)
+    flat = found.select("customer_id", "confidence_score", "alerts", "top_score", "features.*")
+    return rounded(flat, 4, "amount_z_score", "behaviour_deviation_score")
+
+
 @register("kpi_summary", f"""WITH {O.events_fused()}, states AS (SELECT *, CASE WHEN transaction_id IN (SELECT transaction_id FROM v WHERE channel = 'signup') THEN 'CLOSED' ELSE 'OPEN' END AS status FROM fused)
 SELECT count(*) AS total_alerts, count(*) FILTER ({PRIORITY} = 'P1_CRITICAL') AS critical_alerts, count(*) FILTER (status = 'OPEN') AS open_alerts,
   count(*) FILTER (status = 'CLOSED') AS closed_alerts, round(count(*) FILTER (status = 'CLOSED') * 100.0 / count(*), 1) AS resolution_rate FROM states""")
@@ -842,6 +855,15 @@ def velocity_and_bursts(spark, d):
     return rows.select("transaction_id", "count_24h", "count_1h", "is_velocity", "is_burst")
 
 
+@register("bursts", f"""WITH {O.EV}, n AS (SELECT transaction_id, count(*) OVER (PARTITION BY customer_id ORDER BY ts {O.back(O.DAY)}) AS count_24h,
+  count(*) OVER (PARTITION BY customer_id ORDER BY ts {O.back(O.HOUR)}) AS count_1h FROM v)
+SELECT *, count_24h > 4 AS is_velocity, count_1h > 1 AS is_burst FROM n""")
+def bursts(spark, d):
+    """At limits that these sparse events reach."""
+    rows = typologies.velocity_anomalies(views.txn_events(spark, d), "customer_id", EngineConfig(velocity_max_per_day=4, burst_max_per_hour=1))
+    return rows.select("transaction_id", "count_24h", "count_1h", "is_velocity", "is_burst")
+
+
 FOLLOWS = "b.src = a.dst AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL {hours} HOUR AND b.amount / a.amount >= {low} AND b.amount / a.amount <= {high}"
 
 
