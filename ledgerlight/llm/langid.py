@@ -221,10 +221,12 @@ LEAST_SCORE = 0.3
 def known_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """``docs`` without those that have no letters or no likely language; columns stay as they are.
 
-    The text is read once more by the model inside the same task, so nothing is joined or shuffled.
+    Where there is nothing to learn from (no row with a language), every text with a letter stays. The text is read once more by the model inside the same task, so nothing is joined or shuffled.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held_out().alias("held_out"))
     model = train(rows.where("NOT held_out"))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     names = docs.columns
     kept = predict(docs.withColumns({f"_{i}": F.col(c) for i, c in enumerate(names)}).select(*[f"_{i}" for i in range(len(names))], "text"), model)
     kept = kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))

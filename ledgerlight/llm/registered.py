@@ -116,7 +116,7 @@ def op9_secret_ownership(spark, d):
     return found.select(
         "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)],
         F.sha2(line(of(0, 1, 2)), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"),
-        F.size(live).cast("long").alias("n_live"), F.size(F.filter("spans", lambda s: s["n_owners"] >= secrets.COPIED_OWNERS)).cast("long").alias("n_copied"),
+        F.size(live).cast("long").alias("n_live"), F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"),
     )
 
 

@@ -2,8 +2,8 @@
 
 Every whole text is searched once for candidates: assignments, access keys, hex strings (the base kinds), and long tokens
 of mixed letters and digits outside those. Candidate values travel as hashes only. The corpus then tells what they are: a
-value found with many owners or repositories is a copied example, one that stays with a single owner looks like a live
-credential. Base spans are always reported; a long token only where ownership says that it is live.
+value found with many owners or in many repositories, even of one owner, is a copied example; one that stays with few of
+both looks like a live credential. Base spans are always reported; a long token only where ownership says that it is live.
 
 Values are counted by (value, owner, repository) first, so a value that a third of all rows holds is combined before it is
 shuffled; no text and no value is ever shuffled, only hashes. Null texts count as empty, a null owner or repository as one
@@ -28,8 +28,8 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")
 TOKEN = re.compile("[A-Za-z0-9_-]{24,}")
 MIXED = re.compile("(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])(?=[^0-9]*[0-9])")
-#: Owners from which on a value is a copied example.
-COPIED_OWNERS = 3
+#: Owners, and repositories, from which on a value is a copied example.
+COPIED_OWNERS, COPIED_REPOS = 3, 10
 
 
 def candidates(text: str) -> list[tuple[int, int, int, str]]:
@@ -72,17 +72,17 @@ def ownership(scanned: DataFrame) -> DataFrame:
     )
 
 
-def find_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """(doc_id, spans array<struct<start, end, kind, n_owners, n_repos, live>>) of every row.
 
-    ``live``: the value has one owner, or fewer than ``copied_owners`` and no more repositories than owners.
+    ``live``: the value has fewer than ``copied_owners`` owners and is in fewer than ``copied_repos`` repositories.
     """
     scanned = materialise(scan(docs, owner_col, repo_col))
     # rows without candidates need nothing from the corpus
     full = scanned.where("size(found) > 0").withColumn("row", F.monotonically_increasing_id())
     hits = full.select("row", "doc_id", F.inline("found"))
     known = hits.join(ownership(scanned), "value_hash")
-    live = F.expr(f"n_owners = 1 OR (n_owners < {copied_owners} AND n_repos <= n_owners)")
+    live = (F.col("n_owners") < copied_owners) & (F.col("n_repos") < copied_repos)
     span = F.struct("start", "kind", "end", "n_owners", "n_repos", live.alias("live"))
     spans = known.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     kept = F.filter("spans", lambda s: (s["kind"] < 3) | s["live"])

@@ -8,6 +8,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerlight.llm import bpe, chat, langid, lz, secrets, toxicity
 from tests.llm.fixtures import corpus, documents, words
@@ -92,13 +93,17 @@ def test_secrets(spark):
             (6, f"{mixed}", "b"), (7, f"{mixed}", "c"), (8, "Qw3" + "e5Rt" * 6, None), (None, "passwd = = x", "a")]
     frame = spark.createDataFrame([(i, t, s, 0) for i, t, s in rows], "doc_id long, text string, source string, spans int")
     got = {r.doc_id: [(s.start, s.end, s.kind, s.n_owners, s.live) for s in r.spans] for r in secrets.find_secrets(frame).collect()}
-    assert got[1] == [(2, 23 - 1, 0, 1, True), (24 - 1, 43, 1, 3, False)] or got[1][0][2] == 0
+    assert got[1] == [(2, 1 + len(own), 0, 1, True), (3 + len(own), 3 + len(own) + len(key), 1, 3, False)]
     assert [s[2:] for s in got[2]] == [(1, 3, False)] and got[5] == got[None] == []
     assert [s[2] for s in got[4]] == [2] and got[6] == [] and got[8] == [(0, 27, 3, 1, True)]
     for i, t, _ in rows:
         for s, e, kind, *_ in got[i]:
             assert (t[s:e].lower().startswith("tok"), t[s:e] == key, re.fullmatch("[0-9a-f]+", t[s:e]) is not None, kind == 3)[kind]
     assert secrets.find_secrets(frame.limit(0)).count() == 0
+    # one owner, many repositories: a copied example; few repositories: live
+    frame = spark.createDataFrame([(i, f"x {key}", "a") for i in range(12)] + [(20 + i, f"x {key}9", "a") for i in range(9)], "doc_id long, text string, source string")
+    got = {r.doc_id: [(s.n_owners, s.n_repos, s.live) for s in r.spans] for r in secrets.find_secrets(frame).collect()}
+    assert all(v == ([(1, 12, False)] if i < 20 else [(1, 9, True)]) for i, v in got.items()) and len(got) == 21
 
 
 def languages(n: int):
@@ -120,6 +125,7 @@ def test_language_id(spark):
     kept = langid.known_language(frame)
     assert kept.columns == frame.columns and sorted((r.doc_id or -1) for r in kept.collect()) == sorted((r[0] or -1) for r in rows if r[0] not in (400, 401))
     assert langid.identify(frame.limit(0)).count() == 0
+    assert {r.doc_id for r in langid.known_language(frame.where("doc_id >= 398").withColumn("lang", F.lit(None).cast("string"))).collect()} == {398, 399, 402}
     assert {r.lang_pred for r in langid.identify(frame.withColumn("lang", frame.lang.substr(9, 1)).where("lang = 'x' OR doc_id < 3")).collect()} <= {"und", ""}
 
 
