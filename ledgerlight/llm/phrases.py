@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ SLICE = 1 << 16
 HELD = 6_000_000
 #: Distinct phrases with their texts that a task holds while it counts.
 HELD_TEXTS = 400_000
+#: Words of the corpus for each bucket that adds up exact counts.
+BUCKET_WORDS = 1_000_000
 #: A part of phrases is common if it makes up more than one in so many of its language's words.
 HOT_SHARE = 1000
 #: Rows up to which a table of languages is sent to all tasks; a larger one is joined by a shuffle.
@@ -185,8 +188,13 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, counts
 
 
-def exact_counts(docs: DataFrame, table, longest: int) -> DataFrame:
-    """(lang, phrase, words, f): exact counts of all candidates, one-word phrases included."""
+def exact_counts(docs: DataFrame, table, longest: int, min_count: int, buckets: int) -> DataFrame:
+    """(lang, phrase, words, f): exact counts, from ``min_count``, of all candidates, one-word phrases included.
+
+    What a task has counted goes out in packs, one a bucket and language, sorted so that they compress well; a bucket's packs
+    are added up by text in one task. There are as many buckets as BUCKET_WORDS fit into the corpus, so what meets in one is
+    bounded by the words of one.
+    """
     from ledgerlight.llm.common import text_runs
 
     small_batches(docs.sparkSession)
@@ -196,10 +204,15 @@ def exact_counts(docs: DataFrame, table, longest: int) -> DataFrame:
         bits, held = table.value, {}
 
         def flush():
-            keys = list(held.values())
-            for i in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*keys[i : i + 50_000]), (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "phrase", "words", "f"])
+            packs: dict[tuple, list] = {}
+            for (x, _), (lang, phrase, c) in held.items():
+                packs.setdefault((x % buckets, lang), []).append((phrase, c))
             held.clear()
+            for (bucket, lang), pack in packs.items():
+                own, counts = zip(*sorted(pack))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket]), pa.array([lang]), pa.array([own], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))], names=["bucket", "lang", "phrases", "counts"]
+                )
 
         for batch in batches:
             for part, texts in text_runs(batch):
@@ -229,15 +242,22 @@ def exact_counts(docs: DataFrame, table, longest: int) -> DataFrame:
                         old = held.get((x, y))
                         if old is None:
                             phrase = b" ".join([data[found.start[j] : found.end[j]] for j in range(i, i + k)]).decode("utf-8", "surrogatepass")
-                            held[x, y] = [langs[found.text[i]], phrase, k, c]
+                            held[x, y] = [langs[found.text[i]], phrase, c]
                         else:
-                            old[3] += c
+                            old[2] += c
                 if len(held) > HELD_TEXTS:
                     yield from flush()
         yield from flush()
 
-    found = rows.mapInArrow(run, "lang string, phrase string, words int, f long")
-    return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+    def added(key: tuple, packs: pa.Table) -> pa.Table:
+        flat = pa.table({"phrase": pc.list_flatten(packs["phrases"]), "f": pc.list_flatten(packs["counts"])})
+        sums = flat.group_by("phrase").aggregate([("f", "sum")])
+        sums = sums.filter(pc.greater_equal(sums["f_sum"], min_count))
+        return pa.table({"lang": pa.array([key[1].as_py()] * len(sums), pa.string()), "phrase": sums["phrase"], "f": sums["f_sum"]})
+
+    found = rows.mapInArrow(run, "bucket long, lang string, phrases array<string>, counts array<long>")
+    counts = found.groupBy("bucket", "lang").applyInArrow(added, "lang string, phrase string, f long")
+    return counts.withColumn("words", F.size(F.split("phrase", " ")))
 
 
 def with_count(rows: DataFrame, part: str, name: str, counts: DataFrame, hot: DataFrame) -> DataFrame:
@@ -267,7 +287,8 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, lo
     mined = saved.join(small(share.select("lang", "shard", least.alias("least"))), ["lang", "shard"]).select("seed", "shard", "least", "codes")
     table = candidates(mined, longest, min_count)
     totals = share.select("lang", "n").distinct()
-    counts = exact_counts(docs, table, longest).where(F.col("f") >= min_count)
+    words = int(saved.agg(F.sum("n")).first()[0] or 0)
+    counts = exact_counts(docs, table, longest, min_count, max(64, words // BUCKET_WORDS))
     counts = materialise(counts.join(small(totals), "lang").withColumn("hot", F.col("f") * HOT_SHARE >= F.col("n")))
     hot = counts.where("hot")
 
