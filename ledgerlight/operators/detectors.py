@@ -75,6 +75,8 @@ def detect(
     return counted.withColumn(column, F.expr(f"coalesce(concat({column}, {last}), {column})")).drop("_severe")
 
 
+# Fixed values in the four lists below: ids, names, severities, scores and limits of the detectors.
+
 # --- rules ---------------------------------------------------------------------------------------------
 
 

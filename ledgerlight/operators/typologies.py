@@ -28,6 +28,7 @@ from ledgerlight.operators.ordered import (
 from ledgerlight.session import materialise
 
 MONEY = "decimal(24,6)"
+# Merchant categories of trade-based laundering.
 TRADE_CATEGORIES = ("Freight/Shipping", "Building Materials", "Wire Transfer Agency")
 
 

@@ -71,6 +71,7 @@ TABLES: dict[str, dict[str, str]] = {
     },
 }
 
+# Keys, mandatory columns, references and ranges of the twelve tables.
 PRIMARY_KEYS = {
     "transaction": "transaction_id",
     "customer": "customer_id",

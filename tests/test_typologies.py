@@ -157,7 +157,8 @@ def test_flows_of_hot_accounts_and_copies(spark, ordered, lo, hi):
     chains = {(x, y, z) for x, y in pairs for w, z in pairs if w == y}
     if not ordered:
         members = {r.transaction_id: (r.is_first, r.is_last) for r in t.layering_members(df, EngineConfig(hop_hours=24, hop_ratio=(lo, hi)), False).collect()}
-        assert members == {i: (i in {c[0] for c in chains}, i in {c[2] for c in chains}) for c in chains for i in c} and members
+        first, last = {c[0] for c in chains}, {c[2] for c in chains}
+        assert members == {i: (i in first, i in last) for c in chains for i in c} and members
         return
     cfg = EngineConfig(hop_hours=24, hop_ratio=(lo, hi), hot_key_rows=5, slice_rows=150)
     assert ids(t.layering_chains(df, cfg)) == {c[2] for c in chains} and chains
