@@ -35,9 +35,9 @@ MIN_COUNT = 100
 TOP = 2000
 #: Shards of the corpus, groups of input partitions; a power of two up to 256. Fewer shards have a higher support, so fewer candidates.
 SHARDS = 4
-#: Bits of a phrase's hash while it may be a candidate, with the shard in the lowest. Few phrases are frequent, so few of the
-#: others share a slot with one of them, whatever the size of the corpus.
-KEY = (1 << 40) - SHARDS
+#: Bits of a phrase's hash while it may be a candidate. Few phrases are frequent, so few of the others share a slot with one
+#: of them, whatever the size of the corpus.
+KEY = (1 << 40) - 1
 #: Bits of the table of candidates that all tasks hold (16 MB).
 BITS = 1 << 27
 SLICE = 1 << 16
@@ -45,8 +45,8 @@ SLICE = 1 << 16
 HELD = 6_000_000
 #: Distinct phrases with their texts that a task holds while it counts.
 HELD_TEXTS = 400_000
-#: Words of the corpus for each bucket that adds up exact counts.
-BUCKET_WORDS = 1_000_000
+#: Words of the corpus for each bucket that adds up exact counts, and for each that adds up hashes.
+BUCKET_WORDS, MINED_WORDS = 1_000_000, 10_000_000
 #: A part of phrases is common if it makes up more than one in so many of its language's words.
 HOT_SHARE = 1000
 #: Rows up to which a table of languages is sent to all tasks; a larger one is joined by a shuffle.
@@ -100,11 +100,13 @@ def has(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def local_counts(saved: DataFrame, length: int, table, min_count: int) -> DataFrame:
+def local_counts(saved: DataFrame, length: int, table, min_count: int, buckets: int) -> DataFrame:
     """(key): phrases of one length that are frequent in some shard, by their hash.
 
-    One exchange by phrase serves all shards, so the sum over the shards is at hand as well: a phrase that does not reach the
-    support there is left out, since the sum of a hash is never below the phrase's own.
+    Tasks send packs, one a bucket of hashes, shard and support: the sorted rest of each hash in four bytes and its count. A
+    bucket holds all shards, so the sum over the shards is at hand as well: a phrase that does not reach the support there is
+    left out, since the sum of a hash is never below the phrase's own. There are as many buckets as MINED_WORDS fit into the
+    corpus, which bounds what meets in one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +114,19 @@ def local_counts(saved: DataFrame, length: int, table, min_count: int) -> DataFr
         held: dict[tuple, list[np.ndarray]] = {}
 
         def flush():
-            for (_, least), parts in held.items():
+            for (shard, least), parts in held.items():
                 keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(np.full(len(keys), least))], names=["key", "count", "least"])
+                bucket = keys % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                rest, counts = (keys[order] // np.uint64(buckets)).astype(np.uint32), np.minimum(counts[order], 2**32 - 1).astype(np.uint32)
+                own, first = np.unique(bucket[order], return_index=True)
+                ends = np.append(first[1:], len(order))
+                small = [bool((counts[i:j] < 256).all()) for i, j in zip(first, ends)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(own.astype(np.int64)), pa.array(np.full(len(own), shard, np.int64)), pa.array(np.full(len(own), least, np.int64)),
+                    pa.array([rest[i:j].tobytes() for i, j in zip(first, ends)], pa.binary()),
+                    pa.array([counts[i:j].astype(np.uint8 if s else np.uint32).tobytes() for i, j, s in zip(first, ends, small)], pa.binary()),
+                ], names=["bucket", "shard", "least", "rest", "counts"])
             held.clear()
 
         size = 0
@@ -131,21 +143,31 @@ def local_counts(saved: DataFrame, length: int, table, min_count: int) -> DataFr
                             break
                         continue
                     at = ok if before is None else ok & before[:-1] & before[1:]
-                    keys = (g[at] & np.uint64(KEY)) | np.uint64(r["shard"])
-                    held.setdefault((r["shard"], r["least"]), []).append(keys)
-                    size += len(keys)
+                    held.setdefault((r["shard"], r["least"]), []).append(g[at] & np.uint64(KEY))
+                    size += int(np.count_nonzero(at))
                 if size >= HELD:
                     yield from flush()
                     size = 0
         yield from flush()
 
-    found = saved.select("seed", "shard", "least", "codes").mapInArrow(run, "key long, count long, least long")
-    # tasks have combined their own already, so rows are dealt by phrase at once
-    gram = F.col("key").bitwiseAND(F.lit(KEY))
-    dealt = found.repartition(gram).withColumn("gram", gram)
-    shards = dealt.groupBy("gram", "key").agg(F.sum("count").alias("count"), F.max("least").alias("least"))
-    whole = shards.groupBy("gram").agg(F.sum("count").alias("count"), F.max(F.col("count") >= F.col("least")).alias("local"))
-    return whole.where(F.col("local") & (F.col("count") >= min_count)).select(F.col("gram").alias("key"))
+    def added(key: tuple, packs: pa.Table) -> pa.Table:
+        rows = packs.to_pylist()
+        rest = [np.frombuffer(r["rest"], np.uint32) for r in rows]
+        counts = [np.frombuffer(r["counts"], np.uint8 if len(r["counts"]) == len(x) else np.uint32) for r, x in zip(rows, rest)]
+        sizes = [len(x) for x in rest]
+        # a phrase, then its shard; one shard and language have one support
+        whole = np.concatenate(rest).astype(np.uint64) * np.uint64(SHARDS) + np.repeat([r["shard"] for r in rows], sizes).astype(np.uint64)
+        order = np.argsort(whole)
+        whole, n, least = whole[order], np.concatenate(counts).astype(np.int64)[order], np.repeat([r["least"] for r in rows], sizes)[order]
+        first = np.flatnonzero(np.diff(whole, prepend=whole[:1] + np.uint64(1)))
+        local, least = np.add.reduceat(n, first), np.maximum.reduceat(least, first)
+        phrase = whole[first] // np.uint64(SHARDS)
+        first = np.flatnonzero(np.diff(phrase, prepend=phrase[:1] + np.uint64(1)))
+        good = np.logical_or.reduceat(local >= least, first) & (np.add.reduceat(local, first) >= min_count)
+        return pa.table({"key": pa.array((phrase[first][good] * np.uint64(buckets) + np.uint64(key[0].as_py())).astype(np.int64))})
+
+    found = saved.select("seed", "shard", "least", "codes").mapInArrow(run, "bucket long, shard long, least long, rest binary, counts binary")
+    return found.groupBy("bucket").applyInArrow(added, "key long")
 
 
 def marked(found: DataFrame, bits: np.ndarray) -> None:
@@ -168,12 +190,12 @@ def marked(found: DataFrame, bits: np.ndarray) -> None:
         bits[part] |= np.frombuffer(r.bits, np.uint8)
 
 
-def candidates(saved: DataFrame, longest: int, min_count: int):
+def candidates(saved: DataFrame, longest: int, min_count: int, buckets: int):
     """Table of bits (broadcast) of all phrases that are frequent in some shard."""
     context = saved.sparkSession.sparkContext
     bits, table = np.zeros(BITS // 8, np.uint8), None
     for length in range(1, longest + 1):
-        found = local_counts(saved, length, table, min_count)
+        found = local_counts(saved, length, table, min_count, buckets)
         marked(found, bits)
         table = context.broadcast(bits)
     return table
@@ -285,9 +307,10 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, lo
     # the support's share, rounded up in whole numbers
     least = F.expr(f"({min_count} * CAST(part AS DECIMAL(20,0)) + n - 1) div n")
     mined = saved.join(small(share.select("lang", "shard", least.alias("least"))), ["lang", "shard"]).select("seed", "shard", "least", "codes")
-    table = candidates(mined, longest, min_count)
-    totals = share.select("lang", "n").distinct()
     words = int(saved.agg(F.sum("n")).first()[0] or 0)
+    # hashes keep four bytes of their own beside the bucket
+    table = candidates(mined, longest, min_count, max(256, words // MINED_WORDS))
+    totals = share.select("lang", "n").distinct()
     counts = exact_counts(docs, table, longest, min_count, max(64, words // BUCKET_WORDS))
     counts = materialise(counts.join(small(totals), "lang").withColumn("hot", F.col("f") * HOT_SHARE >= F.col("n")))
     hot = counts.where("hot")
