@@ -182,3 +182,23 @@ def test_hub_in_one_cell_is_linear(spark):
     found = t.layering_members(rows, cfg)
     # every payment to the hub is followed by a later one from it and the other way round, but for the first and last second
     assert found.count() == found.where("is_first <> is_last").count() == n - rows.where("dst = 'hub' AND timestamp = timestamp_seconds(3599)").count() - rows.where("src = 'hub' AND timestamp = timestamp_seconds(0)").count()
+
+
+def test_a_sweep_shuffles_two_narrow_rows_an_edge(spark):
+    """Ordinary accounts: one exchange by account below the spreading over cells, without the ids of transactions."""
+    flows = t.Flows(edges(spark, ("a", "b", 0, 100), ("b", "c", 5, 95), ("c", "d", 9, 90)), t.FlowBand(0.92, 0.99, 72), EngineConfig())
+    found = t._linked(flows.narrow, flows.narrow, flows.band, "e_dst", "e_src", True, flows.cfg, flows.heat)
+    assert [r.e_src for r in found.orderBy("e_row").collect()] == ["a", "b"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning(_account")
+    assert "e_id" not in found.columns and not any("e_id" in line for line in plan.splitlines() if "Project" in line)
+
+
+def test_a_hot_cell_of_a_hot_account_is_sliced(spark):
+    """Accounts, cells and slices: the three ways of a sweep give the same edges."""
+    rows = [("n", f"x{i}", i % 7, 100 - i % 5) for i in range(60)] + [(f"y{i}", "n", i % 9, 100 - i % 3) for i in range(60)] + [("q", "n", 900, 5), ("n", "r", 901, 4.8)]
+    df = edges(spark, *rows)
+    want = ids(t.layering_chains(df, EngineConfig(layering_hops=2)))
+    assert len(want) > 1
+    for hot, piece in ((100, 50), (20, 15)):
+        assert ids(t.layering_chains(df, EngineConfig(layering_hops=2, hot_key_rows=hot, slice_rows=piece))) == want
