@@ -31,7 +31,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: SimHash over five words, similarity 0.8 or more."""
+    """One document of each component of near copies: SimHash over five words, checked by similarity 0.8 or more, no pair lost."""
     return wide_simhash.representatives(docs.select(*COLUMNS))
 
 

@@ -1,4 +1,8 @@
-"""Near duplicates of a given similarity: exact prefix join over shingle sets.
+"""Near duplicates of a given similarity: SimHash links, checked by the whole shingle sets, and an exact prefix join for the rest.
+
+Every shingle set has a 64-bit SimHash. Sets whose fingerprints differ in at most ``simhash.MAX_BITS`` bits are linked by the
+look-up of ``simhash.links`` and stay linked where the sets are as similar as asked. Few bits find close copies only, so the
+components found are completed by a join that no pair escapes.
 
 All shingles have one order for the whole corpus. Two sets of Jaccard similarity ``similarity`` share one of the first
 n - ceil(similarity * n) + 1 shingles of each (their prefixes), so documents meet in the shingles of their prefixes, and no pair
@@ -27,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlight.llm import simhash
 from ledgerlight.llm.common import map_texts, small_batches, text_runs
 from ledgerlight.llm.components import connected_components
 from ledgerlight.session import materialise
@@ -55,6 +60,14 @@ def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((of(joined[s:e]) for s, e in zip(starts[:last], ends[min(size, len(words)) - 1 :].tolist())), np.uint64, last))
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a shingle set as signed 64-bit integer: a bit is 1 if set in over half the hashes (no shingles: zero)."""
+    bits = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 65_536):
+        bits += np.unpackbits(hashes[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
@@ -151,6 +164,18 @@ def candidates(cell: np.ndarray, place: np.ndarray, size: np.ndarray, node: np.n
         k = to
 
 
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp) that connect all fingerprints at ``simhash.MAX_BITS`` or fewer differing bits.
+
+    The nodes of one fingerprint link to the smallest of them, and these to each other, so the pairs grow with the nodes.
+    """
+    fps = materialise(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    same = nodes.join(fps, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    end = lambda c: fps.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}"))
+    near = simhash.links(fps.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return same.union(near)
+
+
 def near_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_key, component_id) of every row; component_id is the smallest id reachable over pairs as similar as asked."""
     key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
@@ -162,10 +187,10 @@ def near_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
     def own(part, texts):
         sets = [shingle_set(t, shingle) for t in texts]
-        return [*[part.column(c) for c in ("doc_id", "text_key", "row")], list(map(name, sets)), list(map(len, sets)), list(map(bands, sets))]
+        return [*[part.column(c) for c in ("doc_id", "text_key", "row")], list(map(name, sets)), list(map(len, sets)), list(map(fingerprint, sets)), list(map(bands, sets))]
 
-    found = materialise(map_texts(rows, own, "doc_id long, text_key long, row long, own long, size int, bands array<long>"))
-    nodes = materialise(found.groupBy("own").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("size", "bands")]))
+    found = materialise(map_texts(rows, own, "doc_id long, text_key long, row long, own long, size int, fp long, bands array<long>"))
+    nodes = materialise(found.groupBy("own").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("size", "fp", "bands")]))
 
     def cells(part, texts):
         return [np.concatenate([prefix(shingle_set(t, shingle), hot.value, similarity) for t in texts]).view(np.int64)]
@@ -202,11 +227,11 @@ def near_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
         return both.select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long")
 
-    # documents of well-filled bands, each linked to the smallest one of them that is as similar as asked
+    # close copies by fingerprint, and documents of well-filled bands, each linked to the smallest one of them that is as similar as asked
     table = nodes.select("node", "size", F.explode("bands").alias("cell"))
     least = table.groupBy("cell").agg(F.min(F.struct("node", "size")).alias("to"), F.count("*").alias("n")).where(F.col("n") >= STAR_ROWS).select("cell", "to")
     star = table.join(least, "cell").where(f"node <> to.node AND least(size, to.size) + 1e-6 >= {similarity} * greatest(size, to.size)")
-    starred = materialise(verified(star.select(F.col("node").alias("a"), F.col("to.node").alias("b"))))
+    starred = materialise(verified(star.select(F.col("node").alias("a"), F.col("to.node").alias("b")).union(fingerprint_links(nodes))))
     groups = connected_components(starred)
     known = nodes.join(groups.select(F.col("node").alias("_node"), "component"), F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("component"), "size")
     met = map_texts(rows.select("row", "text"), shared_cells, "row long, places array<int>, cells array<long>").where("size(cells) > 0")

@@ -143,6 +143,18 @@ def test_similar_short_and_long_documents(spark):
     assert by_row(wide_simhash.near_documents(docs), "doc_id", "component_id") == sorted(zip([r[0] for r in rows], want), key=repr)
 
 
+def test_near_documents_by_fingerprint(spark, monkeypatch):
+    # close copies are linked by their SimHash: they are there when the join that completes them makes no candidate
+    own = [words(7000 + k, 400) for k in range(6)]
+    rows = [(10 * k + j, " ".join(w[:-1] + words(8000 + 10 * k + j, 1))) for k, w in enumerate(own) for j in range(3)]
+    prints = [wide_simhash.fingerprint(wide_simhash.shingle_set(t)) for _, t in rows]
+    want = groups(list(zip([i for i, _ in rows], prints)), lambda a, b: ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= simhash.MAX_BITS)
+    assert len(set(want)) < len(rows)
+    monkeypatch.setattr(wide_simhash, "_shared", lambda cells: np.zeros(1 << (wide_simhash.FILTER_BITS - 6), np.uint64))
+    found = wide_simhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert by_row(found, "doc_id", "component_id") == sorted(zip([i for i, _ in rows], want), key=repr)
+
+
 def test_empty_tables(spark):
     none = documents(spark, [])
     assert simhash.near_duplicates(none).count() == exact_dedup.exact_duplicates(none).count() == suffixes.passages(none).count() == 0
