@@ -251,3 +251,16 @@ def test_forest_samples(spark):
         assert all(len(x) == len(set(x)) == min(900, cfg.tree_sample) for x in by_tree.values())
         if orders == 1:
             assert len({v for x in by_tree.values() for v in x}) == 700
+
+
+def test_counted_alerts_carry_no_texts(spark):
+    """Where only ranked columns are used, findings and texts are neither worked out nor sorted with the copies; ties keep one row."""
+    assessed = actions.recommend(explain.explain(fusion.fuse(detectors.all_findings(vectors(spark, RISKY, RISKY)))))
+    twice = assessed.unionByName(assessed)
+    counts = alerts.build_alerts(twice).groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "narrative" not in plan
+    assert sum(r.n for r in counts.collect()) == 2
+    whole = alerts.build_alerts(twice)
+    assert whole.count() == 2 and all(r.narrative and r.top_reasons and r.triggered_rules for r in whole.collect())
+    assert "profile_unique_beneficiaries" not in next(x for x in whole._jdf.queryExecution().optimizedPlan().toString().splitlines() if "max_by" in x)
