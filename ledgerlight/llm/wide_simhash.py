@@ -15,6 +15,11 @@ they are in hardly any prefix. The buckets are counted by hash in a table of fix
 several prefixes hold are joined; a bit array of fixed size (FILTER_BITS) tells which those may be, and when a corpus fills it,
 it lets more shingles pass but loses none.
 
+A shingle that CROWD_ROWS or more prefixes hold is crowded (a second bit array of fixed size tells which ones may be). Documents
+that meet there carry a sketch of their whole set, SKETCH_BITS parities: two sketches differ in no more bits than the sets in
+shingles, so a pair too far apart is dropped before it leaves the task, and no other. They also carry their crowded shingles: a
+pair leaves a task once, where its smallest one is, with the number of all that it shares.
+
 Equal shingle sets are one node. Before pairs are made, documents of one of STAR_CELLS bands of three minima that STAR_ROWS or
 more share are linked to the smallest of them where they are as similar as asked (one candidate a document and band), and other
 pairs are made between different components only, so a large group of near copies does not cost the square of its size.
@@ -25,10 +30,12 @@ one shingle.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import simhash
@@ -43,6 +50,8 @@ MIX = np.random.default_rng(7).integers(0, 1 << 63, 3 * STAR_CELLS, np.uint64) *
 FILTER_BITS = 26
 #: Buckets that shingles are counted in; one is well filled with HOT_SHARE times the mean and HOT_ROWS more.
 BUCKET_BITS, HOT_SHARE, HOT_ROWS = 22, 4, 32
+#: Prefixes that hold a shingle from which on it is crowded, and bits of the sketches that are compared there.
+CROWD_ROWS, SKETCH_BITS = 64, 512
 #: Entries of the prefix join that are held at a time, and pairs that are made at a time.
 HELD_ROWS, HELD_PAIRS = 100_000, 500_000
 
@@ -116,26 +125,44 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least)], np.int64)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """SKETCH_BITS parities of a shingle set; the sketches of two sets differ in at most as many bits as the sets in shingles."""
+    return np.packbits(np.bincount((hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+
+
+def _bits(cells: DataFrame, *flags: Column) -> np.ndarray:
+    """A bit array of fixed size for each of ``flags``, one after the other: the cells of ``cells`` (cell) where it holds."""
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(cell, {64 - FILTER_BITS}) & 63 AS int))")
+    words = cells.groupBy(F.shiftrightunsigned("cell", 64 - FILTER_BITS + 6).alias("word")).agg(*[F.bit_or(F.when(f, bit).otherwise(F.lit(0).cast("long"))).alias(f"bits{k}") for k, f in enumerate(flags)])
+    found = words.toPandas()
+    bits = np.zeros((len(flags), 1 << (FILTER_BITS - 6)), np.uint64)
+    for k in range(len(flags)):
+        bits[k, found["word"].to_numpy(np.int64)] = found[f"bits{k}"].to_numpy(np.int64).view(np.uint64)
+    return bits.ravel()
+
+
 def _shared(cells: DataFrame) -> np.ndarray:
-    """Bit array over the cells that more than one row of ``cells`` (cell) holds."""
-    word = (
-        cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-        .groupBy(F.shiftrightunsigned("cell", 64 - FILTER_BITS + 6).alias("word"))
-        .agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(cell, {64 - FILTER_BITS}) & 63 AS int)))").alias("bits"))
-    )
-    found = word.toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
-
-
-def candidates(cell: np.ndarray, place: np.ndarray, size: np.ndarray, node: np.ndarray, component: np.ndarray, similarity: float):
+    """Bit array over the cells that more than one row of ``cells`` (cell) holds, and after it one over the crowded cells."""
+    return _bits(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), F.lit(True), F.col("n") >= CROWD_ROWS)
+
+
+def _held(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Places of the cells whose bits are set."""
+    bit = cells >> np.uint64(64 - FILTER_BITS)
+    return np.flatnonzero((bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+
+
+def candidates(cell: np.ndarray, place: np.ndarray, size: np.ndarray, node: np.ndarray, component: np.ndarray, similarity: float, sketches: np.ndarray | None = None, crowds: list | None = None):
     """Pairs of nodes of different components with one cell, as far as sizes and places let them be similar; in parts.
 
-    A part holds (a, b, n, need): how many cells a pair shares here, and how many it must share in all.
+    A part holds (a, b, n, need): how many cells a pair shares here, and how many it must share in all. With ``sketches`` and
+    ``crowds`` (all crowded cells of each row's node) pairs whose sketches are too far apart are left out, and the others come
+    at the smallest crowded cell that they share, n being the number of these.
     """
     order = np.lexsort((size, cell))
     cell, place, size, node, component = (x[order] for x in (cell, place, size, node, component))
+    if crowds is not None:
+        sketches, crowds = sketches[order], [crowds[k] for k in order]
     start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     stop = np.repeat(np.r_[start[1:], len(cell)], np.diff(np.r_[start, len(cell)]))
     # partners of a row are after it, up to the size that is still similar
@@ -154,13 +181,23 @@ def candidates(cell: np.ndarray, place: np.ndarray, size: np.ndarray, node: np.n
         asked = np.ceil(similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6).astype(np.int64)
         good = (component[i] != component[j]) & (common >= asked)
         i, j, asked = i[good], j[good], asked[good]
+        n = np.ones(len(i), np.int64)
+        if crowds is not None:
+            apart = np.zeros(len(i), np.int64)
+            for w in range(sketches.shape[1]):
+                apart += np.bitwise_count(sketches[i, w] ^ sketches[j, w])
+            near = apart <= size[i] + size[j] - 2 * asked
+            i, j, asked = i[near], j[near], asked[near]
+            both = [crowds[x] & crowds[y] for x, y in zip(i.tolist(), j.tolist())]
+            here = np.fromiter((min(x) == c for x, c in zip(both, cell[i].tolist())), bool, len(i))
+            i, j, asked, n = i[here], j[here], asked[here], np.fromiter(map(len, both), np.int64, len(both))[here]
         if len(i):
             need = np.maximum(1, asked - np.maximum(size[i] - prefix_size(size[i], similarity), size[j] - prefix_size(size[j], similarity)))
             a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             by = np.lexsort((b, a))
-            a, b, need = a[by], b[by], need[by]
+            a, b, need, n = a[by], b[by], need[by], n[by]
             first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            yield a[first], b[first], np.diff(np.r_[first, len(a)]), need[first]
+            yield a[first], b[first], np.add.reduceat(n, first), need[first]
         k = to
 
 
@@ -198,22 +235,33 @@ def near_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     bits = docs.sparkSession.sparkContext.broadcast(_shared(map_texts(rows.select("text"), cells, "cell long")))
 
     def shared_cells(part, texts):
-        ids, places, kept = [], [], []
+        ids, places, kept, crowds, sketches = [], [], [], [], []
+        words = 1 << (FILTER_BITS - 6)
         for row, t in zip(part.column("row").to_pylist(), texts):
-            x = prefix(shingle_set(t, shingle), hot.value, similarity)
-            bit = x >> np.uint64(64 - FILTER_BITS)
-            place = np.flatnonzero((bits.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+            whole = shingle_set(t, shingle)
+            x = prefix(whole, hot.value, similarity)
+            place = _held(bits.value[:words], x)
+            x = x[place]
+            crowd = x[_held(bits.value[words:], x)]
             ids.append(row)
             places.append(place.astype(np.int32))
-            kept.append(x[place].view(np.int64))
-        return [ids, places, kept]
+            kept.append(x.view(np.int64))
+            crowds.append(crowd.view(np.int64))
+            sketches.append(sketch(whole) if len(crowd) else None)
+        return [ids, places, kept, crowds, sketches]
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that are near by their shingles."""
         near = materialise(pairs.distinct())
-        asked = near.select("a").union(near.select("b")).distinct()
-        texts = rows.join(asked, rows.row == asked.a, "left_semi").select("row", "text").dropDuplicates(["row"])
-        sets = materialise(map_texts(texts, lambda part, texts: [part.column("row"), [shingle_set(t, shingle).tobytes() for t in texts]], "row long, hashes binary"))
+        asked = near.select(F.col("a").alias("cell")).union(near.select("b")).distinct()
+        wanted = docs.sparkSession.sparkContext.broadcast(_bits(asked, F.lit(True)))
+
+        def sets_of(part, texts):
+            take = _held(wanted.value, part.column("row").to_numpy().view(np.uint64))
+            return [part.column("row").take(pa.array(take)), [shingle_set(texts[k], shingle).tobytes() for k in take.tolist()]]
+
+        # texts stay where they are: only the sets of rows that may be asked for are shuffled
+        sets = materialise(map_texts(rows.select("row", "text"), sets_of, "row long, hashes binary").dropDuplicates(["row"]))
         both = near.join(sets.select(F.col("row").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("row").alias("b"), F.col("hashes").alias("hb")), "b")
 
         def compare(batches):
@@ -234,30 +282,37 @@ def near_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     starred = materialise(verified(star.select(F.col("node").alias("a"), F.col("to.node").alias("b")).union(fingerprint_links(nodes))))
     groups = connected_components(starred)
     known = nodes.join(groups.select(F.col("node").alias("_node"), "component"), F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("component"), "size")
-    met = map_texts(rows.select("row", "text"), shared_cells, "row long, places array<int>, cells array<long>").where("size(cells) > 0")
+    met = map_texts(rows.select("row", "text"), shared_cells, "row long, places array<int>, cells array<long>, crowd array<long>, sketch binary").where("size(cells) > 0")
     met = met.dropDuplicates(["row"]).join(known, F.col("row") == F.col("node"))
-    entries = met.select("node", "component", "size", F.inline(F.arrays_zip("places", "cells"))).withColumnsRenamed({"places": "place", "cells": "cell"})
-    entries = entries.withColumn("n", F.count("*").over(Window.partitionBy("cell"))).where("n > 1").select("cell", "place", "size", "node", "component")
+    entries = met.select("node", "component", "size", "crowd", "sketch", F.inline(F.arrays_zip("places", "cells"))).withColumnsRenamed({"places": "place", "cells": "cell"})
+    crowded = lambda c: F.when(F.array_contains("crowd", F.col("cell")), F.col(c)).alias(c)
+    entries = entries.select("cell", "place", "size", "node", "component", crowded("crowd"), crowded("sketch"))
+    entries = entries.withColumn("n", F.count("*").over(Window.partitionBy("cell"))).where("n > 1").drop("n")
 
     def meet(batches):
         held, n, limit = [], 0, HELD_ROWS
 
-        def made(columns):
-            for part in candidates(*columns, similarity):
+        def made(table):
+            alone = table.filter(table["sketch"].is_null())
+            together = table.filter(table["sketch"].is_valid())
+            numbers = lambda x: [x[c].to_numpy().astype(np.int64) for c in ("cell", "place", "size", "node", "component")]
+            sketches = np.frombuffer(b"".join(together["sketch"].to_pylist()), np.uint64).reshape(len(together), SKETCH_BITS // 64)
+            for part in chain(candidates(*numbers(alone), similarity), candidates(*numbers(together), similarity, sketches, list(map(frozenset, together["crowd"].to_pylist())))):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in part], names=["a", "b", "n", "need"])
 
         for batch in batches:
-            held.append([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            held.append(batch)
             n += batch.num_rows
             if n >= limit:
-                columns = [np.concatenate(x) for x in zip(*held)]
+                table = pa.Table.from_batches(held)
+                cells = table["cell"].to_numpy()
                 # rows of the last cell wait for the rest of it
-                cut = n - int((columns[0][::-1] != columns[0][-1]).argmax()) if columns[0][0] != columns[0][-1] else 0
-                yield from made([x[:cut] for x in columns])
-                held, n = [[x[cut:] for x in columns]], n - cut
+                cut = n - int((cells[::-1] != cells[-1]).argmax()) if cells[0] != cells[-1] else 0
+                yield from made(table.slice(0, cut))
+                held, n = table.slice(cut).to_batches(), n - cut
                 limit = max(HELD_ROWS, 2 * n)
         if n:
-            yield from made([np.concatenate(x) for x in zip(*held)])
+            yield from made(pa.Table.from_batches(held))
 
     counted = entries.mapInArrow(meet, "a long, b long, n long, need long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     parts = connected_components(starred.union(verified(counted.where("n >= need").select("a", "b"))))

@@ -155,6 +155,43 @@ def test_near_documents_by_fingerprint(spark, monkeypatch):
     assert by_row(found, "doc_id", "component_id") == sorted(zip([i for i, _ in rows], want), key=repr)
 
 
+def near_copies_of_one_text(n, changed):
+    own = words(9000, 150)
+    rows = []
+    for k in range(n):
+        rng = np.random.default_rng(k)
+        w = list(own)
+        for at in rng.choice(150, changed + k % 3, replace=False):
+            w[at] = words(9100 + 200 * k + int(at), 1)[0]
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+def test_pairs_of_a_crowded_shingle_leave_once():
+    # a group of copies that are more or less alike: far pairs stay in the task, the others come once, not once a shingle
+    sets = [wide_simhash.shingle_set(t) for _, t in near_copies_of_one_text(120, 1)]
+    prefixes = [wide_simhash.prefix(s, np.zeros(1 << wide_simhash.BUCKET_BITS, bool), 0.8) for s in sets]
+    held = [(int(c), p, len(s), k, k) for k, (s, x) in enumerate(zip(sets, prefixes)) for p, c in enumerate(x.view(np.int64))]
+    columns = [np.array(x, np.int64) for x in zip(*held)]
+    sketches = np.frombuffer(b"".join(wide_simhash.sketch(sets[k]) for k in columns[3]), np.uint64).reshape(len(held), -1)
+    crowds = [frozenset(prefixes[k].view(np.int64).tolist()) for k in columns[3]]
+    found = [(int(a), int(b), int(n)) for part in wide_simhash.candidates(*columns, 0.8, sketches, crowds) for a, b, n, _ in zip(*part)]
+    common = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(120) for b in range(a + 1, 120)}
+    near = {(a, b) for (a, b), c in common.items() if c >= 0.8 * (len(sets[a]) + len(sets[b]) - c)}
+    assert len({x[:2] for x in found}) == len(found) and near <= {x[:2] for x in found}
+    assert 100 < len(near) and len(found) < 0.6 * len(common)
+    assert all(n == len(np.intersect1d(prefixes[a], prefixes[b])) for a, b, n in found)
+
+
+def test_similar_documents_of_a_crowded_shingle(spark, monkeypatch):
+    monkeypatch.setattr(wide_simhash, "CROWD_ROWS", 3)
+    rows = near_copies_of_one_text(60, 1) + [(100 + i, t) for i, t, *_ in corpus()[:15] if i is not None]
+    sets = [set(wide_simhash.shingle_set(t or "").tolist()) for _, t in rows]
+    want = groups(rows, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(wide_simhash.near_documents(docs), "doc_id", "component_id") == sorted(zip([r[0] for r in rows], want), key=repr)
+
+
 def test_empty_tables(spark):
     none = documents(spark, [])
     assert simhash.near_duplicates(none).count() == exact_dedup.exact_duplicates(none).count() == suffixes.passages(none).count() == 0
