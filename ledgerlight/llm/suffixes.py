@@ -11,7 +11,9 @@ those may be; it is built by Spark and broadcast, and when a corpus fills it, it
 Equal contexts are combined, in the map-side part of an aggregation, before anything is sorted, so a passage with many
 copies is one row there. The sorted rows are dealt by ranges of the whole context, so a frequent first run of words is
 spread; each range knows the last row before and the first after it. Where one first run lies in several ranges, every window of
-MIN_WORDS words around its suffixes is grouped by Spark instead, so that no match depends on the borders of ranges.
+MIN_WORDS words around its suffixes counts, so that no match depends on the borders of ranges. Equal windows lie in one range
+unless their words after the run reach over its border; those that do are sorted anew by the words before the run, and only
+windows that reach over a border both times (a few values a border, however many rows have them) are grouped across ranges.
 
 Words are what ASCII white space separates. Contexts are compared by 16-bit codes of the words, first runs by 64-bit hashes:
 a chance match of a word beside a passage (1 in 65,536) makes it one word longer. Inside a periodic stretch only every
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -214,48 +217,146 @@ def _all_windows(rows, group, right, left, single, back, ahead, other) -> None:
         other[hit] = np.where(other[hit] < 0, near, other[hit])
 
 
-def _window_keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, words to the left, key) of every window of MIN_WORDS words around these suffixes; equal windows have equal keys."""
+def _windows(codes: np.ndarray, others: pa.Table, first: np.ndarray, last: np.ndarray):
+    """(words to the left, table) of the windows of MIN_WORDS words around these suffixes, from ``first`` to ``last`` words to the left.
+
+    The table holds the row, the key (equal windows have equal keys) and single, low and high of ``others``.
+    """
     whole = codes.view(">u2").reshape(len(codes), -1)
     right, left = whole[:, 4 : 4 + REACH], whole[:, 4 + REACH :]
     n_right, n_left = (right != 0).sum(1), (left != 0).sum(1)
-    rows, offsets, keys = [], [], []
     for o in range(REACH + 1):
-        own = np.flatnonzero((n_left >= o) & (n_right >= REACH - o))
+        own = np.flatnonzero((n_left >= o) & (n_right >= REACH - o) & (first <= o) & (o <= last))
+        if not len(own):
+            continue
         # the left part, the first run and the right part are one stretch of bytes, but for the order of the left part
         part = np.concatenate([codes[own, :8], codes[own, 8 : 8 + 2 * (REACH - o)], codes[own, 8 + 2 * REACH : 8 + 2 * REACH + 2 * o]], axis=1)
-        rows.append(own)
-        offsets.append(np.full(len(own), o))
-        keys.append(np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes(), o) for x in part), np.uint64, len(own)))
-    return np.concatenate(rows), np.concatenate(offsets), _signed(np.concatenate(keys))
-
-
-def _spread_matches(ordered: DataFrame, grams: set[bytes]) -> DataFrame:
-    """What the first runs ``grams``, which lie in several ranges, match: grouped by window over all ranges."""
-    wanted = ordered.sparkSession.sparkContext.broadcast(grams)
-
-    def windows(batches):
-        for batch in batches:
-            codes = batch.column("codes").to_pylist()
-            take = np.array([k for k, x in enumerate(codes) if x[:8] in wanted.value], np.int64)
-            if not len(take):
-                continue
-            data = np.frombuffer(b"".join(codes[k] for k in take), np.uint8).reshape(len(take), -1)
-            row, o, key = _window_keys(data)
-            at = pa.array(take[row])
-            context = np.array([context_hash(codes[k]) for k in take], np.int64)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(o, pa.int64()), pa.array(context), *[batch.column(c).take(at) for c in ("single", "low", "high")]], names=["key", "o", "context", "single", "low", "high"])
-
-    found = ordered.mapInArrow(windows, "key long, o long, context long, single long, low long, high long")
-    # rows of different documents, or two contexts that several documents each share
-    shared = (
-        found.groupBy("key").agg(F.min("single").alias("first"), F.max("single").alias("last"), F.count("*").alias("n"), F.min("low").alias("one"), F.max("high").alias("two"))
-        .where("first <> last OR first = 0 AND n > 1").select("key", "one", "two")
-    )
-    near = F.when(F.col("one") != F.col("low"), F.col("one")).otherwise(F.col("two"))
-    return found.join(shared, "key").groupBy("context").agg(
-        F.max("o").alias("back"), F.max(F.lit(MIN_WORDS) - F.col("o")).alias("ahead"), F.min("low").alias("low"), F.max("high").alias("high"), F.min(near).alias("near")
+        key = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes(), o) for x in part), np.uint64, len(own))
+        row = pa.array(own)
+        yield o, pa.table({"row": row, "key": _signed(key), **{c: others[c].take(row) for c in ("single", "low", "high")}})
+
+
+def _summed(windows: pa.Table) -> pa.Table:
+    """A row for each window: the least and the largest of its rows' documents, their number and their ids."""
+    found = windows.group_by("key", use_threads=False).aggregate([("single", "min"), ("single", "max"), ("row", "count"), ("low", "min"), ("high", "max")])
+    return pa.table([found[c] for c in ("key", "single_min", "single_max", "row_count", "low_min", "high_max")], names=["key", "first", "last", "n", "one", "two"])
+
+
+def _of_several(sums: pa.Table) -> pa.Table:
+    """Windows of rows of different documents, or of two contexts that several documents each share."""
+    first = sums["first"].to_numpy()
+    return sums.filter(pa.array((first != sums["last"].to_numpy()) | (first == 0) & (sums["n"].to_numpy() > 1)))
+
+
+class _Found:
+    """How far rows match to the left and right by their windows, and the least id beside."""
+
+    def __init__(self, n: int):
+        self.back, self.ahead, self.near, self.known = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+
+    def add(self, o: int, windows: pa.Table, shared: pa.Table) -> None:
+        at = pc.index_in(windows["key"], shared["key"].combine_chunks())
+        hit = windows.filter(at.is_valid())
+        one, two = (shared[c].take(at.drop_null()) for c in ("one", "two"))
+        near = pc.if_else(pc.fill_null(pc.not_equal(one, hit["low"]), False), one, two)
+        row = hit["row"].to_numpy()
+        self.back[row] = np.maximum(self.back[row], o)
+        self.ahead[row] = np.maximum(self.ahead[row], MIN_WORDS - o)
+        self.beside(row, near)
+
+    def beside(self, row: np.ndarray, near: pa.ChunkedArray) -> None:
+        ok = near.is_valid().to_numpy()
+        row, value = row[ok], near.drop_null().to_numpy()
+        self.near[row] = np.where(self.known[row], np.minimum(self.near[row], value), value)
+        self.known[row] = True
+
+
+def _reach(rows: np.ndarray, gram: np.ndarray, neighbours: list[tuple[bytes, np.ndarray]]) -> np.ndarray:
+    """How many words of ``rows`` the farthest reaching of ``neighbours`` (first run, words) shares; -1: another first run."""
+    most = np.full(len(rows), -1)
+    for own, words in neighbours:
+        same = (gram == np.frombuffer(own, np.uint8)).all(1)
+        most = np.maximum(most, np.where(same, _same(rows, np.broadcast_to(words, rows.shape)), -1))
+    return most
+
+
+def _spread_matches(ordered: DataFrame, grams: set[bytes], beside) -> DataFrame:
+    """What the first runs ``grams``, which lie in several ranges, match: by window, each in the narrowest place that has all its rows."""
+    spark, ids = ordered.sparkSession, ["single", "low", "high"]
+    wanted = spark.sparkContext.broadcast(grams)
+    half = 8 + 2 * REACH
+    matrix = lambda codes: np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    wide = lambda data: data.view(">u2").reshape(len(data), -1)
+
+    def inside(batches):
+        """Rows of these runs with what their windows match in this range, and how many words to the right reach over its borders."""
+        table = pa.Table.from_batches(list(batches), schema=pa.schema([("codes", pa.binary()), *[(c, pa.int64()) for c in ids]]))
+        table = table.filter(pa.array([x[:8] in wanted.value for x in table["codes"].to_pylist()], pa.bool_()))
+        if not table.num_rows:
+            return
+        me, data = TaskContext.get().partitionId(), matrix(table["codes"].to_pylist())
+        before, after = [x for x in beside.value if x[0] < me and x[1] == 1][-1:], [x for x in beside.value if x[0] > me and x[1] == 0][:1]
+        far = _reach(wide(data)[:, 4 : 4 + REACH], data[:, :8], [(x[2][:8], wide(matrix([x[2]]))[0, 4 : 4 + REACH]) for x in before + after])
+        found = _Found(len(data))
+        for o, w in _windows(data, table, np.zeros(len(data), np.int64), REACH - far - 1):
+            found.add(o, w, _of_several(_summed(w)))
+        turned = np.concatenate([data[:, :8], data[:, half:], data[:, 8:half]], axis=1)
+        columns = [[x.tobytes() for x in turned], *[table[c].combine_chunks() for c in ids], far, found.back, found.ahead, pa.array(found.near, mask=~found.known)]
+        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["codes", *ids, "far", "back", "ahead", "near"])
+
+    schema = "codes binary, single long, low long, high long, far long, back long, ahead long, near long"
+    turned = materialise(ordered.mapInArrow(inside, schema).repartitionByRange("codes").sortWithinPartitions("codes"))
+
+    def borders(batches):
+        codes = [x[k].as_py() for x in (b.column("codes") for b in batches if b.num_rows) for k in (0, len(x) - 1)]
+        if codes:
+            yield pa.RecordBatch.from_pylist([{"range": TaskContext.get().partitionId(), "head": codes[0], "tail": codes[-1]}], schema=pa.schema([("range", pa.int32()), ("head", pa.binary()), ("tail", pa.binary())]))
+
+    # one row for each range
+    bounds = spark.sparkContext.broadcast(sorted((r.range, bytes(r.head), bytes(r.tail)) for r in turned.select("codes").mapInArrow(borders, "range int, head binary, tail binary").collect()))
+
+    def parts(batches):
+        """A range's table, its codes in the first order, and how many words to the left reach over its borders."""
+        table = pa.Table.from_batches(list(batches))
+        me, data = TaskContext.get().partitionId(), matrix(table["codes"].to_pylist())
+        ends = [x[2] for x in bounds.value if x[0] < me][-1:] + [x[1] for x in bounds.value if x[0] > me][:1]
+        over = _reach(wide(data)[:, 4 : 4 + REACH], data[:, :8], [(x[:8], wide(matrix([x]))[0, 4 : 4 + REACH]) for x in ends])
+        return table, np.concatenate([data[:, :8], data[:, half:], data[:, 8:half]], axis=1), over
+
+    def crossing(batches):
+        if not (batches := [b for b in batches if b.num_rows]):
+            return
+        table, data, over = parts(batches)
+        for _, w in _windows(data, table, REACH - table["far"].to_numpy(), over):
+            yield from _summed(w).combine_chunks().to_batches()
+
+    sums = turned.mapInArrow(crossing, "key long, first long, last long, n long, one long, two long").groupBy("key").agg(
+        *[f(c).alias(c) for f, c in ((F.min, "first"), (F.max, "last"), (F.sum, "n"), (F.min, "one"), (F.max, "two"))]
     )
+    # a few windows for each pair of borders
+    shared = spark.sparkContext.broadcast(sums.where("first <> last OR first = 0 AND n > 1").select("key", "one", "two").toArrow())
+
+    def resolve(batches):
+        if not (batches := [b for b in batches if b.num_rows]):
+            return
+        table, data, over = parts(batches)
+        found, first = _Found(len(data)), REACH - table["far"].to_numpy()
+        found.back, found.ahead = (table[c].to_numpy().copy() for c in ("back", "ahead"))
+        found.beside(np.arange(len(data)), table["near"])
+        for o, w in _windows(data, table, np.maximum(first, over + 1), np.full(len(data), REACH)):
+            found.add(o, w, _of_several(_summed(w)))
+        for o, w in _windows(data, table, first, over):
+            found.add(o, w, shared.value)
+        own = np.flatnonzero(found.ahead)
+        pick = pa.array(own)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([context_hash(x.tobytes()) for x in data[own]], pa.int64()), pa.array(found.back[own]), pa.array(found.ahead[own]), *[table[c].take(pick).combine_chunks() for c in ("low", "high")],
+             pa.array(found.near[own], mask=~found.known[own])],
+            names=["context", "back", "ahead", "low", "high", "near"],
+        )
+
+    # saved before it joins other rows: in a union, the numbers of the ranges would be others
+    return materialise(turned.mapInArrow(resolve, "context long, back long, ahead long, low long, high long, near long"))
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -327,7 +428,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     found = ordered.mapInArrow(compare, "context long, back long, ahead long, low long, high long, near long")
     if spread and min_words == MIN_WORDS:
-        found = found.union(_spread_matches(ordered, spread))
+        found = found.union(_spread_matches(ordered, spread, beside))
     spots = _contexts(rows, bits, False).join(found, "context")
     span = F.struct((F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end"), "others")
     other = F.array_compact(F.array(F.when(F.col("low") != F.col("doc_id"), F.col("low")), F.when(F.col("high") != F.col("doc_id"), F.col("high")), F.when(F.col("near") != F.col("doc_id"), F.col("near"))))

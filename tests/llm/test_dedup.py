@@ -119,6 +119,27 @@ def test_passages_of_a_frequent_run_over_many_ranges(spark):
     assert got == {(i, 0, 50) if i // 2 % 2 else (i, 42, 92) for i, _ in rows}
 
 
+def test_passages_of_a_common_passage_over_many_ranges(spark, monkeypatch):
+    # every suffix is one row in every step, not one for each window around it
+    line, saved = words(700, 60), []
+    rows = [(k, " ".join([f"b{k}x{j}" for j in range(42)] + line + [f"a{k}x{j}" for j in range(42)])) for k in range(300)]
+    keep = suffixes.materialise
+    monkeypatch.setattr(suffixes, "materialise", lambda df: saved.append(keep(df)) or saved[-1])
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = suffixes.passages(spark.createDataFrame(rows, "doc_id long, text string"))
+        # codes of 16 bits: a word beside the passage may match by chance
+        got = [(r.doc_id, r.start, r.end) for r in found.collect()]
+        assert sorted((k, max(a, 42), min(b, 102)) for k, a, b in got) == [(k, 42, 102) for k, _ in rows] and all(a >= 40 and b <= 104 for _, a, b in got)
+        ordered, turned, matched = [f.count() for f in saved]
+        assert ordered >= turned >= matched >= 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_similar_documents(spark):
     rows = [(i, t) for i, t, *_ in corpus()]
     sets = [set(wide_simhash.shingle_set(t or "").tolist()) for _, t in rows]
