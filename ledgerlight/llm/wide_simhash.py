@@ -51,7 +51,7 @@ FILTER_BITS = 26
 #: Buckets that shingles are counted in; one is well filled with HOT_SHARE times the mean and HOT_ROWS more.
 BUCKET_BITS, HOT_SHARE, HOT_ROWS = 22, 4, 32
 #: Prefixes that hold a shingle from which on it is crowded, and bits of the sketches that are compared there.
-CROWD_ROWS, SKETCH_BITS = 64, 512
+CROWD_ROWS, SKETCH_BITS = 32, 512
 #: Entries of the prefix join that are held at a time, and pairs that are made at a time.
 HELD_ROWS, HELD_PAIRS = 100_000, 500_000
 
