@@ -52,8 +52,8 @@ FILTER_BITS = 26
 BUCKET_BITS, HOT_SHARE, HOT_ROWS = 22, 4, 32
 #: Prefixes that hold a shingle from which on it is crowded, and bits of the sketches that are compared there.
 CROWD_ROWS, SKETCH_BITS = 32, 512
-#: Entries of the prefix join that are held at a time, and pairs that are made at a time.
-HELD_ROWS, HELD_PAIRS = 100_000, 500_000
+#: Bytes of the prefix join's rows that are held at a time, and pairs (or crowded cells of pairs) that are made at a time.
+HELD_BYTES, HELD_PAIRS = 8 << 20, 250_000
 
 
 def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -97,7 +97,8 @@ def _hot_buckets(rows: DataFrame, shingle: int) -> np.ndarray:
         index = np.flatnonzero(total > HOT_SHARE * total.mean() + 2)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[index, -1], pa.int64()), pa.array(np.r_[total[index], total.sum(dtype=np.int64)], pa.int64())], names=["bucket", "n"])
 
-    sums = rows.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    # saved, so that texts are read once for both of its readers
+    sums = materialise(rows.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
     mean = (sums.where("bucket = -1").agg(F.sum("n")).first()[0] or 0) / (1 << BUCKET_BITS)
     found = sums.where((F.col("bucket") >= 0) & (F.col("n") > HOT_SHARE * mean + HOT_ROWS)).select("bucket").toPandas()
     hot = np.zeros(1 << BUCKET_BITS, bool)
@@ -152,17 +153,48 @@ def _held(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return np.flatnonzero((bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
 
 
-def candidates(cell: np.ndarray, place: np.ndarray, size: np.ndarray, node: np.ndarray, component: np.ndarray, similarity: float, sketches: np.ndarray | None = None, crowds: list | None = None):
+class Crowds:
+    """All crowded cells of each row, one flat sorted array of (row, number of the cell): no Python object a cell."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.cells, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        self.lengths = lists.value_lengths().to_numpy().astype(np.int64)
+        self.ends = np.cumsum(self.lengths)
+        self.keys = np.repeat(np.arange(len(lists)), self.lengths) * len(self.cells) + code
+        self.keys.sort()
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many cells the rows ``a`` and ``b`` of each pair share, and the smallest of these; every pair shares one."""
+        shorter = self.lengths[a] <= self.lengths[b]
+        a, b = np.where(shorter, a, b), np.where(shorter, b, a)
+        many = np.cumsum(self.lengths[a])
+        n, least = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
+        k = 0
+        while k < len(a):
+            to = max(k + 1, int(np.searchsorted(many, (many[k - 1] if k else 0) + HELD_PAIRS, "right")))
+            x, y, size = a[k:to], b[k:to], self.lengths[a[k:to]]
+            at = np.arange(size.sum()) + np.repeat(self.ends[x] - np.cumsum(size), size)
+            sought = self.keys[at] + np.repeat((y - x) * len(self.cells), size)
+            found = np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)] == sought)
+            pair = np.repeat(np.arange(to - k), size)[found]
+            first = found[np.r_[True, pair[1:] != pair[:-1]]]
+            n[k:to] = np.bincount(pair, minlength=to - k)
+            least[k:to] = self.cells[self.keys[at[first]] - x * len(self.cells)]
+            k = to
+        return n, least
+
+
+def candidates(cell: np.ndarray, place: np.ndarray, size: np.ndarray, node: np.ndarray, component: np.ndarray, similarity: float, sketches: np.ndarray | None = None, crowds: list | pa.ListArray | None = None):
     """Pairs of nodes of different components with one cell, as far as sizes and places let them be similar; in parts.
 
     A part holds (a, b, n, need): how many cells a pair shares here, and how many it must share in all. With ``sketches`` and
-    ``crowds`` (all crowded cells of each row's node) pairs whose sketches are too far apart are left out, and the others come
-    at the smallest crowded cell that they share, n being the number of these.
+    ``crowds`` (all crowded cells of each row's node, as lists or an Arrow list array) pairs whose sketches are too far apart are
+    left out, and the others come at the smallest crowded cell that they share, n being the number of these.
     """
     order = np.lexsort((size, cell))
     cell, place, size, node, component = (x[order] for x in (cell, place, size, node, component))
     if crowds is not None:
-        sketches, crowds = sketches[order], [crowds[k] for k in order]
+        sketches, crowds = sketches[order], Crowds(crowds if isinstance(crowds, pa.Array) else pa.array(map(list, crowds), pa.list_(pa.int64())))
     start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     stop = np.repeat(np.r_[start[1:], len(cell)], np.diff(np.r_[start, len(cell)]))
     # partners of a row are after it, up to the size that is still similar
@@ -188,9 +220,9 @@ def candidates(cell: np.ndarray, place: np.ndarray, size: np.ndarray, node: np.n
                 apart += np.bitwise_count(sketches[i, w] ^ sketches[j, w])
             near = apart <= size[i] + size[j] - 2 * asked
             i, j, asked = i[near], j[near], asked[near]
-            both = [crowds[x] & crowds[y] for x, y in zip(i.tolist(), j.tolist())]
-            here = np.fromiter((min(x) == c for x, c in zip(both, cell[i].tolist())), bool, len(i))
-            i, j, asked, n = i[here], j[here], asked[here], np.fromiter(map(len, both), np.int64, len(both))[here]
+            n, least = crowds.shared(order[i], order[j])
+            here = least == cell[i]
+            i, j, asked, n = i[here], j[here], asked[here], n[here]
         if len(i):
             need = np.maximum(1, asked - np.maximum(size[i] - prefix_size(size[i], similarity), size[j] - prefix_size(size[j], similarity)))
             a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
@@ -290,28 +322,29 @@ def near_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     entries = entries.withColumn("n", F.count("*").over(Window.partitionBy("cell"))).where("n > 1").drop("n")
 
     def meet(batches):
-        held, n, limit = [], 0, HELD_ROWS
+        held, size, limit = [], 0, HELD_BYTES
 
         def made(table):
             alone = table.filter(table["sketch"].is_null())
             together = table.filter(table["sketch"].is_valid())
             numbers = lambda x: [x[c].to_numpy().astype(np.int64) for c in ("cell", "place", "size", "node", "component")]
             sketches = np.frombuffer(b"".join(together["sketch"].to_pylist()), np.uint64).reshape(len(together), SKETCH_BITS // 64)
-            for part in chain(candidates(*numbers(alone), similarity), candidates(*numbers(together), similarity, sketches, list(map(frozenset, together["crowd"].to_pylist())))):
+            for part in chain(candidates(*numbers(alone), similarity), candidates(*numbers(together), similarity, sketches, together["crowd"].combine_chunks())):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in part], names=["a", "b", "n", "need"])
 
         for batch in batches:
             held.append(batch)
-            n += batch.num_rows
-            if n >= limit:
+            size += batch.nbytes
+            if size >= limit:
                 table = pa.Table.from_batches(held)
                 cells = table["cell"].to_numpy()
                 # rows of the last cell wait for the rest of it
-                cut = n - int((cells[::-1] != cells[-1]).argmax()) if cells[0] != cells[-1] else 0
+                cut = len(cells) - int((cells[::-1] != cells[-1]).argmax()) if cells[0] != cells[-1] else 0
                 yield from made(table.slice(0, cut))
-                held, n = table.slice(cut).to_batches(), n - cut
-                limit = max(HELD_ROWS, 2 * n)
-        if n:
+                table = table.slice(cut)
+                held, size = table.to_batches(), table.nbytes
+                limit = max(HELD_BYTES, 2 * size)
+        if held:
             yield from made(pa.Table.from_batches(held))
 
     counted = entries.mapInArrow(meet, "a long, b long, n long, need long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))

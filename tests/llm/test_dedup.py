@@ -1,11 +1,13 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerlight.llm import exact_dedup, golomb, simhash, suffixes, wide_simhash
+from ledgerlight.llm import common, exact_dedup, golomb, simhash, suffixes, wide_simhash
 from tests.llm.fixtures import corpus, documents, words
 
 
@@ -213,6 +215,44 @@ def test_similar_documents_of_a_crowded_shingle(spark, monkeypatch):
     assert by_row(wide_simhash.near_documents(docs), "doc_id", "component_id") == sorted(zip([r[0] for r in rows], want), key=repr)
 
 
+def test_crowded_cells_are_compared_without_an_object_each():
+    # 719,400 near pairs that share 12 crowded cells: they are compared in arrays, a bounded part at a time
+    nodes, cells = 1200, frozenset(range(-4, 8))
+    column = lambda v: np.full(nodes, v, np.int64)
+    sketches = np.zeros((nodes, wide_simhash.SKETCH_BITS // 64), np.uint64)
+    for cell, pairs in ((-4, nodes * (nodes - 1) // 2), (3, 0)):
+        tracemalloc.start()
+        found = sum((n == 12).sum() for _, _, n, _ in wide_simhash.candidates(column(cell), column(5), column(300), np.arange(nodes), np.arange(nodes), 0.8, sketches, [cells] * nodes))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == pairs and peak < 150e6
+
+
+@pytest.mark.parametrize("held", [250_000, 7])
+def test_shared_crowded_cells(monkeypatch, held):
+    monkeypatch.setattr(wide_simhash, "HELD_PAIRS", held)
+    rng = np.random.default_rng(1)
+    rows = [{99, *(rng.choice(40, rng.integers(1, 12), replace=False) - 20).tolist()} for _ in range(60)]
+    a, b = rng.integers(0, 60, (2, 500))
+    n, least = wide_simhash.Crowds(pa.array(map(list, rows), pa.list_(pa.int64()))).shared(a, b)
+    assert n.tolist() == [len(rows[x] & rows[y]) for x, y in zip(a, b)] and least.tolist() == [min(rows[x] & rows[y]) for x, y in zip(a, b)]
+
+
+def test_similar_documents_when_little_is_held(spark, monkeypatch):
+    # every batch is worked on as it comes; the rows of its last cell wait for the next one
+    monkeypatch.setattr(wide_simhash, "CROWD_ROWS", 3)
+    monkeypatch.setattr(wide_simhash, "HELD_BYTES", 1)
+    rows = near_copies_of_one_text(60, 1)
+    sets = [set(wide_simhash.shingle_set(t).tolist()) for _, t in rows]
+    want = groups(rows, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    old = spark.conf.get(common.BATCH_SETTING)
+    spark.conf.set(common.BATCH_SETTING, "20")
+    try:
+        assert by_row(wide_simhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component_id") == sorted(zip([i for i, _ in rows], want), key=repr)
+    finally:
+        spark.conf.set(common.BATCH_SETTING, old)
+
+
 def test_empty_tables(spark):
     none = documents(spark, [])
     assert simhash.near_duplicates(none).count() == exact_dedup.exact_duplicates(none).count() == suffixes.passages(none).count() == 0
