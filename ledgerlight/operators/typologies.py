@@ -8,6 +8,8 @@ time and size, linear in a hub's edges. Only edges that can be part of a whole c
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from ledgerlight.config import EngineConfig
 from ledgerlight.functions.timeparts import DAY, HOUR, micros
 from ledgerlight.operators.ordered import (
     Heat,
+    HotKeys,
     Rolling,
     by_heat,
     find_hot_keys,
@@ -211,11 +214,117 @@ class FlowBand:
 
 
 CELL = ["_account", "_tc", "_ac", "_side"]
+BLOCK = ["_account", "_bt", "_bs"]
+ORDER = ("_at", "_ask")
 #: Narrow rows of a sweep that a task spreads over cells, about.
 DEALT_ROWS = 400_000
+#: Paths are named when they are whole if so many edges stand against one that is left for them.
+LATE_IDS = 4
 
 
-def _linked(edges: DataFrame, others: DataFrame, band: FlowBand, mine: str, theirs: str, ahead: bool, cfg: EngineConfig, heat: Heat) -> DataFrame:
+class Blocks(NamedTuple):
+    """Hot accounts cut into blocks of 2^``_width`` by 2^``_width`` cells (``table``); ``full``: others have a cell that holds too many rows for a task."""
+
+    table: DataFrame
+    small: bool
+    full: bool
+
+
+#: Blocks grow to at most 2^WIDEST cells a side.
+WIDEST = 10
+
+
+def _shifted(cell: Column) -> Column:
+    return F.call_function("shiftright", cell, F.col("_width"))
+
+
+def _blocks(edges: DataFrame, band: FlowBand, cfg: EngineConfig, hot: HotKeys) -> Blocks:
+    """For each hot account the widest blocks of cells that hold no more rows than a task may have, from counts by cell."""
+    most = max(cfg.hot_key_rows, cfg.task_rows)
+    ends = edges.select(F.explode(F.array("e_src", "e_dst")).alias("_account"), "e_us", "e_amount").join(hot.hinted(), "_account", "left_semi")
+    cells = materialise(band.located(ends, "e").groupBy("_account", "_tc", "_ac").agg(F.count(F.lit(1)).alias("_rows")))
+    tried = cells.withColumn("_width", F.explode(F.sequence(F.lit(0), F.lit(WIDEST))))
+    sizes = tried.groupBy("_account", "_width", _shifted(F.col("_tc")).alias("_bt"), _shifted(F.col("_ac")).alias("_bs")).agg(F.sum("_rows").alias("_rows"))
+    fullest = materialise(sizes.groupBy("_account", "_width").agg(F.max("_rows").alias("_rows")))
+    widths = fullest.where(F.col("_rows") <= most).groupBy("_account").agg(F.max("_width").alias("_width"))
+    return Blocks(widths, hot.small, fullest.where(F.col("_rows") > most).where("_width = 0").limit(1).count() > 0)
+
+
+def _dealt_by_block(rows: DataFrame, band: FlowBand, ahead: bool, blocks: Blocks) -> DataFrame:
+    """Rows with the blocks (``_bt``, ``_bs``) that need them: an edge that asks is in its own, a point in all from which it may be asked for."""
+    us, amount, ask = F.col("e_us"), F.col("e_amount"), F.col("e_row").isNotNull()
+    (first, last), (low, high) = band.times(us, not ahead), band.sizes(amount, not ahead)
+    (t0, a0), (t1, a1), (t, a) = band.cell(first, low), band.cell(last, high), band.cell(us, amount)
+
+    def places(own: Column, start: Column, end: Column) -> Column:
+        return F.explode(F.when(ask, F.array(_shifted(own))).otherwise(F.sequence(_shifted(start), _shifted(end))))
+
+    placed = rows.join(F.broadcast(blocks.table) if blocks.small else blocks.table, "_account")
+    return placed.withColumn("_bt", places(t, t0, t1)).withColumn("_bs", places(a, a0, a1)).drop("_width")
+
+
+def _pieces(rows: DataFrame) -> list[int]:
+    """The number of tasks that narrow rows need if one is not enough; left to Spark, they would be joined by compressed bytes and grow in the cells."""
+    pieces = -(-rows.count() // DEALT_ROWS)
+    return [max(pieces, rows.sparkSession.sparkContext.defaultParallelism)] if pieces > 1 else []
+
+
+def _answered(rows: DataFrame, band: FlowBand, ahead: bool, unit: list[str]) -> DataFrame:
+    """Asking edges that have a partner, from rows that are dealt by ``unit`` (accounts or their blocks) and spread over cells where they lie."""
+    seen = running_extremes(band.spread(rows, ahead), [*unit, *CELL[1:]], ORDER, "_amount")
+    # an edge asks in one unit only: where that has dealt the rows, nothing is shuffled
+    return _fitting(seen, band, ahead, [*unit, *[c for c in rows.columns if c not in unit]]).drop(*unit[1:])
+
+
+def _fitting(seen: DataFrame, band: FlowBand, ahead: bool, columns: list[str]) -> DataFrame:
+    own = F.col("e_amount")
+    fits = [band.fits(own, F.col(c)) if ahead else band.fits(F.col(c), own) for c in ("_most", "_least")]
+    return seen.where("_ask").where(fits[0] | fits[1]).select(*columns).distinct()
+
+
+def _swept_by_heat(rows: DataFrame, band: FlowBand, cfg: EngineConfig, heat: Heat, ways: dict[bool, Callable[[DataFrame], DataFrame]], blocks: Blocks | None) -> DataFrame:
+    """Sweeps of one dealing of ``rows``, in each direction (``ahead``) of ``ways``, which say what asks and what is a point there.
+
+    Rows of ordinary accounts are dealt by account, once for all directions. Hot accounts are dealt by blocks of their cells.
+    Those with a cell that is too full for that are dealt by cell, and such cells are cut into slices.
+    """
+    parts = _pieces(rows)
+
+    def both(step: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+        found = [step(way, ahead).withColumn("_ahead", F.lit(ahead)) for ahead, way in ways.items()]
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+    def ordinary(cold: DataFrame) -> DataFrame:
+        dealt = cold.repartition(*parts, "_account")
+        return both(lambda way, ahead: _answered(way(dealt), band, ahead, ["_account"]))
+
+    def by_block(way, ahead: bool, hot: DataFrame, cut: Blocks) -> DataFrame:
+        dealt = _dealt_by_block(way(hot), band, ahead, cut).repartition(*parts, *BLOCK)
+        return _answered(dealt, band, ahead, BLOCK)
+
+    def by_cell(way, ahead: bool, hot: DataFrame) -> DataFrame:
+        asked = way(hot)
+        cells = band.spread(asked, ahead).withColumn("_cell", F.struct("_account", "_tc", "_ac"))
+        seen = by_heat(
+            cells, "_cell", cfg, lambda cold: running_extremes(cold.drop("_cell"), CELL, ORDER, "_amount"),
+            lambda full, _: running_extremes(with_slices(full.drop("_cell"), CELL, "_at", cfg), CELL, ORDER, "_amount", sliced=True), keep_null=False,
+            heat=Heat(*find_hot_keys(cells, "_cell", cfg)),
+        )
+        return _fitting(seen, band, ahead, asked.columns)
+
+    def skewed(hot: DataFrame, keys: HotKeys) -> DataFrame:
+        found = both(lambda way, ahead: by_block(way, ahead, hot, blocks))
+        if not blocks.full:
+            return found
+        rest = hot.join(F.broadcast(blocks.table) if blocks.small else blocks.table, "_account", "left_anti")
+        return found.unionByName(both(lambda way, ahead: by_cell(way, ahead, rest)))
+
+    return by_heat(rows, "_account", cfg, ordinary, skewed, keep_null=False, heat=heat)
+
+
+def _linked(
+    edges: DataFrame, others: DataFrame, band: FlowBand, mine: str, theirs: str, ahead: bool, cfg: EngineConfig, heat: Heat, blocks: Blocks | None = None
+) -> DataFrame:
     """Those of ``edges`` that have, at account ``mine``, one of ``others`` (their account ``theirs``) later or earlier within the band.
 
     In a cell the box of an edge is open towards the cell's border, so the edge has a partner there if the largest or the
@@ -223,36 +332,14 @@ def _linked(edges: DataFrame, others: DataFrame, band: FlowBand, mine: str, thei
     for those before. Every edge adds two rows and asks in at most six cells (nine without order), so the rows are linear in
     the edges, however many meet at one account. Pairs are never formed.
 
-    Rows of ordinary accounts are dealt by account and spread over cells where they lie, so two narrow rows an edge are
-    shuffled, to as many tasks as the rows need. Those of hot accounts are dealt by cell, and cells that are hot themselves are cut into slices.
+    Rows are dealt by account or, for hot accounts, by block, and spread over cells where they lie, so narrow rows are shuffled: two an edge,
+    and a hot account's points once more for each block beside their own that may ask for them.
     """
     kept = [F.col(c).alias("_account") if c == mine else F.col(c) for c in edges.columns]
     points = others.where(F.col("e_amount") > 0).select(F.col(theirs).alias("_account"), "e_us", "e_amount")
     rows = points.unionByName(edges.where(F.col("e_amount") > 0).select(*kept), allowMissingColumns=True)
-    order, spark = ("_at", "_ask"), rows.sparkSession
-    pieces = -(-rows.count() // DEALT_ROWS)
-    parts = [pieces] if pieces > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
-
-    def by_cell(hot: DataFrame, _) -> DataFrame:
-        cells = band.spread(hot, ahead).withColumn("_cell", F.struct("_account", "_tc", "_ac"))
-        return by_heat(
-            cells, "_cell", cfg, lambda cold: running_extremes(cold.drop("_cell"), CELL, order, "_amount"),
-            lambda full, _: running_extremes(with_slices(full.drop("_cell"), CELL, "_at", cfg), CELL, order, "_amount", sliced=True), keep_null=False,
-            heat=Heat(*find_hot_keys(cells, "_cell", cfg)),
-        )
-
-    def fitting(seen: DataFrame) -> DataFrame:
-        own = F.col("e_amount")
-        fits = [band.fits(own, F.col(c)) if ahead else band.fits(F.col(c), own) for c in ("_most", "_least")]
-        found = seen.where("_ask").where(fits[0] | fits[1])
-        # an edge asks at one account only: where that has dealt the rows, nothing is shuffled
-        return found.select(*[F.col("_account" if c == mine else c) for c in edges.columns]).dropDuplicates(["_account", "e_row"])
-
-    seen = by_heat(
-        rows, "_account", cfg, lambda cold: fitting(running_extremes(band.spread(cold.repartition(*parts, "_account"), ahead), CELL, order, "_amount")),
-        lambda hot, keys: fitting(by_cell(hot, keys)), keep_null=False, heat=heat,
-    )
-    return seen.withColumnRenamed("_account", mine)
+    found = _swept_by_heat(rows, band, cfg, heat, {ahead: lambda dealt: dealt}, blocks)
+    return found.drop("_ahead").withColumnRenamed("_account", mine)
 
 
 class Flows:
@@ -266,6 +353,11 @@ class Flows:
         self.alone = not band.ordered and band.low <= 1.0 <= band.high
         # what sweeps carry; ids only where they are compared
         self.narrow = self.base if self.alone else self.base.drop("e_id")
+        self.blocks = self.cut(self.narrow, band)
+
+    def cut(self, edges: DataFrame, band: FlowBand) -> Blocks | None:
+        """Blocks of the hot accounts, if there are any, for ``edges`` and cells of ``band``."""
+        return _blocks(edges, band, self.cfg, self.heat.hot) if self.heat.hot else None
 
     def whole(self, marks: DataFrame) -> DataFrame:
         """The saved edges with the columns of ``marks`` (e_row, ...); few marks go to the edges, which stay where they are."""
@@ -278,7 +370,7 @@ class Flows:
         mine, theirs = ("e_dst", "e_src") if ahead else ("e_src", "e_dst")
         loops = F.coalesce(F.col("e_src") == F.col("e_dst"), F.lit(False))
         plain = edges.where(~loops) if self.alone else edges
-        found = _linked(plain, others, self.band, mine, theirs, ahead, self.cfg, self.heat)
+        found = _linked(plain, others, self.band, mine, theirs, ahead, self.cfg, self.heat, self.blocks)
         if self.alone:
             reach = self.band.reach(edges.where(loops), "e", ahead)
             partners = self.band.located(_rename(others, "e", "o"), "o")
@@ -287,20 +379,57 @@ class Flows:
             found = found.unionByName(reach.join(partners, match & same[0] & same[1], "left_semi").select(*found.columns).dropDuplicates(["e_row"]))
         return materialise(found)
 
-    def levels(self, steps: int, ahead: bool) -> list[DataFrame]:
-        """Edges with at least 0, 1, ..., ``steps`` edges one after another behind (``ahead``) or before them."""
-        out = [self.narrow]
-        for _ in range(steps):
+    def first(self) -> dict[bool, DataFrame]:
+        """The edges that are continued (True) and those that continue one (False), both from one dealing of the edges by their two accounts.
+
+        At its receiver an edge asks for later payments and is what they ask for, at its payer the other way round.
+        """
+        ends = [F.struct(F.col(here).alias("_account"), F.col(there).alias("_other"), F.lit(out).alias("_out")) for here, there, out in (("e_dst", "e_src", False), ("e_src", "e_dst", True))]
+        rows = self.narrow.where(F.col("e_amount") > 0).select("e_us", "e_amount", "e_row", F.inline(F.array(*ends)))
+
+        def way(ahead: bool) -> Callable[[DataFrame], DataFrame]:
+            asks = F.col("_out") != F.lit(ahead)
+            return lambda dealt: dealt.select("_account", "e_us", "e_amount", *[F.when(asks, F.col(c)).alias(c) for c in ("e_row", "_other")])
+
+        found = materialise(_swept_by_heat(rows, self.band, self.cfg, self.heat, {ahead: way(ahead) for ahead in (True, False)}, self.blocks))
+        names = {True: ("_other", "_account"), False: ("_account", "_other")}
+        columns = lambda ahead: ["e_us", "e_amount", "e_row", *[F.col(c).alias(n) for c, n in zip(names[ahead], ("e_src", "e_dst"))]]
+        return {ahead: found.where(F.col("_ahead") == F.lit(ahead)).select(*columns(ahead)) for ahead in names}
+
+    def levels(self, steps: int, ahead: bool, first: DataFrame | None = None) -> list[DataFrame]:
+        """Edges with at least 0, 1, ..., ``steps`` edges one after another behind (``ahead``) or before them; ``first``: the second of them, if known."""
+        out = [self.narrow] if first is None else [self.narrow, first]
+        for _ in range(steps + 1 - len(out)):
             out.append(self.linked(out[-1], out[-1], ahead))
         return out
 
-    def marks(self, steps: int, least: int) -> DataFrame:
-        """(e_row, _before, _behind): how many edges, up to ``steps``, lead to an edge and go on from it, where they are ``least`` together."""
+    def marks(self, steps: int, least: int, narrow: bool = True) -> DataFrame:
+        """(e_row, _before, _behind): how many edges, up to ``steps``, lead to an edge and go on from it, where they are ``least`` together.
+
+        Without ``narrow`` with the columns that sweeps carry: one of the two numbers is half of ``least`` or more, so the edges of that
+        level bring them and all others come as a number only.
+        """
         sides = {"_before": False, "_behind": True}
-        parts = [_marks(self.levels(steps, ahead), name) for name, ahead in sides.items()]
-        found = parts[0].join(parts[1], "e_row", "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in sides})
+        first = {} if self.alone else self.first()
+        kinds = {} if narrow else {c: t for c, t in self.narrow.dtypes if c != "e_row"}
+        marks = None
+        for name, ahead in sides.items():
+            for i, level in enumerate(self.levels(steps, ahead, first.get(ahead))[1:], 1):
+                carried = [F.col(c) if i == -(-least // 2) else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+                part = level.select("e_row", *carried, *[F.lit(i if c == name else 0).alias(c) for c in sides])
+                marks = part if marks is None else marks.unionByName(part)
+        found = marks.groupBy("e_row").agg(*[F.max(c).alias(c) for c in [*kinds, *sides]])
         return found.where(F.col("_before") + F.col("_behind") >= least)
 
+    def named(self, paths: DataFrame, column: str) -> DataFrame:
+        """Paths with the ids of their edges for the ``e_row`` in the array ``column``; few edges go to the saved ones."""
+        saved = materialise(paths.withColumn("_path", F.monotonically_increasing_id()))
+        rows = saved.select("_path", F.posexplode(column).alias("_place", "e_row"))
+        names = materialise(self.whole(rows.select("e_row").distinct()).select("e_row", "e_id"))
+        few = names.limit(self.cfg.broadcast_rows + 1).count() <= self.cfg.broadcast_rows
+        ids = rows.join(F.broadcast(names) if few else names, "e_row").groupBy("_path").agg(F.array_sort(F.collect_list(F.struct("_place", "e_id"))).alias("_ids"))
+        return saved.join(ids, "_path").withColumn(column, F.transform("_ids", lambda x: x["e_id"])).drop("_path", "_ids")
+
 
 def _rename(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.select(*[F.col(c).alias(new + c[len(old):]) if c.startswith(f"{old}_") else F.col(c) for c in df.columns])
@@ -313,14 +442,6 @@ def _as_edges(rows: DataFrame, **more: Column) -> DataFrame:
     )
 
 
-def _marks(levels: list[DataFrame], name: str) -> DataFrame:
-    """(e_row, name): the last level that holds an edge, level 0 left out."""
-    marks = levels[1].select("e_row", F.lit(1).alias(name))
-    for i, level in enumerate(levels[2:], 2):
-        marks = marks.unionByName(level.select("e_row", F.lit(i).alias(name)))
-    return marks.groupBy("e_row").agg(F.max(name).alias(name))
-
-
 def layering_chains(
     edges: DataFrame, cfg: EngineConfig = EngineConfig(), ordered: bool = True
 ) -> DataFrame:
@@ -360,14 +481,19 @@ def circular_flows(
     """
     most = up_to or nodes
     flows = Flows(edges.where(F.col("src") != F.col("dst")), FlowBand(*ratio, hours, ordered), cfg)
-    core = materialise(flows.whole(flows.marks(most - 1, nodes - 1)))
-    wide = flows.band.over(most - 1)
-    starts = _linked(core.where(F.col("_behind") >= nodes - 1), core.where(F.col("_before") >= nodes - 1), wide, "e_src", "e_dst", True, cfg, flows.heat)
-    ends = _linked(core.where(F.col("_before") >= nodes - 1), core.where(F.col("_behind") >= nodes - 1), wide, "e_dst", "e_src", False, cfg, flows.heat)
+    core, wide = materialise(flows.marks(most - 1, nodes - 1, narrow=False)), flows.band.over(most - 1)
+    # where few edges are left, paths are fewer still and are given ids when they are whole
+    late = not flows.alone and core.count() * LATE_IDS < flows.base.count()
+    if not late and not flows.alone:
+        core = materialise(flows.whole(core.select("e_row", "_before", "_behind")))
+    key = "e_row" if late else "e_id"
+    blocks = flows.cut(core, wide)
+    starts = _linked(core.where(F.col("_behind") >= nodes - 1), core.where(F.col("_before") >= nodes - 1), wide, "e_src", "e_dst", True, cfg, flows.heat, blocks)
+    ends = _linked(core.where(F.col("_before") >= nodes - 1), core.where(F.col("_behind") >= nodes - 1), wide, "e_dst", "e_src", False, cfg, flows.heat, blocks)
 
     one = lambda rows: rows.select(
-        F.array("e_id").alias("ids"), F.array("e_src").alias("accounts"), F.col("e_src").alias("from"), F.col("e_dst").alias("to"),
-        *[F.col(f"e_{c}").alias(f"{side}_{c}") for side in ("l", "r") for c in ("id", "us", "amount")], "_before", "_behind",
+        F.array(key).alias("ids"), F.array("e_src").alias("accounts"), F.col("e_src").alias("from"), F.col("e_dst").alias("to"),
+        *[F.col(key if c == "id" else f"e_{c}").alias(f"{side}_{c}") for side in ("l", "r") for c in ("id", "us", "amount")], "_before", "_behind",
     )
     fore, back = [materialise(one(starts))], [materialise(one(ends))]
     for i in range(1, (most + 1) // 2):
@@ -382,6 +508,9 @@ def circular_flows(
         left = fore[h - 1].where(F.col("_behind") >= k - h)
         part = _met(left, back[k - h - 1].where(F.col("_before") >= h), flows.band, closed=True)
         found = part if found is None else found.unionByName(part)
+    if late:
+        # edges of one id do not follow each other, nor do those without one
+        found = flows.named(found, "ids").where("forall(sequence(0, size(ids) - 2), i -> ids[i] != ids[i + 1])")
     cycles = found.select(
         F.col("ids").alias("transactions"), "accounts", F.col("l_amount").alias("first_amount"), F.col("r_amount").alias("last_amount"),
     )

@@ -202,3 +202,61 @@ def test_a_hot_cell_of_a_hot_account_is_sliced(spark):
     assert len(want) > 1
     for hot, piece in ((100, 50), (20, 15)):
         assert ids(t.layering_chains(df, EngineConfig(layering_hops=2, hot_key_rows=hot, slice_rows=piece))) == want
+
+
+def test_blocks_of_hot_accounts(spark):
+    """Ordinary accounts, blocks of one and of several cells, and an account with a cell too full for a block: the same edges, in both directions."""
+    rng = random.Random(3)
+    rows = [(f"n{rng.randint(0, 2)}", f"n{rng.randint(0, 2)}", rng.randint(0, 400), rng.choice([100, 97, 93, 90, 40, 38, 9])) for _ in range(300)]
+    rows += [("hub", f"x{i}", 5 + i % 3, 100 - i % 5) for i in range(40)] + [(f"y{i}", "hub", i % 6, 100 - i % 3) for i in range(40)]
+    df = edges(spark, *rows)
+
+    def members(cfg):
+        return {r.transaction_id: (r.is_first, r.is_last) for r in t.layering_members(df, cfg).collect()}
+
+    want = members(EngineConfig(hop_hours=24))
+    assert len(want) > 50
+    widths = []
+    for hot, task in ((20, 25), (20, 60)):
+        cfg = EngineConfig(hop_hours=24, hot_key_rows=hot, task_rows=task, slice_rows=15)
+        assert members(cfg) == want
+        flows = t.Flows(df, t.FlowBand(*cfg.hop_ratio, cfg.hop_hours), cfg)
+        widths.append({r["_account"]: r["_width"] for r in flows.blocks.table.collect()})
+        assert flows.blocks.full == ("hub" not in widths[-1])
+    assert "hub" not in widths[0] and min(widths[0].values()) < max(widths[1].values())
+
+
+def test_a_hot_account_is_dealt_in_narrow_rows(spark):
+    """Rows shuffled for a hub: an edge that asks once, its points once more for each further block, not once for each cell and twice for points."""
+    n = 4000
+    rows = spark.range(n).select(
+        F.col("id").cast("string").alias("transaction_id"), F.expr("IF(id % 2 = 0, 'hub', concat('a', id))").alias("src"),
+        F.expr("IF(id % 2 = 0, concat('b', id), 'hub')").alias("dst"), F.timestamp_seconds(F.col("id") * 7200).alias("timestamp"), (100 + F.col("id") * 37 % 900).cast("double").alias("amount"),
+    )
+    cfg = EngineConfig(hot_key_rows=1000, task_rows=2000)
+    flows = t.Flows(rows, t.FlowBand(0.92, 0.99, 24), cfg)
+    hot = flows.narrow.where("e_dst = 'hub'").withColumn("_account", F.lit("hub")).unionByName(
+        flows.narrow.where("e_src = 'hub'").select(F.lit("hub").alias("_account"), "e_us", "e_amount"), allowMissingColumns=True
+    )
+    dealt = t._dealt_by_block(hot, flows.band, True, flows.blocks)
+    assert dealt.where("e_row IS NOT NULL").count() == n / 2
+    assert dealt.count() < 0.7 * flows.band.spread(hot, True).count()
+
+
+def test_cycles_named_late_keep_their_ids(spark):
+    """Few edges are left for the search: ids come last, copies give cycles of their own, edges of one id or without one do not follow each other."""
+    ring = [("A", "B", 0, 100), ("B", "C", 2, 100), ("C", "A", 4, 99), ("P", "Q", 0, 100), ("Q", "R", 1, 99), ("R", "P", 2, 98)]
+    noise = [(f"s{i}", f"t{i}", i, 50) for i in range(60)]
+    df = edges(spark, *ring, *noise)
+    want = [["e1", "e2", "e3"], ["e4", "e5", "e6"]]
+    assert sorted(r.transactions for r in t.circular_flows(df).collect()) == want
+    assert sorted(r.transactions for r in t.circular_flows(df.unionByName(df.where("transaction_id = 'e2'"))).collect()) == [want[0], *want]
+    named = df.withColumn("transaction_id", F.expr("CASE WHEN transaction_id = 'e2' THEN 'e1' WHEN transaction_id <> 'e5' THEN transaction_id END"))
+    assert t.circular_flows(named).count() == 0
+
+
+def test_both_directions_share_one_dealing(spark):
+    flows = t.Flows(edges(spark, ("a", "b", 0, 100), ("b", "c", 5, 95), ("c", "d", 9, 90)), t.FlowBand(0.92, 0.99, 72), EngineConfig())
+    first = flows.first()
+    assert [r.e_src for r in first[True].orderBy("e_row").collect()] == ["a", "b"]
+    assert [r.e_src for r in first[False].orderBy("e_row").collect()] == ["b", "c"]
